@@ -146,6 +146,34 @@ VIEWS = {
     "x_connections": """
         SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'connect' ELSE 'disconnect' END AS action
         FROM events WHERE event_type IN ('view', 'error', 'signup')""",
+    "x_cart_all": """
+        SELECT event_id, user_id, action, item_id, quantity FROM x_cart""",
+    "x_menu_changes": """
+        SELECT user_id * 14 + k % 14 AS item_id, event_id AS seq, event_type AS kind, k,
+               k % 2 = 0 OR event_type = 'click' AS has_name, concat('Name ', event_id) AS new_name,
+               k % 3 = 0 AS has_price, CAST(k + 0.5 AS DECIMAL(10,2)) AS new_price,
+               k % 5 = 0 AS has_text, CASE WHEN k % 10 = 0 THEN 'changed' END AS new_text,
+               k % 7 = 0 AS has_available, k % 14 = 0 AS new_available,
+               event_type IN ('purchase', 'signup') OR (event_type = 'click' AND k % 11 = 0) AS has_active,
+               event_type = 'signup' AS new_active
+        FROM x_events""",
+    "x_closed": "SELECT max(ts) - INTERVAL 10 MINUTE AS until FROM events",
+    "x_sessions": """
+        SELECT user_id, ts AS started_at, CASE WHEN following = 'disconnect' THEN next_ts END AS ended_at,
+               CASE WHEN following = 'disconnect' THEN epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 END AS duration_ms,
+               CASE following WHEN 'disconnect' THEN 'closed' WHEN 'connect' THEN 'superseded' ELSE 'live' END AS state,
+               next_ts
+        FROM (SELECT *, lead(action) OVER w AS following, lead(ts) OVER w AS next_ts FROM x_connections
+              WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE action = 'connect'""",
+    "x_violations": """
+        SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
+               time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE AS window_end, client, count(*) AS requests
+        FROM x_requests GROUP BY ALL HAVING count(*) > 1""",
+    "x_metrics": """
+        SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, method, path, count(*) AS requests,
+               count(*) FILTER (WHERE status >= 400) AS errors,
+               CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean_ms
+        FROM x_requests GROUP BY ALL""",
 }
 
 _MENU = """SELECT m.*, c.category_name FROM x_menu m JOIN x_categories c ON c.category_id = m.category_id
@@ -554,6 +582,144 @@ BODIES = {
 }
 
 
+def _cart(source: str) -> str:
+    """Cart lines by windows: cut each item's events at its removals, then at its last set."""
+    return f"""SELECT user_id, item_id, CAST(base + adds AS INT) AS quantity FROM (
+        SELECT user_id, item_id, first_add, coalesce(max(quantity) FILTER (WHERE event_id = last_set), 0) AS base,
+               count(*) FILTER (WHERE action = 'add' AND event_id > coalesce(last_set, -1)) AS adds
+        FROM (SELECT *, max(event_id) FILTER (WHERE action = 'set' AND event_id > first_add)
+                        OVER (PARTITION BY user_id, item_id) AS last_set
+              FROM (SELECT *, min(event_id) FILTER (WHERE action = 'add') OVER (PARTITION BY user_id, item_id) AS first_add
+                    FROM (SELECT *, max(CASE WHEN action = 'remove' OR (action = 'set' AND quantity <= 0) THEN event_id END)
+                                    OVER (PARTITION BY user_id, item_id) AS removed
+                          FROM (SELECT *, max(CASE WHEN action = 'clear' THEN event_id END) OVER (PARTITION BY user_id) AS cleared
+                                FROM ({source}))
+                          WHERE action <> 'clear' AND event_id > coalesce(cleared, -1))
+                    WHERE event_id > coalesce(removed, -1)))
+        GROUP BY user_id, item_id, first_add) WHERE first_add IS NOT NULL"""
+
+
+def _menu_view(style: str) -> str:
+    if style == "customer":
+        resets = "(kind = 'error' OR kind = 'purchase')"
+        adds, changes = "(kind = 'click' AND NOT has_active)", "kind IN ('view', 'signup')"
+    else:
+        resets, adds, changes = "kind = 'error'", "kind = 'click'", "kind IN ('view', 'purchase', 'signup')"
+    lives = f"""WITH f AS (SELECT *, max(CASE WHEN {resets} THEN seq END) OVER (PARTITION BY item_id) AS reset FROM x_menu_changes),
+        g AS (SELECT f.*, m.item_id IS NOT NULL AND reset IS NULL AS known, {adds} AS adds, {changes} AS changes,
+                     min(CASE WHEN {adds} AND seq > coalesce(reset, -1) THEN seq END) OVER (PARTITION BY f.item_id) AS born
+              FROM f LEFT JOIN x_menu m ON m.item_id = f.item_id),
+        h AS (SELECT * FROM g WHERE (adds OR changes) AND seq > coalesce(reset, -1) AND (known OR seq >= born)),
+        kept AS (SELECT * FROM x_menu WHERE item_id NOT IN (SELECT item_id FROM f WHERE reset IS NOT NULL))"""
+    if style == "customer":
+        return f"""{lives},
+        v AS (SELECT item_id, bool_or(has_name) AS hn, last(new_name ORDER BY seq) FILTER (WHERE has_name) AS nn,
+                     bool_or(has_price) AS hp, last(new_price ORDER BY seq) FILTER (WHERE has_price) AS np,
+                     bool_or(has_text) AS ht, last(new_text ORDER BY seq) FILTER (WHERE has_text) AS nt,
+                     bool_or(has_available) AS ha, last(new_available ORDER BY seq) FILTER (WHERE has_available) AS na,
+                     bool_or(has_active) AS hc, last(new_active ORDER BY seq) FILTER (WHERE has_active) AS nc
+              FROM h GROUP BY item_id)
+        SELECT coalesce(k.item_id, v.item_id) AS item_id, CASE WHEN hn THEN nn ELSE item_name END AS item_name,
+               CASE WHEN ht THEN nt ELSE description END AS description,
+               CAST(CASE WHEN hp THEN np ELSE price END AS DOUBLE) AS price,
+               CASE WHEN ha THEN na ELSE is_available END AS is_available,
+               CASE WHEN hc THEN nc ELSE is_active END AS is_active
+        FROM kept k FULL JOIN v ON v.item_id = k.item_id"""
+    return f"""{lives},
+        w AS (SELECT * FROM h WHERE changes OR (NOT known AND seq = born)
+              QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) = 1)
+        SELECT item_id, item_name, description, CAST(price AS DOUBLE) AS price, is_available, is_active
+        FROM kept WHERE item_id NOT IN (SELECT item_id FROM w) UNION ALL
+        SELECT item_id, CASE WHEN has_name THEN new_name END, CASE WHEN has_text THEN new_text END,
+               CAST(CASE WHEN has_price THEN new_price END AS DOUBLE), CASE WHEN has_available THEN new_available END,
+               CASE WHEN has_active THEN new_active END FROM w"""
+
+
+_CART_ACTIVITY = """SELECT 'cart_add' AS type, c.user_id, u.username, CAST(c.k AS BIGINT) AS item_id,
+               CASE WHEN c.k % 7 = 3 THEN 1 ELSE 3 END AS quantity, c.ts AS "at"
+        FROM x_cart_messages c JOIN x_users u ON u.user_id = c.user_id WHERE c.k % 7 IN (3, 5, 6)"""
+
+BODIES |= {
+    # Logs, audit rows and feeds
+    "access_log_rows": """SELECT event_id, CASE WHEN status >= 400 THEN 'ERROR' ELSE 'INFO' END AS level, method, path,
+               CAST(status AS INT) AS status, duration_ms FROM x_requests""",
+    "audit_changes": """SELECT order_id AS log_id, user_id, order_id AS entity_id, created_at, field, old_value, new_value FROM (
+            SELECT order_id, user_id, created_at, 'status' AS field, 'pending' AS old_value, status AS new_value FROM x_orders
+            UNION ALL SELECT order_id, user_id, created_at, 'payment_status', 'pending', payment_status FROM x_orders
+            UNION ALL SELECT order_id, user_id, created_at, 'order_type', order_type, NULL FROM x_orders
+            UNION ALL SELECT order_id, user_id, created_at, 'note', NULL, special_instructions FROM x_orders)
+        WHERE old_value IS DISTINCT FROM new_value""",
+    "cart_activity": _CART_ACTIVITY,
+    "cart_activity_stream": _CART_ACTIVITY,
+    "cart_state_batch": _cart("SELECT * FROM x_cart_all"),
+    "cart_state_stream": _cart("SELECT * FROM x_cart WHERE ts <= (SELECT until FROM x_closed)"),
+    "cart_totals": f"""SELECT l.user_id, CAST(sum(m.price * l.quantity) AS DOUBLE) AS cart_total
+        FROM ({_cart("SELECT * FROM x_cart_all")}) l JOIN x_menu m ON m.item_id = l.item_id GROUP BY l.user_id""",
+    "cart_line_counts": f"""SELECT user_id, count(*) AS line_count FROM ({_cart("SELECT * FROM x_cart_all")}) GROUP BY user_id""",
+    "routed_events": """WITH e AS (SELECT event_id, user_id, k % 3 = 0 AS status_sent,
+                   CASE event_type WHEN 'purchase' THEN 'order:new' WHEN 'click' THEN 'cart:activity'
+                        WHEN 'view' THEN 'menu:item:update' WHEN 'signup' THEN 'category:update' ELSE 'order:update' END AS event
+            FROM x_events)
+        SELECT *, 'admins' AS room FROM e UNION ALL
+        SELECT *, 'customers' FROM e WHERE event = 'menu:item:update' UNION ALL
+        SELECT event_id, user_id, status_sent, 'menu:full:refresh', 'customers' FROM e
+        WHERE event = 'category:update' AND status_sent UNION ALL
+        SELECT *, concat('user:', user_id) FROM e WHERE event = 'order:update' AND status_sent""",
+    "new_order_feed": """SELECT user_id * 100 + k AS order_id, concat('ORD', event_id) AS order_number,
+               CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, user_id, CAST(NULL AS VARCHAR) AS username,
+               'asap' AS order_type, CAST(NULL AS TIMESTAMP) AS scheduled_at, ts AS "at"
+        FROM x_events WHERE event_type = 'purchase'
+        QUALIFY row_number() OVER (PARTITION BY user_id * 100 + k ORDER BY ts) = 1""",
+    "menu_view_customer": _menu_view("customer"),
+    "menu_view_admin": _menu_view("admin"),
+    "category_view": """WITH e AS (SELECT CAST(k % 60 AS INT) AS category_id, event_id AS seq, event_type = 'signup' AS adds,
+                   CASE WHEN k % 2 = 0 THEN k % 4 = 0 END AS is_active
+            FROM x_events WHERE event_type IN ('signup', 'purchase')),
+        f AS (SELECT e.*, c.category_id IS NOT NULL AS known, min(CASE WHEN adds THEN seq END) OVER (PARTITION BY e.category_id) AS born
+              FROM e LEFT JOIN x_categories c ON c.category_id = e.category_id),
+        w AS (SELECT * FROM f WHERE (known AND NOT adds) OR (NOT known AND (seq = born OR (NOT adds AND seq > born)))
+              QUALIFY row_number() OVER (PARTITION BY category_id ORDER BY seq DESC) = 1)
+        SELECT * FROM x_categories WHERE category_id NOT IN (SELECT category_id FROM w) UNION ALL
+        SELECT category_id, concat('Category ', seq), is_active FROM w""",
+    "order_feed_admin": """SELECT o.order_id, CASE WHEN c.seq IS NULL THEN o.order_number ELSE concat('UPD', c.seq) END AS order_number,
+               CAST(coalesce(c.seq, o.total_amount) AS DOUBLE) AS total_amount,
+               CASE WHEN c.seq IS NULL THEN o.status ELSE c.status END AS status,
+               CASE WHEN c.seq IS NULL THEN o.payment_status ELSE c.payment_status END AS payment_status, o.created_at
+        FROM x_orders o LEFT JOIN (SELECT * FROM x_order_changes
+             QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) = 1) c ON c.order_id = o.order_id""",
+    "order_feed_customer": """SELECT o.order_id, o.order_number, CAST(o.total_amount AS DOUBLE) AS total_amount,
+               CASE WHEN c.seq IS NULL THEN o.status ELSE c.status END AS status,
+               CASE WHEN c.seq IS NULL THEN o.payment_status ELSE c.payment_status END AS payment_status, o.created_at
+        FROM x_orders o LEFT JOIN (SELECT * FROM x_order_changes
+             QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) = 1) c ON c.order_id = o.order_id""",
+    "rate_violations_batch": "SELECT * FROM x_violations",
+    "rate_violations_stream": "SELECT * FROM x_violations WHERE window_end <= (SELECT until FROM x_closed)",
+    "rate_violations_daily": """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
+               time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, client, count(*) AS requests
+        FROM x_requests GROUP BY ALL HAVING count(*) > 3""",
+    "limit_violations": """WITH r AS (
+            SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, INTERVAL 15 MINUTE AS step, client, 'all' AS limit_name, 100 AS most
+            FROM x_requests UNION ALL
+            SELECT time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE, client, 'sign_in', 10 FROM x_requests
+            WHERE path LIKE '/api/auth/%' UNION ALL
+            SELECT time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE, client, 'order', 3 FROM x_requests
+            WHERE path = '/api/orders')
+        SELECT window_start, window_start + step AS window_end, client, count(*) AS requests, limit_name
+        FROM r GROUP BY window_start, step, client, limit_name, most HAVING count(*) > most""",
+    "request_metrics_batch": "SELECT * FROM x_metrics",
+    "request_metrics_stream": """SELECT * FROM x_metrics
+        WHERE window_start + INTERVAL 15 MINUTE <= (SELECT until FROM x_closed)""",
+    "connection_sessions": "SELECT * EXCLUDE (next_ts) FROM x_sessions",
+    "connection_stream": """SELECT * EXCLUDE (next_ts) FROM x_sessions
+        WHERE next_ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM x_connections)""",
+    "activity_sessions_stream": """WITH s AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts
+            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        n AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS nr FROM s)
+        SELECT user_id, min(ts) AS started_at, max(ts) + INTERVAL 2 HOUR AS ended_at, count(*) AS events
+        FROM n GROUP BY user_id, nr HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT until FROM x_closed)""",
+}
+
+
 def oracle(name: str) -> str:
     """The query text with the mapping views it uses, each view defined once."""
     body = BODIES[name]

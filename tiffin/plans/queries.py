@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from tiffin.functions import money, text, times
 from tiffin.operators import accounts, catalog, changes, documents, orders, pricing, quality, sales
 from tiffin.operators.paging import head, page, page_after
-from tiffin.session import tune
+from tiffin.session import shared_dir, tune
+from tiffin.sources import audit, logs
 from tiffin.sources import base_tables as base
+from tiffin.sources.events import drain
+from tiffin.streaming import carts, connections, feeds, traffic, views
+from tiffin.streaming.ordered import STATE_STORE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -702,3 +707,183 @@ def cart_message_errors(m, spark, folder):
 def status_anomalies(m, spark, folder):
     found = quality.status_anomalies(base.status_history(spark, folder))
     return found.select("order_id", "seq", "previous", "status", "anomaly")
+
+
+# Logs, audit rows and feeds -----------------------------------------------------
+
+
+@query
+def access_log_rows(m, spark, folder):
+    """Requests written as log lines and read back."""
+    r = base.request_log(base.events(spark, folder))
+    line = logs.access_log_line(
+        text.log_level(F.col("status")), F.col("method"), F.col("path"), F.col("status"), F.col("duration_ms")
+    )
+    return logs.parse_access_log(r.select("event_id", line.alias("value")))
+
+
+@query
+def audit_changes(m, spark, folder):
+    return audit.audit_changes(base.audit_rows(spark, folder)).drop("action", "entity_type")
+
+
+@query
+def cart_activity(m, spark, folder):
+    return carts.cart_activity(base.cart_payloads(base.events(spark, folder)), m["users"])
+
+
+@query
+def cart_state_batch(m, spark, folder):
+    return carts.cart_lines(base.cart_events(base.events(spark, folder)))
+
+
+@query
+def cart_totals(m, spark, folder):
+    lines = carts.cart_lines(base.cart_events(base.events(spark, folder)))
+    return sales.cart_totals(carts.priced_cart(lines, m["menu_items"]))
+
+
+@query
+def cart_line_counts(m, spark, folder):
+    return sales.cart_line_counts(carts.cart_lines(base.cart_events(base.events(spark, folder))))
+
+
+@query
+def routed_events(m, spark, folder):
+    return feeds.route(base.routed_messages(base.events(spark, folder)))
+
+
+@query
+def new_order_feed(m, spark, folder):
+    return feeds.new_order_feed(base.new_order_messages(base.events(spark, folder)))
+
+
+def menu_state(m):
+    return m["menu_items"].select("item_id", "item_name", "description", "price", "is_available", "is_active")
+
+
+@query
+def menu_view_customer(m, spark, folder):
+    changes_df = base.menu_changes(base.events(spark, folder))
+    return views.merge_menu_events(menu_state(m), changes_df, "customer")
+
+
+@query
+def menu_view_admin(m, spark, folder):
+    changes_df = base.menu_changes(base.events(spark, folder))
+    return views.merge_menu_events(menu_state(m), changes_df, "admin")
+
+
+@query
+def category_view(m, spark, folder):
+    return views.merge_category_events(m["categories"], base.category_messages(base.events(spark, folder)))
+
+
+def order_update_messages(m, spark, folder):
+    """Order changes as full update messages."""
+    changed = order_changes(m, spark, folder)
+    return changed.select(
+        "order_id",
+        F.concat(F.lit("UPD"), F.col("seq").cast("string")).alias("order_number"),
+        "status",
+        "payment_status",
+        F.col("seq").cast("decimal(12,2)").alias("total_amount"),
+        "at",
+        "seq",
+    )
+
+
+@query
+def order_feed_admin(m, spark, folder):
+    state = m["orders"].select("order_id", "order_number", "total_amount", "status", "payment_status", "created_at")
+    return views.merge_order_updates(state, order_update_messages(m, spark, folder), "admin")
+
+
+@query
+def order_feed_customer(m, spark, folder):
+    state = m["orders"].select("order_id", "order_number", "total_amount", "status", "payment_status", "created_at")
+    return views.merge_order_updates(state, order_update_messages(m, spark, folder), "customer")
+
+
+@query
+def rate_violations_batch(m, spark, folder):
+    return traffic.rate_violations(base.request_log(base.events(spark, folder)), 1, "15 minutes")
+
+
+@query
+def rate_violations_daily(m, spark, folder):
+    return traffic.rate_violations(base.request_log(base.events(spark, folder)), 3, "1 day")
+
+
+@query
+def limit_violations(m, spark, folder):
+    """Clients over the configured limits, each limit on the requests it covers."""
+    requests = base.request_log(base.events(spark, folder))
+    covered = {
+        "all": requests,
+        "sign_in": requests.filter("path LIKE '/api/auth/%'"),
+        "order": requests.filter("path = '/api/orders'"),
+    }
+    parts = [
+        traffic.limit_violations(rows, name).withColumn("limit_name", F.lit(name)) for name, rows in covered.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def request_metrics_batch(m, spark, folder):
+    """Exact figures only; the percentile is an estimate."""
+    return traffic.request_metrics(base.request_log(base.events(spark, folder))).drop("p95_ms")
+
+
+@query
+def connection_sessions(m, spark, folder):
+    return connections.connection_sessions(base.connection_events(base.events(spark, folder)))
+
+
+# Streams over the same events, run until everything available is read --------------
+
+
+def _run_folder(spark) -> str:
+    return f"{shared_dir(spark)}/runs/{uuid.uuid4().hex}"
+
+
+@query
+def cart_activity_stream(m, spark, folder):
+    stream = carts.cart_activity(base.cart_payloads(base.event_stream(spark, folder)), m["users"])
+    return drain(stream, _run_folder(spark))
+
+
+@query
+def rate_violations_stream(m, spark, folder):
+    """Violations in the windows that the watermark has closed."""
+    stream = traffic.rate_violations(base.request_log(base.event_stream(spark, folder)), 1, "15 minutes")
+    return drain(stream, _run_folder(spark))
+
+
+@query
+def request_metrics_stream(m, spark, folder):
+    stream = traffic.request_metrics(base.request_log(base.event_stream(spark, folder))).drop("p95_ms")
+    return drain(stream, _run_folder(spark))
+
+
+@query
+def activity_sessions_stream(m, spark, folder):
+    stream = connections.activity_sessions(base.event_stream(spark, folder), "2 hours")
+    return drain(stream, _run_folder(spark))
+
+
+@query
+def cart_state_stream(m, spark, folder):
+    """Carts after all events that the watermark has passed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = carts.cart_state(base.cart_events(base.event_stream(spark, folder)))
+    return carts.newest_carts(drain(stream, _run_folder(spark), "update"))
+
+
+@query
+def connection_stream(m, spark, folder):
+    """Sessions ended by events that the watermark has passed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    stream = connections.connection_stream(base.connection_events(base.event_stream(spark, folder)))
+    return drain(stream, _run_folder(spark))

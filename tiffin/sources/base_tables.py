@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.sources.sizes import small
@@ -136,6 +136,13 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream of its files."""
+    path = f"{folder}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def cart_events(events_df: DataFrame) -> DataFrame:
     """click adds, view sets a quantity (0 removes), error removes, the rest empties."""
     kind = F.col("event_type")
@@ -197,6 +204,100 @@ def connection_events(events_df: DataFrame) -> DataFrame:
     )
 
 
+def routed_messages(events_df: DataFrame) -> DataFrame:
+    """Every event as an emitted message with its owner."""
+    kind = F.col("event_type")
+    name = (
+        F.when(kind == "purchase", "order:new")
+        .when(kind == "click", "cart:activity")
+        .when(kind == "view", "menu:item:update")
+        .when(kind == "signup", "category:update")
+        .otherwise("order:update")
+    )
+    return events_df.select("event_id", name.alias("event"), "user_id", (_prop_k() % 3 == 0).alias("status_sent"))
+
+
+def new_order_messages(events_df: DataFrame) -> DataFrame:
+    """Purchases as new-order messages, sent again by some retries."""
+    k = _prop_k()
+    return events_df.filter("event_type = 'purchase'").select(
+        (F.col("user_id") * 100 + k).alias("orderId"),
+        F.concat(F.lit("ORD"), F.col("event_id").cast("string")).alias("orderNumber"),
+        F.col("value").cast("decimal(12,2)").alias("totalAmount"),
+        F.col("user_id").alias("userId"),
+        F.lit(None).cast("string").alias("username"),
+        F.lit("asap").alias("orderType"),
+        F.lit(None).cast("timestamp").alias("scheduledAt"),
+        F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"),
+    )
+
+
+def _payload(*entries) -> Column:
+    """Map of the fields that were sent; a sent value may be NULL."""
+    pairs = [
+        F.when(sent, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+        for name, sent, value in entries
+    ]
+    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+
+
+def menu_changes(events_df: DataFrame) -> DataFrame:
+    """click adds an item, error deletes it, the rest update some of its fields."""
+    kind, k, seq = F.col("event_type"), _prop_k(), F.col("event_id")
+    flag = (
+        F.when((kind == "purchase") | ((kind == "click") & (k % 11 == 0)), "0").when(kind == "signup", "1")
+    )
+    payload = _payload(
+        ("item_name", (k % 2 == 0) | (kind == "click"), F.concat(F.lit("Name "), seq.cast("string"))),
+        ("price", k % 3 == 0, F.concat(k.cast("string"), F.lit(".50"))),
+        ("description", k % 5 == 0, F.when(k % 10 == 0, F.lit("changed"))),
+        ("is_available", k % 7 == 0, F.when(k % 14 == 0, "true").otherwise("false")),
+        ("is_active", flag.isNotNull(), flag),
+    )
+    return events_df.select(
+        F.when(kind == "click", "add").when(kind == "error", "delete").otherwise("update").alias("op"),
+        (F.col("user_id") * 14 + k % 14).alias("item_id"),
+        payload.alias("payload"),
+        F.col("ts").alias("at"),
+        seq.alias("seq"),
+    )
+
+
+def category_messages(events_df: DataFrame) -> DataFrame:
+    """Sign-up and purchase events as added and updated categories."""
+    kind, k, seq = F.col("event_type"), _prop_k(), F.col("event_id")
+    payload = _payload(
+        ("category_name", F.lit(True), F.concat(F.lit("Category "), seq.cast("string"))),
+        ("is_active", k % 2 == 0, F.when(k % 4 == 0, "1").otherwise("0")),
+    )
+    return events_df.filter("event_type IN ('signup', 'purchase')").select(
+        F.when(kind == "signup", "add").otherwise("update").alias("op"),
+        (k % 60).cast("int").alias("category_id"),
+        payload.alias("payload"),
+        F.col("ts").alias("at"),
+        seq.alias("seq"),
+    )
+
+
+def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One audit row per order, from its first state to its present one."""
+    o = orders(spark, folder)
+    old = F.to_json(F.struct(F.lit("pending").alias("status"), F.lit("pending").alias("payment_status"), "order_type"))
+    new = F.to_json(F.struct("status", "payment_status", F.col("special_instructions").alias("note")))
+    return o.select(
+        F.col("order_id").alias("log_id"),
+        "user_id",
+        F.lit("update").alias("action"),
+        F.lit("order").alias("entity_type"),
+        F.col("order_id").alias("entity_id"),
+        old.alias("old_values"),
+        new.alias("new_values"),
+        F.lit(None).cast("string").alias("ip_address"),
+        "created_at",
+    )
+
+
 def status_history(spark: SparkSession, folder: str) -> DataFrame:
     """Status changes per order: one per line, dated by its shipping day."""
     number = F.col("l_linenumber")

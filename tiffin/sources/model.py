@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.sources import store
-from tiffin.sources.schemas import KEYS, MODEL
+from tiffin.sources.schemas import KEYS, MODEL, fields
 
 Model = dict[str, DataFrame]
 
@@ -29,6 +29,7 @@ def load_model_csv(spark: SparkSession, folder: str) -> Model:
     """Tables exported as CSV with a header; flags may be 0/1 or true/false."""
     model = {}
     for name, schema in MODEL.items():
+        schema = fields(schema)
         flags = [field.name for field in schema if field.dataType.typeName() == "boolean"]
         ddl = ", ".join(
             f"{field.name} {'STRING' if field.name in flags else field.dataType.simpleString()}"
@@ -60,7 +61,7 @@ def load_model_jdbc(
                 (as_flag(F.col(f.name)) if f.dataType.typeName() == "boolean" else F.col(f.name).cast(f.dataType)).alias(
                     f.name
                 )
-                for f in schema
+                for f in fields(schema)
             ]
         )
     return model
