@@ -671,6 +671,7 @@ BODIES |= {
         FROM x_events WHERE event_type = 'purchase'
         QUALIFY row_number() OVER (PARTITION BY user_id * 100 + k ORDER BY ts) = 1""",
     "menu_view_customer": _menu_view("customer"),
+    "menu_view_stream": _menu_view("customer"),
     "menu_view_admin": _menu_view("admin"),
     "category_view": """WITH e AS (SELECT CAST(k % 60 AS INT) AS category_id, event_id AS seq, event_type = 'signup' AS adds,
                    CASE WHEN k % 2 = 0 THEN k % 4 = 0 END AS is_active

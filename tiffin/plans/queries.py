@@ -13,11 +13,10 @@ from tiffin.functions import money, text, times
 from tiffin.operators import accounts, catalog, changes, documents, orders, pricing, quality, sales
 from tiffin.operators.paging import head, page, page_after
 from tiffin.session import shared_dir, tune
-from tiffin.sources import audit, logs
+from tiffin.sources import audit, logs, store
 from tiffin.sources import base_tables as base
 from tiffin.sources.events import drain
 from tiffin.streaming import carts, connections, feeds, traffic, views
-from tiffin.streaming.ordered import STATE_STORE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -875,15 +874,31 @@ def activity_sessions_stream(m, spark, folder):
 
 @query
 def cart_state_stream(m, spark, folder):
-    """Carts after all events that the watermark has passed."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    stream = carts.cart_state(base.cart_events(base.event_stream(spark, folder)))
-    return carts.newest_carts(drain(stream, _run_folder(spark), "update"))
+    """Carts after all events that are due, folded from the stream."""
+    run = _run_folder(spark)
+    events = base.cart_events(base.event_stream(spark, folder))
+    carts.keep_carts(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
+    return store.current(spark, f"{run}/state", "carts")
 
 
 @query
 def connection_stream(m, spark, folder):
-    """Sessions ended by events that the watermark has passed."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    stream = connections.connection_stream(base.connection_events(base.event_stream(spark, folder)))
-    return drain(stream, _run_folder(spark))
+    """Sessions ended by events that are due, folded from the stream."""
+    run = _run_folder(spark)
+    events = base.connection_events(base.event_stream(spark, folder))
+    connections.keep_sessions(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
+    return connections.ended_sessions(spark, f"{run}/state")
+
+
+@query
+def menu_view_stream(m, spark, folder):
+    """The customers' menu, kept up to date from the stream of menu events."""
+    run = _run_folder(spark)
+    store.publish({"menu": menu_state(m)}, f"{run}/state", 0)
+
+    def merge(state, batch):
+        return views.merge_menu_events(state, batch, "customer")
+
+    changes_df = base.menu_changes(base.event_stream(spark, folder))
+    views.keep_view(changes_df, f"{run}/state", "menu", merge, f"{run}/checkpoint").awaitTermination()
+    return store.current(spark, f"{run}/state", "menu")

@@ -138,8 +138,9 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of its files."""
-    path = f"{folder}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = table(spark, folder, "events").schema
+    # As a pattern, the path may be one file as well as a folder of files.
+    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -59,6 +59,14 @@ def current(spark: SparkSession, folder: str, table: str, version: int | None =
     return None if path is None else spark.read.parquet(path)
 
 
+def all_versions(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """The rows of every published version of a table, for outputs written per version."""
+    log = _log(spark, folder)
+    # One short path per version.
+    paths = [row[0] for row in log.filter(F.col("table") == table).select("path").distinct().collect()]
+    return spark.read.parquet(*paths)
+
+
 def append_by_day(df: DataFrame, path: str, ts: str = "created_at", day: str = "order_date") -> None:
     """Append rows in one folder per day.
 

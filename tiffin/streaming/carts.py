@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tiffin.operators.quality import check_cart_messages, split
+from tiffin.streaming.folds import fold_in_order
 from tiffin.streaming.ordered import OrderedProcessor
 
 
@@ -18,51 +20,66 @@ def cart_activity(messages: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def cart_lines(events: DataFrame) -> DataFrame:
-    """Cart contents after all events: user_id, item_id, quantity.
+ITEM_KEY = ["user_id", "item_id"]
 
-    ``events``: event_id, ts, user_id, action, item_id, quantity. An add gives one
-    unit more, a set changes an item that is in the cart, a set of 0 or a remove
-    takes it out, a clear empties the cart.
+
+def cart_lines(events: DataFrame, carts: DataFrame | None = None) -> DataFrame:
+    """Cart contents after the events: user_id, item_id, quantity.
+
+    ``events``: event_id, ts, user_id, action, item_id, quantity. ``carts``: contents
+    before them, none by default. An add gives one unit more, a set changes an item
+    that is in the cart, a set of 0 or a remove takes it out, a clear empties the cart.
 
     Only extreme events matter: the last clear of the user, the last removal of the
     item, its first add after that and its last set. Each is an aggregate joined
     back, so the events of one busy cart need not meet in one task.
     """
-    item_key = ["user_id", "item_id"]
+    if carts is None:
+        carts = events.select(*ITEM_KEY, "quantity").limit(0)
     placed = events.withColumn("_at", F.struct("ts", "event_id"))
     cleared = placed.filter("action = 'clear'").groupBy("user_id").agg(F.max("_at").alias("_cleared"))
     live = (
         placed.filter("action IN ('add', 'set', 'remove')")
         .join(cleared, "user_id", "left")
         .filter(F.col("_cleared").isNull() | (F.col("_at") > F.col("_cleared")))
-        .select(*item_key, "action", "quantity", "_at")
+        .select(*ITEM_KEY, "action", "quantity", "_at")
     )
     taken_out = "action = 'remove' OR (action = 'set' AND quantity <= 0)"
-    removed = live.filter(taken_out).groupBy(*item_key).agg(F.max("_at").alias("_removed"))
+    removed = live.filter(taken_out).groupBy(*ITEM_KEY).agg(F.max("_at").alias("_removed"))
+    stayed = (
+        carts.join(cleared, "user_id", "left_anti")
+        .join(removed, ITEM_KEY, "left_anti")
+        .select(*ITEM_KEY, F.col("quantity").alias("_had"))
+    )
     kept = (
         live.filter("action = 'add' OR (action = 'set' AND quantity > 0)")
-        .join(removed, item_key, "left")
+        .join(removed, ITEM_KEY, "left")
         .filter(F.col("_removed").isNull() | (F.col("_at") > F.col("_removed")))
         .drop("_removed")
     )
     is_set = F.col("action") == "set"
-    marks = kept.groupBy(*item_key).agg(
+    marks = kept.groupBy(*ITEM_KEY).agg(
         F.min(F.when(~is_set, F.col("_at"))).alias("_first_add"),
         F.max(F.when(is_set, F.col("_at"))).alias("_last_set"),
         F.max_by("quantity", F.when(is_set, F.col("_at"))).alias("_set_to"),
     )
-    # A set before the first add found no such item in the cart.
-    in_cart = marks.filter("_first_add IS NOT NULL").select(
-        *item_key,
-        F.when(F.col("_last_set") > F.col("_first_add"), F.col("_last_set")).alias("_from"),
-        F.when(F.col("_last_set") > F.col("_first_add"), F.col("_set_to")).otherwise(0).alias("_base"),
+    # A set finds the item if it was there before or was added before the set.
+    had = F.col("_had").isNotNull()
+    found = F.col("_last_set").isNotNull() & (had | F.coalesce(F.col("_last_set") > F.col("_first_add"), F.lit(False)))
+    in_cart = (
+        marks.join(stayed, ITEM_KEY, "full")
+        .filter(had | F.col("_first_add").isNotNull())
+        .select(
+            *ITEM_KEY,
+            F.when(found, F.col("_last_set")).alias("_from"),
+            F.when(found, F.col("_set_to")).otherwise(F.coalesce("_had", F.lit(0))).alias("_base"),
+        )
     )
-    adds = kept.filter(~is_set).select(*item_key, "_at").join(in_cart, item_key)
+    adds = kept.filter(~is_set).select(*ITEM_KEY, "_at").join(in_cart, ITEM_KEY)
     counted = adds.filter(F.col("_from").isNull() | (F.col("_at") > F.col("_from")))
-    later = counted.groupBy(*item_key).agg(F.count("*").alias("_adds"))
-    return in_cart.join(later, item_key, "left").select(
-        *item_key, (F.col("_base") + F.coalesce("_adds", F.lit(0))).cast("int").alias("quantity")
+    later = counted.groupBy(*ITEM_KEY).agg(F.count("*").alias("_adds"))
+    return in_cart.join(later, ITEM_KEY, "left").select(
+        *ITEM_KEY, (F.col("_base") + F.coalesce("_adds", F.lit(0))).cast("int").alias("quantity")
     )
 
 
@@ -71,6 +88,15 @@ def priced_cart(lines: DataFrame, menu_items: DataFrame) -> DataFrame:
     return lines.join(menu_items.select("item_id", "price"), "item_id")
 
 
+def keep_carts(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Stream of cart events folded into the published table ``carts``."""
+
+    def fold(state: dict[str, DataFrame], due: DataFrame) -> dict[str, DataFrame]:
+        return {"carts": cart_lines(due, state.get("carts"))}
+
+    return fold_in_order(events, folder, fold, checkpoint, delay)
+
+
 class CartProcessor(OrderedProcessor):
     """One user's cart. Emits every item whose quantity changed; 0 means gone."""
 
@@ -114,7 +140,11 @@ class CartProcessor(OrderedProcessor):
 
 
 def cart_state(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stream of cart changes. The newest row per user and item is the cart."""
+    """Stream of cart changes within seconds. The newest row per user and item is the cart.
+
+    State is kept per user in the state store. For a backlog, or where one user may
+    send a large share of a micro-batch, use ``keep_carts``.
+    """
     return (
         events.withWatermark("ts", delay)
         .groupBy("user_id")

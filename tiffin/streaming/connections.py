@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tiffin.operators.quality import previous_in_order
+from tiffin.sources import store
+from tiffin.streaming.folds import fold_in_order
 from tiffin.streaming.ordered import OrderedProcessor
 
 
@@ -45,6 +48,30 @@ def connection_sessions(events: DataFrame) -> DataFrame:
     return ending.unionByName(live)
 
 
+def keep_sessions(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Stream of connection events folded into the published tables ``open`` and ``ended``.
+
+    Every version of ``ended`` holds the sessions that its micro-batch ended;
+    ``ended_sessions`` reads them all.
+    """
+
+    def fold(state: dict[str, DataFrame], due: DataFrame) -> dict[str, DataFrame]:
+        steps = due.select("event_id", "ts", "user_id", "action")
+        if "open" in state:
+            # An open session continues as the connect event that opened it.
+            steps = steps.unionByName(state["open"])
+        last = steps.groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts", "action"), F.struct("ts", "event_id")).alias("_last"))
+        still_open = last.filter(F.col("_last.action") == "connect").select("user_id", "_last.*")
+        sessions = connection_sessions(steps).filter("state <> 'live'")
+        return {"open": still_open.select("event_id", "ts", "user_id", "action"), "ended": sessions}
+
+    return fold_in_order(events, folder, fold, checkpoint, delay)
+
+
+def ended_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return store.all_versions(spark, folder, "ended")
+
+
 def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Stream of activity periods per user that end after a gap without events."""
     return (
@@ -88,7 +115,11 @@ class ConnectionProcessor(OrderedProcessor):
 
 
 def connection_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Stream of ended sessions."""
+    """Stream of ended sessions within seconds, with state per user in the state store.
+
+    For a backlog, or where one user may send a large share of a micro-batch, use
+    ``keep_sessions``.
+    """
     return (
         events.withWatermark("ts", delay)
         .groupBy("user_id")

@@ -24,23 +24,30 @@ class OrderedProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.waiting_schema)
-        self.columns = [part.split()[0] for part in self.waiting_schema.split(",")]
+        kinds = dict(part.split() for part in self.waiting_schema.split(","))
+        self.columns = list(kinds)
+        # A column with missing values arrives as floats; state rows need whole numbers.
+        self.whole = {name: "Int64" for name, kind in kinds.items() if kind in ("int", "bigint")}
+
+    def _rows(self, frame: pd.DataFrame) -> list[tuple]:
+        frame = frame[self.columns].astype(self.whole).astype(object)
+        return list(frame.where(frame.notna(), None).itertuples(index=False, name=None))
 
     def fold(self, key, events: pd.DataFrame) -> pd.DataFrame | None:
         raise NotImplementedError
 
+    def _wake_at(self, ts: pd.Timestamp) -> None:
+        self.handle.registerTimer(ts.value // 1_000_000 + 1)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
+        oldest = None
         for frame in rows:
-            frame = frame[self.columns]
-            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in row) for row in frame.itertuples(index=False)])
-            latest = frame["ts"].max()
-            newest = latest if newest is None else max(newest, latest)
-        if newest is not None:
-            millis = int(newest.timestamp() * 1000) + 1
-            if millis > timerValues.getCurrentWatermarkInMs():
-                self.handle.registerTimer(millis)
-        yield from self._release(key, timerValues)
+            self.waiting.appendList(self._rows(frame))
+            first = frame["ts"].min()
+            oldest = first if oldest is None else min(oldest, first)
+        if oldest is not None:
+            self._wake_at(pd.Timestamp(oldest))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._release(key, timerValues)
@@ -58,7 +65,8 @@ class OrderedProcessor(StatefulProcessor):
         if rest.empty:
             self.waiting.clear()
         else:
-            self.waiting.put([tuple(None if pd.isna(v) else v for v in row) for row in rest.itertuples(index=False)])
+            self.waiting.put(self._rows(rest))
+            self._wake_at(rest["ts"].min())
         result = self.fold(key, held[due].sort_values(["ts", "event_id"]))
         if result is not None and not result.empty:
             yield result
