@@ -181,23 +181,23 @@ def previous_in_order(
 ) -> DataFrame:
     """The value of the row before, per key in the given order.
 
-    A window over a hot key would put all its rows into one task. Rows are numbered
-    inside (key, day) instead; the last value of each day, one row per key and day,
-    carries over to the next day.
+    A window over a hot key would put all its rows into one task. Rows are ordered
+    inside (key, day) instead. Only the first row of each day looks across days: it
+    carries the day's last value to the first row of the next one.
     """
-    sliced = df.withColumn("_slice", slice_of if slice_of is not None else F.to_date(order[0]))
-    last = sliced.groupBy(key, "_slice").agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last")
+    sliced = df.withColumns(
+        {
+            "_slice": slice_of if slice_of is not None else F.to_date(order[0]),
+            "_box": F.struct(F.col(value).alias("v")),
+        }
     )
+    inside = Window.partitionBy(key, "_slice").orderBy(*order)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = sliced.withColumns({"_before": F.lag("_box").over(inside), "_last": F.last("_box").over(whole)})
     carried = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
-    carry = last.select(key, "_slice", carried.alias("_carry"))
-    before = F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_slice").orderBy(*order))
-    return (
-        sliced.withColumn("_before", before)
-        .join(carry, [key, "_slice"])
-        .withColumn(alias, F.coalesce("_before", "_carry")["v"])
-        .drop("_slice", "_before", "_carry")
-    )
+    first_of_day = placed.filter("_before IS NULL").withColumn("_before", carried)
+    rest = placed.filter("_before IS NOT NULL")
+    return rest.unionByName(first_of_day).withColumn(alias, F.col("_before.v")).drop("_slice", "_box", "_before", "_last")
 
 
 def status_anomalies(history: DataFrame) -> DataFrame:

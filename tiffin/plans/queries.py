@@ -413,7 +413,7 @@ def price_orders_rejects(m, spark, folder):
 def order_changes(m, spark, folder):
     """One change per event: known, unknown and missing states, some unknown orders."""
     e = base.events(spark, folder)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     status = (
         F.when(k % 5 == 0, "ready").when(k % 5 == 1, "cancelled").when(k % 5 == 2, "lost").when(k % 5 == 3, "completed")
     )
@@ -441,7 +441,7 @@ def order_update_rejects(m, spark, folder):
 
 def category_changes(m, spark, folder):
     e = base.events(spark, folder)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     return e.filter("event_type = 'signup'").select(
         (k % 40).alias("category_id"),
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" Renamed "), k.cast("string"), F.lit(" ")))
@@ -473,7 +473,7 @@ def category_change_rejects(m, spark, folder):
 
 def item_changes(m, spark, folder):
     e = base.events(spark, folder)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     return e.filter("event_type = 'error'").select(
         (F.col("user_id") * 20 + k - 10).alias("item_id"),
         (k % 4).alias("category_id"),
@@ -508,7 +508,7 @@ def soft_delete_items(m, spark, folder):
 def insert_users(m, spark, folder):
     """Sign-up events: new names, names taken by customers, and repeats in the batch."""
     e = base.events(spark, folder)
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.col("k")
     taken = F.concat(F.lit("CUSTOMER_"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
     fresh = F.concat(F.lit("guest_"), (F.col("user_id") * 3 + k).cast("string"))
     signups = e.filter("event_type = 'signup'").select(

@@ -129,11 +129,18 @@ def model_from_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def _prop_k():
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.col("k")
+
+
+def _with_k(events_df: DataFrame) -> DataFrame:
+    """Read the JSON property once, however often it is used."""
+    return events_df.withColumns(
+        {"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("int")}
+    )
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _with_k(table(spark, folder, "events"))
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +148,7 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
     # As a pattern, the path may be one file as well as a folder of files.
     stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _with_k(stream)
 
 
 def cart_events(events_df: DataFrame) -> DataFrame:
@@ -163,13 +170,13 @@ def cart_events(events_df: DataFrame) -> DataFrame:
 
 def cart_payloads(events_df: DataFrame) -> DataFrame:
     """Raw ``cart:add`` messages, some of them malformed."""
-    k = F.get_json_object("props", "$.k")
+    k = _prop_k().cast("string")
     text = (
-        F.when(k.cast("int") % 7 == 0, "not json")
-        .when(k.cast("int") % 7 == 1, F.concat(F.lit('{"item": {"quantity": '), k, F.lit("}}")))
-        .when(k.cast("int") % 7 == 2, F.concat(F.lit('{"item": {"item_id": "'), k, F.lit('"}}')))
-        .when(k.cast("int") % 7 == 3, F.concat(F.lit('{"item": {"item_id": '), k, F.lit("}}")))
-        .when(k.cast("int") % 7 == 4, F.concat(F.lit('{"item": {"item_id": '), k, F.lit('.5, "quantity": 2}}')))
+        F.when(_prop_k() % 7 == 0, "not json")
+        .when(_prop_k() % 7 == 1, F.concat(F.lit('{"item": {"quantity": '), k, F.lit("}}")))
+        .when(_prop_k() % 7 == 2, F.concat(F.lit('{"item": {"item_id": "'), k, F.lit('"}}')))
+        .when(_prop_k() % 7 == 3, F.concat(F.lit('{"item": {"item_id": '), k, F.lit("}}")))
+        .when(_prop_k() % 7 == 4, F.concat(F.lit('{"item": {"item_id": '), k, F.lit('.5, "quantity": 2}}')))
         .otherwise(F.concat(F.lit('{"item": {"item_id": '), k, F.lit(', "quantity": 3}}')))
     )
     return events_df.filter("event_type = 'click'").select("event_id", "ts", "user_id", text.alias("payload"))

@@ -3,7 +3,7 @@
 Each merge is a pure function of (state, events of a batch). Events of one key do
 not commute, but their outcome needs only a few extreme events: the last one that
 removes the row, the first later one that adds it, and the last value sent for
-each field. These are plain aggregates, so a busy key is reduced before any shuffle.
+each field. Two aggregates find them, one per pass over the events.
 """
 
 from __future__ import annotations
@@ -34,66 +34,81 @@ def _inactive() -> Column:
 
 
 
-def _field_values(events: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """Per key and field: whether it was sent, and the last value sent (NULL counts)."""
-    aggregates = []
+def _after_reset(events: DataFrame, key: str, resets: Column, adds: Column, changes: Column) -> DataFrame:
+    """Events with ``_reset``, the last one that removes the row, and ``_counts``: adds and changes after it."""
+    marked = events.withColumns({"_resets": resets, "_adds": adds, "_changes": changes, "_at": _at()})
+    removed = marked.filter("_resets").groupBy(key).agg(F.max("_at").alias("_reset"))
+    later = F.col("_reset").isNull() | (F.col("_at") > F.col("_reset"))
+    return marked.join(removed, key, "left").withColumn("_counts", (F.col("_adds") | F.col("_changes")) & later)
+
+
+def _counted(value: Column) -> Column:
+    return F.when(F.col("_counts"), value)
+
+
+def _first_add() -> Column:
+    return F.min(_counted(F.when(F.col("_adds"), F.col("_at")))).alias("_born")
+
+
+def _with_state(state: DataFrame, folded: DataFrame, key: str) -> DataFrame:
+    """State rows next to what the batch did to their keys.
+
+    ``_stays``: the row was there and is not removed. ``_lives``: it is there at the
+    end, because it stays or because it was added after the last removal.
+    """
+    stays = F.col("_known").isNotNull() & F.col("_reset").isNull()
+    both = state.withColumn("_known", F.lit(True)).join(folded, key, "full").withColumn("_stays", stays)
+    return both.filter(F.col("_stays") | F.col("_born").isNotNull())
+
+
+def _merge_fields(state: DataFrame, alive: DataFrame, key: str) -> DataFrame:
+    """Field by field: sent values replace, other fields stay.
+
+    A new row takes only values sent at or after its first add. If the last value of
+    a field is older than that, no later one was sent.
+    """
+    fields = [f for f in state.schema if f.name != key]
+    aggregates = [_first_add(), F.max("_reset").alias("_reset")]
     for field in fields:
-        sent = _sent(field)
-        aggregates += [
-            F.max(sent).alias(f"_has_{field}"),
-            F.max_by(F.col("payload")[field], F.when(sent, _at())).alias(f"_new_{field}"),
-        ]
-    return events.groupBy(key).agg(*aggregates)
-
-
-class _Lives:
-    """Splits keys by what a batch does to their rows."""
-
-    def __init__(self, state: DataFrame, events: DataFrame, key: str, resets: Column, adds: Column, changes: Column):
-        marked = events.withColumns({"_resets": resets, "_adds": adds, "_changes": changes, "_at": _at()})
-        removed = marked.filter("_resets").groupBy(key).agg(F.max("_at").alias("_reset"))
-        #: rows of the state that the batch does not remove
-        self.kept = state.join(removed.select(key), key, "left_anti")
-        later = (
-            marked.filter(F.col("_adds") | F.col("_changes"))
-            .join(removed, key, "left")
-            .filter(F.col("_reset").isNull() | (F.col("_at") > F.col("_reset")))
-        )
-        known = self.kept.select(key, F.lit(True).alias("_known"))
-        born = later.filter("_adds").groupBy(key).agg(F.min("_at").alias("_born"))
-        #: events that meet an existing row: from the start, or from its first add on
-        self.events = (
-            later.join(born, key, "left")
-            .join(known, key, "left")
-            .withColumn("_known", F.coalesce("_known", F.lit(False)))
-            .filter(F.col("_known") | (F.col("_at") >= F.col("_born")))
-        )
-
-
-def _merge_fields(lives: _Lives, key: str, schema) -> DataFrame:
-    """Field by field: sent values replace, other fields stay."""
-    fields = [f.name for f in schema if f.name != key]
-    values = _field_values(lives.events, key, fields)
-    merged = lives.kept.join(values, key, "left").select(
+        sent_at = _counted(F.when(_sent(field.name), F.col("_at")))
+        last = F.max_by(F.struct(F.col("payload")[field.name].alias("value"), F.col("_at").alias("at")), sent_at)
+        aggregates.append(last.alias(f"_last_{field.name}"))
+    both = _with_state(state, alive.groupBy(key).agg(*aggregates), key)
+
+    def merged(field) -> Column:
+        last = F.col(f"_last_{field.name}")
+        usable = last.isNotNull() & (F.col("_stays") | (last["at"] >= F.col("_born")))
+        kept = F.when(F.col("_stays"), F.col(field.name))
+        return F.when(usable, last["value"].try_cast(field.dataType)).otherwise(kept).alias(field.name)
+
+    return both.select(key, *[merged(f) for f in fields]).select(*state.columns)
+
+
+def _replace_rows(state: DataFrame, alive: DataFrame, key: str) -> DataFrame:
+    """The last update replaces the row; without one, the first add makes it."""
+    fields = [f for f in state.schema if f.name != key]
+    update_at = _counted(F.when(F.col("_changes"), F.col("_at")))
+    add_at = _counted(F.when(F.col("_adds"), F.col("_at")))
+    folded = alive.groupBy(key).agg(
+        _first_add(),
+        F.max("_reset").alias("_reset"),
+        F.max(update_at).alias("_updated"),
+        F.max_by("payload", update_at).alias("_update"),
+        F.min_by("payload", add_at).alias("_add"),
+    )
+    both = _with_state(state, folded, key)
+    updated = F.col("_updated").isNotNull() & (F.col("_stays") | (F.col("_updated") > F.col("_born")))
+    row = F.when(updated, F.col("_update")).when(~F.col("_stays"), F.col("_add"))
+    replaced = both.withColumn("_row", row)
+    return replaced.select(
         key,
         *[
-            F.when(F.col(f"_has_{f}"), F.col(f"_new_{f}").try_cast(schema[f].dataType)).otherwise(F.col(f)).alias(f)
+            F.when(F.col("_row").isNull(), F.col(f.name))
+            .otherwise(F.col("_row")[f.name].try_cast(f.dataType))
+            .alias(f.name)
             for f in fields
         ],
-    )
-    born = values.join(lives.kept.select(key), key, "left_anti").select(
-        key, *[F.col(f"_new_{f}").try_cast(schema[f].dataType).alias(f) for f in fields]
-    )
-    return merged.unionByName(born).select(*schema.names)
-
-
-def _replace_rows(lives: _Lives, key: str, schema) -> DataFrame:
-    """The last update replaces the row; without one, the first add makes it."""
-    fields = [f.name for f in schema if f.name != key]
-    counts = F.col("_changes") | (~F.col("_known") & (F.col("_at") == F.col("_born")))
-    last = lives.events.filter(counts).groupBy(key).agg(F.max_by("payload", "_at").alias("_payload"))
-    new = last.select(key, *[F.col("_payload")[f].try_cast(schema[f].dataType).alias(f) for f in fields])
-    return lives.kept.join(new.select(key), key, "left_anti").unionByName(new).select(*schema.names)
+    ).select(*state.columns)
 
 
 def merge_menu_events(state: DataFrame, events: DataFrame, style: str) -> DataFrame:
@@ -107,18 +122,19 @@ def merge_menu_events(state: DataFrame, events: DataFrame, style: str) -> DataFr
         resets = (F.col("op") == "delete") | ((F.col("op") == "update") & _inactive())
         adds = (F.col("op") == "add") & ~_inactive()
         updates = (F.col("op") == "update") & ~_inactive()
-        lives = _Lives(state, events, "item_id", resets, adds, updates)
-        return _merge_fields(lives, "item_id", state.schema)
-    lives = _Lives(
-        state, events, "item_id", F.col("op") == "delete", F.col("op") == "add", F.col("op") == "update"
+        return _merge_fields(state, _after_reset(events, "item_id", resets, adds, updates), "item_id")
+    op = F.col("op")
+    return _replace_rows(
+        state, _after_reset(events, "item_id", op == "delete", op == "add", op == "update"), "item_id"
     )
-    return _replace_rows(lives, "item_id", state.schema)
 
 
 def merge_category_events(state: DataFrame, events: DataFrame) -> DataFrame:
     """Category rows after add and update events; a repeated add changes nothing."""
-    lives = _Lives(state, events, "category_id", F.lit(False), F.col("op") == "add", F.col("op") == "update")
-    return _replace_rows(lives, "category_id", state.schema)
+    op = F.col("op")
+    return _replace_rows(
+        state, _after_reset(events, "category_id", F.lit(False), op == "add", op == "update"), "category_id"
+    )
 
 
 def merge_order_updates(state: DataFrame, events: DataFrame, style: str) -> DataFrame:
