@@ -44,6 +44,13 @@ def test_unknown_activity_does_not_reject(spark, seed):
     assert pricing.price_orders(requests(spark, (1, [(1, 1)])), menu).orders.count() == 1
 
 
+def test_a_total_too_large_for_the_order_table_is_rejected(spark, seed):
+    batch = requests(spark, (1, [(1, 2_000_000_000)]), (2, [(3, 900_000_000), (3, 900_000_000)]), (3, [(1, 1)]))
+    priced = pricing.price_orders(batch, seed["menu_items"])
+    assert rows_of(priced.orders, "request_id") == [(3,)] and priced.lines.count() == 1
+    assert rows_of(priced.rejects, "request_id", "reason") == [(1, "Failed to create order"), (2, "Failed to create order")]
+
+
 def test_order_ids_follow_arrival(spark, seed):
     batch = requests(spark, *[(n, [(1, 1), (2, 1)]) for n in range(40, 0, -1)])
     done = pricing.with_order_ids(pricing.price_orders(batch, seed["menu_items"]), 3, 6)

@@ -28,6 +28,7 @@ TEXT_LENGTHS = {
 NO_DESCRIPTION = "No description available."
 ITEM_NOT_FOUND = "Item Not Found (ID: %d)"
 ITEM_GONE = 'Item "%s" is no longer available. Please remove it from your cart.'
+NOT_CREATED = "Failed to create order"
 BUTTON_REMOVED = "Removed"
 BUTTON_UNAVAILABLE = "Unavailable"
 BUTTON_CUSTOMERS_ONLY = "Customers Only"

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMOUNT = "decimal(12,2)"
+# Holds any price times any quantity.
+WIDE_AMOUNT = "decimal(29,2)"
 
 
 def leading_int(value: Column) -> Column:
@@ -27,5 +29,5 @@ def money_text(value: Column) -> Column:
 
 def line_subtotal(subtotal: Column, quantity: Column, unit_price: Column) -> Column:
     """The stored subtotal; quantity times price where it is missing or 0."""
-    computed = (unit_price * quantity).cast(AMOUNT)
-    return F.when(F.coalesce(subtotal, F.lit(0)) != 0, subtotal.cast(AMOUNT)).otherwise(computed)
+    computed = (unit_price * quantity).cast(WIDE_AMOUNT)
+    return F.when(F.coalesce(subtotal, F.lit(0)) != 0, subtotal.cast(WIDE_AMOUNT)).otherwise(computed)

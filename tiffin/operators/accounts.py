@@ -22,27 +22,22 @@ def resolve_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     """The account of each login text, given as username or as e-mail address.
 
     Two equi-joins instead of one OR condition, which would compare every login
-    with every user. A username match wins over an e-mail match.
+    with every user. Usernames and addresses are unique, so a login keeps one row;
+    a username match wins over an e-mail match.
     """
     account = users.select("user_id", "username", "email", "role", "full_name")
-    wanted = logins.select("login_id", name_key(F.trim("login")).alias("_key")).filter("_key <> ''")
-
-    def matches(column: str, rank: int) -> DataFrame:
-        side = account.withColumn("_key", name_key(F.col(column)))
-        return wanted.join(side, "_key").drop("_key").withColumn("_rank", F.lit(rank))
-
-    found = matches("username", 0).unionByName(matches("email", 1))
-    best = F.min_by(F.struct("user_id", "username", "email", "role", "full_name", "_rank"), F.struct("_rank", "user_id"))
+    fields = F.struct(*account.columns)
+    by_name = account.select(name_key(F.col("username")).alias("_key"), fields.alias("_by_name"))
+    by_email = account.select(name_key(F.col("email")).alias("_key"), fields.alias("_by_email"))
+    text = F.trim("login")
+    wanted = logins.filter(text != "").select("login_id", name_key(text).alias("_key"))
+    found = wanted.join(by_name, "_key", "left").join(by_email, "_key", "left")
     return (
-        found.groupBy("login_id")
-        .agg(best.alias("u"))
+        found.withColumn("u", F.coalesce("_by_name", "_by_email"))
+        .filter("u IS NOT NULL")
         .select(
             "login_id",
-            "u.user_id",
-            "u.username",
-            "u.email",
-            "u.role",
-            "u.full_name",
-            F.when(F.col("u._rank") == 0, "username").otherwise("email").alias("matched_on"),
+            "u.*",
+            F.when(F.col("_by_name").isNotNull(), "username").otherwise("email").alias("matched_on"),
         )
     )

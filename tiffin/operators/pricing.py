@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
+from tiffin.functions.money import AMOUNT
 from tiffin.functions.times import order_number
 from tiffin.sources.store import number_rows
 
@@ -31,7 +32,8 @@ def price_lines(headers: DataFrame, lines: DataFrame, menu_items: DataFrame) ->
     ``headers``: request_id, user_id, payment_method, special_instructions,
     order_type, scheduled_at, ts. ``lines``: request_id, pos, item_id, quantity.
     A missing or inactive item rejects the request; the first such line by
-    position gives the reason. An unavailable item does not reject.
+    position gives the reason. An unavailable item does not reject. A total that
+    the order table cannot hold rejects the request as well.
     """
     catalog = menu_items.select("item_id", "item_name", "price", "is_active").withColumn("_known", F.lit(True))
     looked_up = lines.join(catalog, "item_id", "left")
@@ -43,13 +45,16 @@ def price_lines(headers: DataFrame, lines: DataFrame, menu_items: DataFrame) ->
         "item_id",
         "quantity",
         F.col("price").alias("unit_price"),
-        (F.col("price") * F.col("quantity")).cast("decimal(12,2)").alias("subtotal"),
+        (F.col("price") * F.col("quantity")).try_cast(AMOUNT).alias("subtotal"),
         F.when(bad, F.format_string(domains.ITEM_GONE, label)).alias("_reason"),
     )
-    verdicts = priced.groupBy("request_id").agg(
-        F.sum("subtotal").cast("decimal(12,2)").alias("total_amount"),
-        F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.struct("pos", "item_id"))).alias("reason"),
+    sums = priced.groupBy("request_id").agg(
+        F.sum("subtotal").try_cast(AMOUNT).alias("total_amount"),
+        F.count_if(F.col("subtotal").isNull()).alias("_unpriced"),
+        F.min_by("_reason", F.when(F.col("_reason").isNotNull(), F.struct("pos", "item_id"))).alias("_reason"),
     )
+    too_large = F.when((F.col("_unpriced") > 0) | F.col("total_amount").isNull(), domains.NOT_CREATED)
+    verdicts = sums.select("request_id", "total_amount", F.coalesce("_reason", too_large).alias("reason"))
     judged = headers.join(verdicts, "request_id")
     accepted = judged.filter("reason IS NULL")
     orders = accepted.select(

@@ -337,7 +337,7 @@ def total_reconciliation(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 def line_reconciliation(lines: DataFrame) -> DataFrame:
     """Lines whose subtotal is not unit price times quantity."""
-    expected = (F.col("unit_price") * F.col("quantity")).cast("decimal(14,2)")
+    expected = (F.col("unit_price") * F.col("quantity")).cast("decimal(22,2)")
     return lines.select(
         "order_id",
         "order_item_id",
