@@ -15,6 +15,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join input even when the next operator then needs a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash instead of sort where every partition of one join side is measured to be
+    # this small at run time; larger sides keep the sort merge join.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Collecting lines per order: keep hashing up to this many orders per task
     # before falling back to sorting (the default, 128, sorts nearly always).
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",

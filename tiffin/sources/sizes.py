@@ -13,10 +13,12 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int = SMALL_ROWS, otherwise: str | None = None) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows.
 
-    Beyond the bound the table is returned as it is: the join is then a shuffle
-    join, with skewed partitions split at run time.
+    Beyond the bound the join shuffles, with skewed partitions split at run time.
+    ``otherwise`` may name the join hint to use then.
     """
-    return F.broadcast(df) if has_at_most(df, rows) else df
+    if has_at_most(df, rows):
+        return F.broadcast(df)
+    return df.hint(otherwise) if otherwise else df
