@@ -112,6 +112,11 @@ def test_long_orders_are_split_without_loss(spark, seed, make):
     assert sorted(sum(long, [])) == list(range(1, 991)) and max(map(len, long)) < 200
     assert parts[(2, 1)] == (1, list(range(991, 1001))) and parts[(3, 1)] == (1, [])
     assert {p for (order, _), (p, _) in parts.items() if order == 1} == {10}
+    admin = documents.admin_order_documents(
+        heads, seed["users"], lines.withColumn("item_name_snapshot", F.lit(None).cast("string")), seed["menu_items"], max_items=100
+    ).collect()
+    assert {(r.order_id, r.unit_count_or_zero) for r in admin} == {(1, 990), (2, 10), (3, 0)}
+    assert sum(len(r["items"]) for r in admin) == 1000
 
 
 def test_number_texts(spark):

@@ -2,7 +2,8 @@
 
 An array must fit one row and one task. Orders of up to ``MAX_ITEMS`` lines, in
 practice all, become one document. A longer order is split into numbered parts,
-each with the header and at most about ``MAX_ITEMS`` lines; no line is dropped.
+each with the header and about ``MAX_ITEMS`` lines; no line is dropped. Finding the
+long orders reads only the order ids of the lines.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tiffin.functions.money import leading_amount, leading_int, line_subtotal
 from tiffin.functions.text import item_label, present
 from tiffin.operators.catalog import rows_with_keys
 from tiffin.operators.orders import orders_of
-from tiffin.sources.sizes import SMALL_ROWS, small
+from tiffin.sources.sizes import small
 
 MAX_ITEMS = 10_000
 
@@ -51,49 +52,46 @@ ADMIN_HEADER = [
 ]
 
 
-def _long_orders(lines: DataFrame, max_items: int) -> DataFrame:
-    """Orders too long for one array, with the number of parts they need."""
-    counts = lines.groupBy("order_id").agg(F.count("*").alias("_lines"))
-    return counts.filter(F.col("_lines") > max_items).select(
-        "order_id", F.ceil(F.col("_lines") / max_items).cast("int").alias("_parts")
-    )
+def _quantity(lines: DataFrame) -> Column:
+    """Quantity as a whole number, 0 where there is none."""
+    if lines.schema["quantity"].dataType.typeName() in ("integer", "long"):
+        return F.coalesce("quantity", F.lit(0)).cast("bigint")
+    return leading_int(F.col("quantity"))
 
 
-def _items(lines: DataFrame, keys: list[str], item: Column) -> DataFrame:
-    """Lines without id (unmatched outer-join rows) become NULL, which collect_list skips."""
-    kept = F.when(F.col("order_item_id").isNotNull(), item)
-    return lines.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(kept)).alias("items"), F.sum("quantity").alias("_units")
+def _with_parts(lines: DataFrame, max_items: int) -> DataFrame:
+    """Adds ``part``, ``parts`` and ``order_units`` if any order is too long for one array."""
+    counts = lines.groupBy("order_id").agg(F.count("*").alias("_lines"), F.sum(_quantity(lines)).alias("order_units"))
+    long_orders = counts.filter(F.col("_lines") > max_items).select(
+        "order_id", F.ceil(F.col("_lines") / max_items).cast("int").alias("_parts"), "order_units"
     )
+    if long_orders.isEmpty():
+        return lines
+    # Counted: few orders can be this long. Past the bound the join shuffles.
+    known = lines.join(small(long_orders), "order_id", "left")
+    part = F.pmod(F.xxhash64(*lines.columns), F.col("_parts")).cast("int") + 1
+    return known.withColumns({"part": F.coalesce(part, F.lit(1)), "parts": F.coalesce("_parts", F.lit(1))}).drop("_parts")
 
 
-def _documents(headers: DataFrame, lines: DataFrame, item: Column, max_items: int) -> DataFrame:
-    """Headers with ``items``, ``part`` and ``parts``. Orders without lines get ``[]``."""
-    long_orders = _long_orders(lines, max_items)
-    if long_orders.isEmpty():
-        parts = _items(lines, ["order_id"], item).withColumns({"part": F.lit(1), "parts": F.lit(1)})
-    else:
-        # Counted: few orders can be this long. Past the bound the joins shuffle.
-        long_orders = small(long_orders, SMALL_ROWS)
-        short = lines.join(long_orders, "order_id", "left_anti")
-        spread = lines.join(long_orders, "order_id").withColumn(
-            "part", F.pmod(F.xxhash64(*lines.columns), F.col("_parts")).cast("int") + 1
-        )
-        parts = (
-            _items(short, ["order_id"], item)
-            .withColumns({"part": F.lit(1), "parts": F.lit(1)})
-            .unionByName(
-                _items(spread, ["order_id", "part", "_parts"], item).withColumnRenamed("_parts", "parts")
-            )
-        )
-    empty = F.array().cast(parts.schema["items"].dataType)
-    return headers.join(parts, "order_id", "left").withColumns(
-        {
-            "items": F.coalesce("items", empty),
-            "part": F.coalesce("part", F.lit(1)),
-            "parts": F.coalesce("parts", F.lit(1)),
-        }
+PART_COLUMNS = ["part", "parts", "order_units"]
+
+
+def _documents(headers: DataFrame, lines: DataFrame, item: Column) -> DataFrame:
+    """Headers with ``items``, ``part`` and ``parts``. Orders without lines get ``[]``.
+
+    Lines without id (unmatched outer-join rows) become NULL, which collect_list skips.
+    """
+    split = [c for c in PART_COLUMNS if c in lines.columns]
+    kept = F.when(F.col("order_item_id").isNotNull(), item)
+    grouped = lines.groupBy("order_id", *split).agg(
+        F.sort_array(F.collect_list(kept)).alias("items"), F.sum("quantity").alias("_units")
     )
+    if split:
+        grouped = grouped.withColumn("_units", F.coalesce("order_units", "_units"))
+    empty = F.array().cast(grouped.schema["items"].dataType)
+    joined = headers.join(grouped, "order_id", "left").withColumn("items", F.coalesce("items", empty))
+    one = F.lit(1)
+    return joined.withColumns({c: F.coalesce(c, one) if split else one for c in ("part", "parts")})
 
 
 def order_documents(
@@ -114,24 +112,23 @@ def order_documents(
         lines = rows_with_keys(lines, "order_id", order_ids)
     elif user_id is not None:
         lines = lines.join(headers.select("order_id"), "order_id", "left_semi")
-    named = lines.join(menu_items.select("item_id", "item_name", "image_url"), "item_id", "left")
+    names = menu_items.select("item_id", "item_name", "image_url")
+    named = _with_parts(lines, max_items).join(names, "item_id", "left")
     item = F.struct("order_item_id", "item_id", "quantity", "unit_price", "subtotal", "item_name", "image_url")
-    documents = _documents(headers.select(*CUSTOMER_HEADER), named, item, max_items)
+    documents = _documents(headers.select(*CUSTOMER_HEADER), named, item)
     return documents.select(*CUSTOMER_HEADER, "items", "part", "parts")
 
 
 def cleaned_lines(lines: DataFrame, menu_items: DataFrame) -> DataFrame:
     """Lines with safe numbers and texts: never NULL quantity, price, subtotal, name or description."""
     described = menu_items.select("item_id", "item_name", "description", "image_url")
-    quantity, price = leading_int(F.col("quantity")), leading_amount(F.col("unit_price"), "decimal(10,2)")
-    if lines.schema["quantity"].dataType.typeName() in ("integer", "long"):
-        quantity = F.coalesce("quantity", F.lit(0)).cast("bigint")
+    price = leading_amount(F.col("unit_price"), "decimal(10,2)")
     if lines.schema["unit_price"].dataType.typeName() == "decimal":
         price = F.coalesce("unit_price", F.lit(0)).cast("decimal(10,2)")
     name = F.coalesce("item_name_snapshot", "item_name")
     return (
         lines.join(described, "item_id", "left")
-        .withColumns({"quantity": quantity, "unit_price": price})
+        .withColumns({"quantity": _quantity(lines), "unit_price": price})
         .select(
             "order_id",
             "order_item_id",
@@ -142,6 +139,7 @@ def cleaned_lines(lines: DataFrame, menu_items: DataFrame) -> DataFrame:
             F.col("unit_price").alias("price"),
             line_subtotal(F.col("subtotal"), F.col("quantity"), F.col("unit_price")).alias("subtotal"),
             "image_url",
+            *[c for c in PART_COLUMNS if c in lines.columns],
         )
     )
 
@@ -165,7 +163,7 @@ def admin_order_documents(
     item = F.struct(
         "order_item_id", "item_id", "item_name", "description", "quantity", "price", "subtotal", "image_url"
     )
-    documents = _documents(headers, cleaned_lines(lines, menu_items), item, max_items)
+    documents = _documents(headers, cleaned_lines(_with_parts(lines, max_items), menu_items), item)
     return documents.withColumn("unit_count_or_zero", F.coalesce("_units", F.lit(0))).select(
         *ADMIN_HEADER, "unit_count_or_zero", "items", "part", "parts"
     )

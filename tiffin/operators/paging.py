@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tiffin.functions.domains import PAGE_SIZE
 
 MAX_PAGE_SIZE = 1_000
-# A top-n keeps offset + size rows per task; past this the page is found by day counts.
-TOP_ROWS = 100_000
+# A top-n passes offset + size rows of every task on to one task; past this bound the
+# page is found by day counts.
+TOP_ROWS = 1_000
 # Spark drops rows beyond a row-number bound before the shuffle up to this bound.
 GROUP_LIMIT_ROWS = 1_000
 
