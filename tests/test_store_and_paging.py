@@ -6,7 +6,8 @@ from decimal import Decimal as D
 import pytest
 
 from tests.conftest import NOW, rows_of
-from tiffin.operators import orders, paging
+from tiffin.operators import orders, paging, sequences
+from tiffin.operators.sequences import number_rows, previous_in_order
 from tiffin.sources import store
 from tiffin.sources.model import load_model, load_model_csv, register_views
 from tiffin.sources.schemas import MODEL, fields
@@ -61,11 +62,22 @@ def test_appended_lines_and_change_log(spark, tmp_path, seed, make):
 
 def test_numbers_are_consecutive_in_order_with_a_hot_value(spark):
     df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS hot").repartition(6)
-    got = store.number_rows(df, ["hot", "id"], "n", 100)
+    got = number_rows(df, ["hot", "id"], "n", 100)
     want = {row: n for n, row in enumerate(sorted((7 if i % 3 == 0 else i, i) for i in range(2000)), 101)}
     assert {(r.hot, r.id): r.n for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("group", [10_000, 3])
+def test_previous_row_by_day_and_by_slice(spark, monkeypatch, group):
+    monkeypatch.setattr(sequences, "MAX_GROUP_ROWS", group)
+    got = previous_in_order(many_orders(spark), "user_id", ["created_at", "order_id"], "order_id", "before").collect()
+    want, last = {}, {}
+    for r in sorted(got, key=lambda r: (r.created_at, r.order_id)):
+        want[r.order_id] = last.get(r.user_id)
+        last[r.user_id] = r.order_id
+    assert len(got) == 1000 and {r.order_id: r.before for r in got} == want
+
+
 def test_small_marks_only_what_fits(spark):
     assert has_at_most(spark.range(10), 10) and not has_at_most(spark.range(11), 10)
     hinted = spark.range(10).join(small(spark.range(10), 10), "id")
@@ -97,9 +109,10 @@ def test_pages_far_from_the_start(spark, monkeypatch, top):
         assert got == all_rows[(number - 1) * 20 : number * 20]
 
 
-@pytest.mark.parametrize("bound", [1_000, 5])
-def test_pages_per_key_far_from_the_start(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound, group", [(1_000, 100), (5, 100), (5, 2)])
+def test_pages_per_key_far_from_the_start(spark, monkeypatch, bound, group):
     monkeypatch.setattr(paging, "GROUP_LIMIT_ROWS", bound)
+    monkeypatch.setattr(sequences, "MAX_GROUP_ROWS", group)
     rows = many_orders(spark).collect()
     for number in (1, 3, 40):
         got = paging.pages_per_key(many_orders(spark), "user_id", number, 10).collect()

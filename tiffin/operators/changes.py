@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from tiffin.functions import domains
 from tiffin.functions.text import name_key
+from tiffin.operators.sequences import number_rows
 from tiffin.session import pin
 from tiffin.sources.sizes import small
-from tiffin.sources.store import newest_rows, number_rows
+from tiffin.sources.store import newest_rows
 
 
 class Changed(NamedTuple):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffin.functions.domains import PAGE_SIZE
+from tiffin.operators import sequences
+from tiffin.operators.sequences import number_rows
 
 MAX_PAGE_SIZE = 1_000
 # A top-n passes offset + size rows of every task on to one task; past this bound the
@@ -52,8 +54,6 @@ def _deep_page(df: DataFrame, offset: int, size: int) -> DataFrame:
 
 def _page_by_rank(df: DataFrame, offset: int, size: int) -> DataFrame:
     """A page deep inside single days: number rows slice by slice of a range sort."""
-    from tiffin.sources.store import number_rows
-
     ranked = number_rows(df, newest_first(), "_row")
     return ranked.filter(F.col("_row").between(offset + 1, offset + size)).drop("_row")
 
@@ -98,10 +98,21 @@ def pages_per_key(df: DataFrame, key: str, number: int = 1, size: int = PAGE_SIZ
         place = F.row_number().over(Window.partitionBy(key).orderBy(*newest_first()))
         return df.withColumn("row_number", place).filter((F.col("row_number") <= high) & (F.col("row_number") > low))
     span = _day_span(df, [key], low, high)
-    by_day = Window.partitionBy(key, "_day").orderBy(*newest_first())
-    rows = df.withColumn("_day", F.to_date("created_at")).join(span.drop("_rows"), [key, "_day"])
+    rows = df.withColumn("_day", F.to_date("created_at")).join(span, [key, "_day"])
+    largest = span.agg(F.max("_rows")).first()[0]
+    if (largest or 0) <= sequences.MAX_GROUP_ROWS:
+        inside = F.row_number().over(Window.partitionBy(key, "_day").orderBy(*newest_first()))
+        numbered = rows.withColumn("row_number", F.col("_before") + inside)
+    else:
+        # A single day of a key is too much for one task: number the rows of all keys
+        # at once and count from the first row of each key.
+        placed = number_rows(rows, [F.col(key), *newest_first()], "_place")
+        starts = placed.groupBy(key).agg(F.min("_place").alias("_start"), F.min("_before").alias("_skipped"))
+        numbered = placed.join(starts, key).withColumn(
+            "row_number", F.col("_skipped") + F.col("_place") - F.col("_start") + 1
+        )
     return (
-        rows.withColumn("row_number", (F.col("_before") + F.row_number().over(by_day)).cast("int"))
+        numbered.withColumn("row_number", F.col("row_number").cast("int"))
         .filter(F.col("row_number").between(low + 1, high))
-        .drop("_day", "_before")
+        .select(*df.columns, "row_number")
     )

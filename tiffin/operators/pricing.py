@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tiffin.functions import domains
 from tiffin.functions.money import AMOUNT
 from tiffin.functions.times import order_number
-from tiffin.sources.store import number_rows
+from tiffin.operators.sequences import number_rows
 
 
 class Priced(NamedTuple):

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
 from tiffin.functions.text import is_email, is_phone, is_username, name_key
+from tiffin.operators.sequences import previous_in_order
 
 SAYS = domains.MESSAGES
 Rule = tuple[str, Column, str]  # field, condition of a broken row, message
@@ -176,30 +177,6 @@ def cap_admins(users: DataFrame, signups: DataFrame, cap: int = domains.MAX_ADMI
 # Status history -------------------------------------------------------------
 
 
-def previous_in_order(
-    df: DataFrame, key: str, order: list[str], value: str, alias: str, slice_of: Column | None = None
-) -> DataFrame:
-    """The value of the row before, per key in the given order.
-
-    A window over a hot key would put all its rows into one task. Rows are ordered
-    inside (key, day) instead. Only the first row of each day looks across days: it
-    carries the day's last value to the first row of the next one.
-    """
-    sliced = df.withColumns(
-        {
-            "_slice": slice_of if slice_of is not None else F.to_date(order[0]),
-            "_box": F.struct(F.col(value).alias("v")),
-        }
-    )
-    inside = Window.partitionBy(key, "_slice").orderBy(*order)
-    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = sliced.withColumns({"_before": F.lag("_box").over(inside), "_last": F.last("_box").over(whole)})
-    carried = F.lag("_last").over(Window.partitionBy(key).orderBy("_slice"))
-    first_of_day = placed.filter("_before IS NULL").withColumn("_before", carried)
-    rest = placed.filter("_before IS NOT NULL")
-    return rest.unionByName(first_of_day).withColumn(alias, F.col("_before.v")).drop("_slice", "_box", "_before", "_last")
-
-
 def status_anomalies(history: DataFrame) -> DataFrame:
     """Unknown states, steps back, and steps out of an end state.
 

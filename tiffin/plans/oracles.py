@@ -437,9 +437,9 @@ BODIES = {
     "customer_order_lines": """SELECT o.order_id, o.order_number, o.status, i.order_item_id, i.item_id, i.quantity,
                CAST(i.unit_price AS DOUBLE) AS unit_price, CAST(i.subtotal AS DOUBLE) AS subtotal, m.item_name, m.image_url
         FROM x_orders o JOIN x_items i ON i.order_id = o.order_id LEFT JOIN x_menu m ON m.item_id = i.item_id""",
-    "customer_order_documents": f"""SELECT {_CUSTOMER_HEADER}, CAST(o.line_count AS INT) AS items
+    "customer_order_documents": f"""SELECT {_CUSTOMER_HEADER}, o.line_count AS items
         FROM x_order_figures o WHERE o.user_id = 7""",
-    "owned_order_documents": """SELECT order_id, CAST(line_count AS INT) AS items FROM x_order_figures
+    "owned_order_documents": """SELECT order_id, line_count AS items FROM x_order_figures
         WHERE user_id = 7 AND status = 'completed'""",
     "order_lines_flat": """SELECT o.order_number, u.username, o.unit_count_or_zero, i.order_item_id, i.item_id,
                CASE WHEN i.item_name_snapshot = '' THEN concat('Item Not Found (ID: ', i.item_id, ')')
@@ -452,7 +452,7 @@ BODIES = {
     "admin_order_headers": """SELECT o.order_id, o.order_number, u.user_id, u.username, u.full_name, u.email, u.phone,
                CAST(o.total_amount AS DOUBLE) AS total_amount, o.payment_method, o.status, o.payment_status, o.order_type,
                o.scheduled_at, o.special_instructions, o.created_at, o.updated_at, o.unit_count_or_zero,
-               CAST(o.line_count AS INT) AS items
+               o.line_count AS items
         FROM x_order_figures o LEFT JOIN x_users u ON u.user_id = o.user_id""",
     # Sales
     "daily_sales": f"""SELECT CAST(created_at AS DATE) AS sale_date, {_SALES} FROM x_orders

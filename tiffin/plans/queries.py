@@ -30,8 +30,10 @@ SOME_ORDERS = [1, 2, 3, 5, 8, 13, 999_999_999]
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Decimals become doubles once, at the very end."""
-    casts = {f.name: F.col(f.name).cast("double") for f in df.schema if f.dataType.typeName() == "decimal"}
+    """Decimals become doubles once, at the very end, and times lose their (UTC) zone."""
+    plain = {"decimal": "double", "timestamp": "timestamp_ntz"}
+    kinds = {f.name: plain.get(f.dataType.typeName()) for f in df.schema}
+    casts = {name: F.col(name).cast(kind) for name, kind in kinds.items() if kind}
     return df.withColumns(casts) if casts else df
 
 
@@ -295,6 +297,11 @@ def order_labels(m, spark, folder):
 # Documents --------------------------------------------------------------------
 
 
+def with_item_counts(docs, header):
+    """One row per order with its number of items; a long order has several documents."""
+    return docs.groupBy(*header).agg(F.sum(F.size("items")).alias("items"))
+
+
 @query
 def customer_order_lines(m, spark, folder):
     """All customer documents, exploded to their lines."""
@@ -306,7 +313,7 @@ def customer_order_lines(m, spark, folder):
 def customer_order_documents(m, spark, folder):
     """One customer's documents with the number of lines in each."""
     docs = documents.order_documents(m["orders"], m["order_items"], m["menu_items"], user_id=ONE_USER)
-    return docs.withColumn("items", F.size("items")).drop("part", "parts")
+    return with_item_counts(docs, documents.CUSTOMER_HEADER)
 
 
 @query
@@ -316,7 +323,7 @@ def owned_order_documents(m, spark, folder):
     mine = documents.order_documents(
         m["orders"], m["order_items"], m["menu_items"], user_id=ONE_USER, order_ids=listed
     )
-    return mine.select("order_id", F.size("items").alias("items"))
+    return with_item_counts(mine, ["order_id"])
 
 
 @query
@@ -329,7 +336,7 @@ def order_lines_flat(m, spark, folder):
 @query
 def admin_order_headers(m, spark, folder):
     docs = documents.admin_order_documents(m["orders"], m["users"], m["order_items"], m["menu_items"])
-    return docs.withColumn("items", F.size("items")).drop("part", "parts")
+    return with_item_counts(docs, [*documents.ADMIN_HEADER, "unit_count_or_zero"])
 
 
 # Sales ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tiffin.operators.quality import previous_in_order
+from tiffin.operators.sequences import previous_in_order
 from tiffin.sources import store
 from tiffin.streaming.folds import fold_in_order
 from tiffin.streaming.ordered import OrderedProcessor
