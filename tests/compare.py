@@ -23,7 +23,12 @@ def connect(folder: str = DATA):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
     for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        path = f"{folder}/{table}.parquet"
+        if os.path.isdir(path):
+            path += "/*.parquet"
+        elif not os.path.exists(path):
+            continue
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}'")
     return con
 
 

@@ -135,7 +135,7 @@ def order_pages(orders: DataFrame, lines: DataFrame, number: int = 1, size: int
     return with_line_figures(rows, lines)
 
 
-def _with_customer(orders: DataFrame, users: DataFrame, *columns: str) -> DataFrame:
+def with_customer(orders: DataFrame, users: DataFrame, *columns: str) -> DataFrame:
     return orders.join(users.select("user_id", *columns), "user_id", "left")
 
 
@@ -144,7 +144,7 @@ def admin_order_feed(
 ) -> DataFrame:
     """One page of all orders with customer and line count."""
     rows = page(orders, number, size)
-    named = _with_customer(_figures_of_page(rows, lines), users, "username", "full_name")
+    named = with_customer(_figures_of_page(rows, lines), users, "username", "full_name")
     return named.select(*FEED).orderBy(*newest_first())
 
 
@@ -154,14 +154,14 @@ def order_summary(
     """Header, customer and line count of the given orders; unknown ids give no row."""
     wanted = rows_with_keys(orders, "order_id", order_ids)
     figures = with_line_figures(wanted, rows_with_keys(lines, "order_id", order_ids))
-    return _with_customer(figures, users, "username", "full_name").select(*SUMMARY)
+    return with_customer(figures, users, "username", "full_name").select(*SUMMARY)
 
 
 def recent_orders(orders: DataFrame, users: DataFrame, lines: DataFrame) -> DataFrame:
     """Every order with customer, e-mail and line count, newest first."""
     figures = with_line_figures(orders, lines)
     return (
-        _with_customer(figures, users, "username", "full_name", "email").select(*RECENT).orderBy(*newest_first())
+        with_customer(figures, users, "username", "full_name", "email").select(*RECENT).orderBy(*newest_first())
     )
 
 

@@ -274,7 +274,7 @@ def order_update_rows(m, spark, folder):
 @query
 def order_labels(m, spark, folder):
     """Every order with the texts that the two order lists show."""
-    o = orders._with_customer(m["orders"], m["users"], "username", "full_name")
+    o = orders.with_customer(m["orders"], m["users"], "username", "full_name")
     as_of = F.lit(AS_OF)
     return o.select(
         "order_id",

@@ -133,10 +133,10 @@ def _prop_k():
 
 
 def _with_k(events_df: DataFrame) -> DataFrame:
-    """Read the JSON property once, however often it is used."""
-    return events_df.withColumns(
-        {"ts": F.col("ts").cast("timestamp"), "k": F.get_json_object("props", "$.k").cast("int")}
-    )
+    """Adds the JSON property ``k``. As a generator, ``json_tuple`` parses each row once,
+    however often filters and projections use the value."""
+    parsed = events_df.select("*", F.json_tuple("props", "k").alias("k"))
+    return parsed.withColumns({"ts": F.col("ts").cast("timestamp"), "k": F.col("k").cast("int")})
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
