@@ -404,6 +404,7 @@ BODIES = {
     "admin_order_feed_p2": _FEED + " OFFSET 20",
     "order_page": f"""SELECT order_id, order_number, CAST(total_amount AS DOUBLE) AS total_amount, created_at
         FROM x_orders {_NEWEST} LIMIT 20 OFFSET 40""",
+    "order_page_far": f"""SELECT order_id, order_number, created_at FROM x_orders {_NEWEST} LIMIT 10 OFFSET 1190""",
     "order_page_after": f"""SELECT order_id, order_number, created_at FROM x_orders
         WHERE created_at < TIMESTAMP '1999-01-16' OR (created_at = TIMESTAMP '1999-01-16' AND order_id < 2)
         {_NEWEST} LIMIT 20""",
@@ -477,6 +478,9 @@ BODIES = {
                'pending' AS status, o.order_type, o.scheduled_at, o.special_instructions, o.created_at,
                o.created_at AS updated_at
         FROM x_orders o JOIN x_verdicts v ON v.request_id = o.order_id WHERE v.reason IS NULL""",
+    "price_orders_numbered": """SELECT o.order_id AS request_id, CAST(v.total_amount AS DOUBLE) AS total_amount,
+               (SELECT max(order_id) FROM x_orders) + row_number() OVER (ORDER BY o.created_at, o.order_id) AS order_id
+        FROM x_orders o JOIN x_verdicts v ON v.request_id = o.order_id WHERE v.reason IS NULL""",
     "price_orders_lines": """SELECT p.request_id, p.pos, p.item_id, p.quantity, CAST(p.unit_price AS DOUBLE) AS unit_price,
                CAST(p.subtotal AS DOUBLE) AS subtotal
         FROM x_priced p JOIN x_verdicts v ON v.request_id = p.request_id WHERE v.reason IS NULL""",
@@ -656,6 +660,24 @@ BODIES |= {
     "cart_totals": f"""SELECT l.user_id, CAST(sum(m.price * l.quantity) AS DOUBLE) AS cart_total
         FROM ({_cart("SELECT * FROM x_cart_all")}) l JOIN x_menu m ON m.item_id = l.item_id GROUP BY l.user_id""",
     "cart_line_counts": f"""SELECT user_id, count(*) AS line_count FROM ({_cart("SELECT * FROM x_cart_all")}) GROUP BY user_id""",
+    "new_order_stream": "SELECT DISTINCT user_id * 100 + k AS order_id FROM x_events WHERE event_type = 'purchase'",
+    "appended_lines": """SELECT CAST(l_shipdate AS DATE) AS order_date, count(*) AS lines,
+               CAST(sum(CAST(l_quantity AS INT)) AS BIGINT) AS units FROM lineitem GROUP BY 1""",
+    "compacted_changes": """SELECT order_id, status, payment_status, seq FROM x_order_changes
+        QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) = 1""",
+    "order_feed_stream": """SELECT o.order_id, o.order_number,
+               CASE WHEN c.seq IS NULL THEN o.status ELSE c.status END AS status,
+               CASE WHEN c.seq IS NULL THEN o.payment_status ELSE c.payment_status END AS payment_status, o.created_at
+        FROM x_orders o LEFT JOIN (SELECT * FROM x_order_changes
+             QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY seq DESC) = 1) c ON c.order_id = o.order_id""",
+    "room_sink": """WITH r AS (
+            SELECT CASE event_type WHEN 'purchase' THEN 'order:new' WHEN 'click' THEN 'cart:activity'
+                        WHEN 'view' THEN 'menu:item:update' WHEN 'signup' THEN 'category:update' ELSE 'order:update' END AS event,
+                   'admins' AS audience, 'admins' AS room FROM x_events
+            UNION ALL SELECT 'menu:item:update', 'customers', 'customers' FROM x_events WHERE event_type = 'view'
+            UNION ALL SELECT 'menu:full:refresh', 'customers', 'customers' FROM x_events WHERE event_type = 'signup' AND k % 3 = 0
+            UNION ALL SELECT 'order:update', 'user', concat('user:', user_id) FROM x_events WHERE event_type = 'error' AND k % 3 = 0)
+        SELECT audience, room, event, count(*) AS events FROM r GROUP BY ALL""",
     "routed_events": """WITH e AS (SELECT event_id, user_id, k % 3 = 0 AS status_sent,
                    CASE event_type WHEN 'purchase' THEN 'order:new' WHEN 'click' THEN 'cart:activity'
                         WHEN 'view' THEN 'menu:item:update' WHEN 'signup' THEN 'category:update' ELSE 'order:update' END AS event

@@ -15,7 +15,7 @@ from tiffin.operators.paging import head, page, page_after
 from tiffin.session import shared_dir, tune
 from tiffin.sources import audit, logs, store
 from tiffin.sources import base_tables as base
-from tiffin.sources.events import drain
+from tiffin.sources.events import drain, write_by_room
 from tiffin.streaming import carts, connections, feeds, traffic, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,12 @@ def order_page(m, spark, folder):
     return page(m["orders"], 3).select("order_id", "order_number", "total_amount", "created_at")
 
 
+@query
+def order_page_far(m, spark, folder):
+    """A page past the top-n bound, found by day counts."""
+    return page(m["orders"], 120, 10).select("order_id", "order_number", "created_at")
+
+
 @query
 def order_page_after(m, spark, folder):
     """The page after a given date and id, without an offset."""
@@ -412,14 +418,25 @@ def price_orders_lines(m, spark, folder):
     return pricing.price_lines(*order_requests(m), m["menu_items"]).lines
 
 
+@query
+def price_orders_numbered(m, spark, folder):
+    """Accepted orders with ids in order of arrival, after the largest stored id."""
+    last = m["orders"].agg(F.max("order_id")).first()[0]
+    numbered = pricing.with_order_ids(pricing.price_lines(*order_requests(m), m["menu_items"]), last, 0)
+    return numbered.orders.select("request_id", "order_id", "total_amount")
+
+
 @query
 def price_orders_rejects(m, spark, folder):
     return pricing.price_lines(*order_requests(m), m["menu_items"]).rejects
 
 
 def order_changes(m, spark, folder):
+    return order_changes_of(base.events(spark, folder))
+
+
+def order_changes_of(e):
     """One change per event: known, unknown and missing states, some unknown orders."""
-    e = base.events(spark, folder)
     k = F.col("k")
     status = (
         F.when(k % 5 == 0, "ready").when(k % 5 == 1, "cancelled").when(k % 5 == 2, "lost").when(k % 5 == 3, "completed")
@@ -909,3 +926,57 @@ def menu_view_stream(m, spark, folder):
     changes_df = base.menu_changes(base.event_stream(spark, folder))
     views.keep_view(changes_df, f"{run}/state", "menu", merge, f"{run}/checkpoint").awaitTermination()
     return store.current(spark, f"{run}/state", "menu")
+
+
+@query
+def new_order_stream(m, spark, folder):
+    """Ids of the new orders; of repeats within the delay, one is kept."""
+    stream = feeds.new_order_feed(base.new_order_messages(base.event_stream(spark, folder)))
+    return drain(stream.select("order_id"), _run_folder(spark))
+
+
+@query
+def order_feed_stream(m, spark, folder):
+    """The customers' order list, kept up to date from the stream of updates."""
+    run = _run_folder(spark)
+    state = m["orders"].select("order_id", "order_number", "status", "payment_status", "created_at")
+    store.publish({"orders": state}, f"{run}/state", 0)
+
+    def merge(orders_df, batch):
+        return views.merge_order_updates(orders_df, batch, "customer")
+
+    updates = order_changes_of(base.event_stream(spark, folder))
+    views.keep_view(updates, f"{run}/state", "orders", merge, f"{run}/checkpoint").awaitTermination()
+    return store.current(spark, f"{run}/state", "orders")
+
+
+@query
+def room_sink(m, spark, folder):
+    """Events per room and name after writing them by audience."""
+    run = _run_folder(spark)
+    routed = feeds.route(base.routed_messages(base.event_stream(spark, folder)))
+    write_by_room(routed, f"{run}/rooms", f"{run}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{run}/rooms")
+    return rows.groupBy("audience", "room", "event").agg(F.count("*").alias("events"))
+
+
+# Sinks, written to the shared folder and read back -----------------------------------
+
+
+@query
+def appended_lines(m, spark, folder):
+    """Lines and units per day after appending all lines in day folders."""
+    path = f"{_run_folder(spark)}/lines"
+    store.append_lines(m["order_items"].withColumn("created_at", F.col("created_at").cast("timestamp")), path)
+    rows = spark.read.parquet(path)
+    return rows.groupBy("order_date").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"))
+
+
+@query
+def compacted_changes(m, spark, folder):
+    """Order changes appended by day, then compacted to the last one per order."""
+    run = _run_folder(spark)
+    store.append_by_day(order_changes(m, spark, folder), f"{run}/log", "at", "change_date")
+    log = spark.read.parquet(f"{run}/log").drop("change_date")
+    store.compact(log, "order_id", ["at", "seq"], f"{run}/state", "changes", 1)
+    return store.current(spark, f"{run}/state", "changes").drop("at")
