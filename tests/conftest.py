@@ -13,11 +13,7 @@ NOW = datetime(2024, 3, 10, 12, 0, 0)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(
-        4,
-        "tiffin-tests",
-        **{"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"},
-    )
+    session = local_session(4, "tiffin-tests")
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -168,7 +168,8 @@ def soft_delete_items(menu_items: DataFrame, deletes: DataFrame) -> Changed:
     hit = F.col("_at").isNotNull()
     state = menu_items.join(gone, "item_id", "left").withColumn("is_active", F.col("is_active") & ~hit)
     if "updated_at" in menu_items.columns:
-        state = state.withColumn("updated_at", F.coalesce(F.col("_at").cast(menu_items.schema["updated_at"].dataType), "updated_at"))
+        stamp = F.col("_at").cast(menu_items.schema["updated_at"].dataType)
+        state = state.withColumn("updated_at", F.coalesce(stamp, "updated_at"))
     return Changed(
         state.select(*menu_items.columns), _unknown(deletes, menu_items, "item_id", "Menu item not found")
     )

@@ -18,6 +18,10 @@ RUNTIME_SETTINGS = {
     # Hash instead of sort where every partition of one join side is measured to be
     # this small at run time; larger sides keep the sort merge join.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Large stream state stays on disk and is checkpointed in changes.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # Merge the sessions of a busy key before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Collecting lines per order: keep hashing up to this many orders per task

@@ -60,7 +60,8 @@ def keep_sessions(events: DataFrame, folder: str, checkpoint: str, delay: str =
         if "open" in state:
             # An open session continues as the connect event that opened it.
             steps = steps.unionByName(state["open"])
-        last = steps.groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts", "action"), F.struct("ts", "event_id")).alias("_last"))
+        newest = F.max_by(F.struct("event_id", "ts", "action"), F.struct("ts", "event_id"))
+        last = steps.groupBy("user_id").agg(newest.alias("_last"))
         still_open = last.filter(F.col("_last.action") == "connect").select("user_id", "_last.*")
         sessions = connection_sessions(steps).filter("state <> 'live'")
         return {"open": still_open.select("event_id", "ts", "user_id", "action"), "ended": sessions}

@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Event names and rooms.
-TO_ADMINS = ["cart:activity", "order:new", "order:update", "menu:item:add", "menu:item:update", "category:add", "category:update"]
+TO_ADMINS = [
+    "cart:activity",
+    "order:new",
+    "order:update",
+    "menu:item:add",
+    "menu:item:update",
+    "category:add",
+    "category:update",
+]
 TO_CUSTOMERS = ["menu:item:add", "menu:item:update"]
 REFRESH = "menu:full:refresh"
 

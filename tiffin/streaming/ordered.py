@@ -7,9 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-# Needed by jobs that use keyed state.
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 class OrderedProcessor(StatefulProcessor):
     """Holds events back until the watermark has passed them, then folds them in order.
