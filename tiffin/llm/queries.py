@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import exact, mixing, sharding
-from tiffin.llm.common import table
+from tiffin.llm import decontam, exact, language, mixing, secret_scan, sharding, tokens
+from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -19,6 +19,32 @@ def query(function):
     return function
 
 
+#: Vocabulary files of public tokenizers.
+TOKENIZERS = "/opt/tokenizers"
+# Fixed value: how the vocabulary of byte_bpe_50k cuts text into pieces.
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@query
+def op1_token_counts(spark, sf_dir, tokenizers=TOKENIZERS):
+    """Totals after four batches over all documents: word counts and estimates of the byte-pair counts are
+    inserted, the estimates revised by the tokenizer, the word counts deleted, and the revision sent again."""
+    docs = table(spark, sf_dir, "documents")
+    totals = tokens.TokenTotals(spark, new_folder(spark, "token-totals"))
+    words = tokens.counted(docs, "words/1", tokens.word_counter)
+    length = F.coalesce(F.octet_length("text"), F.lit(0))
+    guess = docs.select(
+        "doc_id", "source", "lang", F.lit("byte_bpe_50k/1").alias("tokenizer"), F.ceil(length / 4).alias("n_tokens")
+    )
+    bpe = tokens.bpe_counter(f"{tokenizers}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN)
+    exact_counts = tokens.counted(docs, "byte_bpe_50k/1", bpe).withColumn("op", F.lit("revise"))
+    totals.apply(1, words.unionByName(guess).withColumn("op", F.lit("insert")))
+    totals.apply(2, exact_counts)
+    totals.apply(3, words.withColumn("op", F.lit("delete")))
+    totals.apply(2, exact_counts)
+    return totals.totals()
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
@@ -35,6 +61,11 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op4_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @query
 def op5_sharding(spark, sf_dir):
     shards = sharding.minimax_shards(table(spark, sf_dir, "documents"), 16)
@@ -81,3 +112,26 @@ SELECT doc_id, size, source_size, target,
             CAST(floor(target + 0.5) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
 FROM placed
 """
+
+
+@query
+def op8_secret_scans(spark, sf_dir):
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin("assign", "access", "hex"))
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+        secret_scan.as_text(spans).alias("spans"),
+    )
+
+
+@query
+def op10_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
