@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import decontam, exact, language, mixing, secret_scan, sharding, tokens
+from tiffin.llm import decontam, exact, jaccard, language, mixing, secret_scan, sharding, tokens
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op1_token_counts(spark, sf_dir, tokenizers=TOKENIZERS):
     return totals.totals()
 
 
+@query
+def op2_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
+
+
 @query
 def op3_exact_dedup(spark, sf_dir):
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
