@@ -221,9 +221,8 @@ def _assemble(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
         prefix = own[: shortest + wanted - 1]
         row += [wanted, shortest, prefix.tolist(), np.sort(own).tobytes()]
         out.append(row + parity[d].tolist())
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _ASSEMBLED.split(", ")]).astype(
-        {c.split()[0]: "object" for c in _ASSEMBLED.split(", ") if c.split()[0] not in ("node", "size", "alone")}
-    )
+    # As objects: a column with nulls would else become floats, which don't hold 64 bits.
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _ASSEMBLED.split(", ")], dtype=object)
 
 
 def prepared(texts: DataFrame, size: int, percent: int) -> DataFrame:
