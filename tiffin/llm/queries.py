@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import decontam, exact, jaccard, language, mixing, secret_scan, sharding, tokens
+from tiffin.llm import decontam, exact, jaccard, language, mixing, repeats, secret_scan, sharding, tokens
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,11 @@ def op8_secret_scans(spark, sf_dir):
 @query
 def op10_decontamination(spark, sf_dir):
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
