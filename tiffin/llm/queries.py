@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import decontam, exact, jaccard, language, mixing, repeats, secret_scan, sharding, tokens
+from tiffin.llm import decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, tokens
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,11 @@ FROM placed
 """
 
 
+@query
+def op7_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_secret_scans(spark, sf_dir):
     spans = F.col("spans")
