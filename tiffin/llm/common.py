@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,43 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Bits of the bitmap in ``without_ids``: 1 MB, whatever the number of ids.
+ID_BITS = 1 << 23
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column); rows without doc_id stay.
+
+    A bitmap of fixed size, set at the hash of each id, tells most rows that stay from the others where they are
+    read; only rows that hit a bit are shuffled and compared. ``docs`` is read twice.
+    """
+    spark = docs.sparkSession
+    ids = pinned(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct())
+
+    def place(column: str):
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(ID_BITS))
+
+    bit = ids.select(place("_id").alias("_bit"))
+    words = bit.groupBy(F.floor(F.col("_bit") / 32).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 32 AS INT))")).alias("_bits")
+    )
+    bitmap = np.zeros(ID_BITS // 32, np.uint32)  # no more than 262,144 rows
+    for row in words.collect():
+        bitmap[row["_word"]] = row["_bits"]
+    sent = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def hit(bits: pd.Series) -> pd.Series:
+        known = bits.notna().to_numpy()
+        at = bits.fillna(0).to_numpy(np.int64)
+        return pd.Series(known & ((sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool))
+
+    marked = docs.withColumn("_maybe", hit(F.when(F.col("doc_id").isNotNull(), place("doc_id"))))
+    stays = marked.filter("NOT _maybe").drop("_maybe")
+    rest = marked.filter("_maybe").drop("_maybe")
+    return stays.unionByName(rest.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm.common import small_batches, without_ids
 from tiffin.llm.shingles import hash_runs, letters, mix, runs, shingled, slices
 
 SHINGLE_WORDS = 5
@@ -163,6 +164,7 @@ def matches(
     query set: they go over all documents in runs of PASS_ITEMS at most, so what is sent to a task is bounded.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     out = spark.createDataFrame([], FOUND)
@@ -188,6 +190,5 @@ def matches(
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without doc_id are dropped by their text's match too."""
-    found = matches(docs, benchmark, **settings).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    """``docs`` without the documents that hold an item; all columns are kept. Rows without doc_id stay."""
+    return without_ids(docs, matches(docs, benchmark, **settings).select("doc_id"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import pinned, small_batches
+from tiffin.llm.common import pinned, small_batches, without_ids
 from tiffin.llm.components import components
 from tiffin.llm.shingles import mix, plain_words, shingled, slices
 
@@ -42,7 +42,7 @@ PARITY_LONGS = 8
 CHEAP = 16
 
 _ASSEMBLED = (
-    "node long, size long, set_a long, set_b long, alone long, wanted int, shortest int, "
+    "node long, doc_id long, size long, set_a long, set_b long, alone long, wanted int, shortest int, "
     "prefix array<long>, shared binary, " + ", ".join(f"parity{n} long" for n in range(PARITY_LONGS))
 )
 _U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
@@ -99,7 +99,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def _chunk(nodes: list[int], texts: list[str], size: int, ranges: int, chunk: int):
+def _chunk(first: int, ids: list, texts: list[str], size: int, ranges: int, chunk: int):
     """Rows (range, chunk, data) of one chunk: its shingles by range, and under a negative range what it keeps."""
     words, word_at = plain_words(texts)
     shingles, at = shingled(words, word_at, size)
@@ -112,7 +112,9 @@ def _chunk(nodes: list[int], texts: list[str], size: int, ranges: int, chunk: in
     shingles, doc = shingles[new], doc[new]
     counts = np.bincount(doc, minlength=docs)
     keep = Packer()
-    keep.add(np.array(nodes, np.int64))
+    keep.add(np.array([first], np.int64))
+    keep.add(np.array([i is None for i in ids], bool))
+    keep.add(np.array([i or 0 for i in ids], np.int64))
     keep.add(counts.astype(_U32))
     keep.add(_sums(mix(shingles), counts))
     keep.add(_sums(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), counts))
@@ -185,12 +187,13 @@ def _assemble(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Sets, prefixes and sketches of the documents of one chunk that may have a partner; sizes of all."""
     rows = rows.sort_values("range")
     kept = Unpacker(rows["data"].iloc[0])
-    nodes, sizes = kept.get(np.int64), kept.get(_U32).astype(np.int64)
+    begin, null, ids = kept.get(np.int64)[0], kept.get(np.bool_), kept.get(np.int64)
+    sizes = kept.get(_U32).astype(np.int64)
     set_a, set_b = kept.get(_U64), kept.get(_U64)
-    parity = kept.get(_U64).reshape(len(nodes), PARITY_LONGS).astype(np.int64)
+    parity = kept.get(_U64).reshape(len(ids), PARITY_LONGS).astype(np.int64)
     common_per_doc, common_at, common_names = kept.get(_U32).astype(np.int64), kept.get(_U32), kept.get(_U64)
-    everyone = np.arange(len(nodes))
-    alone = np.zeros(len(nodes), np.int64)
+    everyone = np.arange(len(ids))
+    alone = np.zeros(len(ids), np.int64)
     docs, names, seen, of_common = [], [], [], [np.empty(0, np.int64)]
     for r, data in zip(rows["range"].iloc[1:], rows["data"].iloc[1:]):
         answer = Unpacker(data)
@@ -205,12 +208,13 @@ def _assemble(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     docs, names, seen = np.concatenate(docs), np.concatenate(names), np.concatenate(seen)
     order = np.lexsort((names, seen, docs))
     docs, names, seen = docs[order], names[order].astype(np.int64), seen[order]
-    bounds = np.searchsorted(docs, np.arange(len(nodes) + 1))
+    bounds = np.searchsorted(docs, np.arange(len(ids) + 1))
     out = []
     for d in everyone:
         size, u = int(sizes[d]), int(alone[d])
         least = -(-size * percent // 100)
-        row = [int(nodes[d]), size, int(set_a[d].astype(np.int64)), int(set_b[d].astype(np.int64)), u]
+        row = [int(begin + d), None if null[d] else int(ids[d]), size]
+        row += [int(set_a[d].astype(np.int64)), int(set_b[d].astype(np.int64)), u]
         if not size or size - u < least:
             out.append(row + [None] * (4 + PARITY_LONGS))
             continue
@@ -225,23 +229,29 @@ def _assemble(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[c.split()[0] for c in _ASSEMBLED.split(", ")], dtype=object)
 
 
-def prepared(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """``texts`` (node, text) as sets, in the columns of ``_ASSEMBLED``; ``prefix`` is null without a possible partner."""
+def prepared(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that have a text as sets, in the columns of ``_ASSEMBLED``.
+
+    ``node`` numbers the rows, with gaps; ``prefix`` is null where no partner is possible. The result is to be
+    pinned: rows may be numbered otherwise the next time.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").filter("text IS NOT NULL")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_BYTES))
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, n = TaskContext.get().partitionId(), 0
+        part, chunk, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            nodes, texts = batch["node"].tolist(), batch["text"].tolist()
+            # Ids come as text, since numbers with nulls among them would come as floats.
+            ids, texts = [None if i is None else int(i) for i in batch["doc_id"]], batch["text"].tolist()
             for begin, end in slices(texts):
-                rows = list(_chunk(nodes[begin:end], texts[begin:end], size, ranges, (part << 32) + n))
-                n += 1
+                place = (part << 40) + row
+                rows = list(_chunk(place, ids[begin:end], texts[begin:end], size, ranges, (part << 32) + chunk))
+                chunk, row = chunk + 1, row + end - begin
                 yield pd.DataFrame(rows, columns=["range", "chunk", "data"])
 
     packed = "range long, chunk long, data binary"
-    sent = texts.select("node", "text").mapInPandas(send, packed)
-    answered = sent.groupBy("range").applyInPandas(_count, packed)
+    answered = texts.mapInPandas(send, packed).groupBy("range").applyInPandas(_count, packed)
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
         return _assemble(rows, percent)
@@ -279,13 +289,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pinned(filled.filter(alike).select("a", "b"))
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the nodes of ``sets`` (prepared, one row per different set) that have a link."""
+def links(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the nodes that have a link; ``heads`` lists one node per different set of ``sets``."""
     parity = [f"parity{n}" for n in range(PARITY_LONGS)]
     postings = pinned(
-        sets.select(
+        sets.join(heads, "node", "left_semi")
+        .select(
             "node", "size", "alone", *parity, F.posexplode(F.slice("prefix", 1, F.col("shortest"))).alias("_at", "shingle")
-        ).select("shingle", "node", "size", (F.col("_at") + F.col("alone")).alias("place"), *parity)
+        )
+        .select("shingle", "node", "size", (F.col("_at") + F.col("alone")).alias("place"), *parity)
     )
     busy = postings.groupBy("shingle").agg(F.count("*").alias("_n")).filter("_n > 1").select("shingle")
     postings = pinned(postings.join(busy, "shingle", "left_semi"))
@@ -335,39 +347,35 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     smallest doc_id reachable by links, the row itself included. Null, empty and blank texts have no
     shingles and no links. Rows without doc_id take part; a component of such rows only has a null id. Equal
     rows give equal rows. Only doc_id and text are read. Different shingles share a name with a chance of
-    one in 2^40 times the number of ranges; texts are told apart by 64 bits of hash, sets by 128.
+    one in 2^40 times the number of ranges; sets are told apart by 128 bits of hash.
     """
     small_batches(docs.sparkSession)
-    node = F.xxhash64(F.lit("node"), "text").alias("node")
-    rows = docs.select("doc_id", "text")
-    known = rows.filter("text IS NOT NULL").select(node, "text")
-    ready = pinned(prepared(known, size, percent))
-    # Equal texts have equal nodes and sets; equal sets get the smallest node.
+    ready = pinned(prepared(docs, size, percent))
     sets = ready.filter("prefix IS NOT NULL")
     kinds = ["size", "set_a", "set_b"]
-    heads = pinned(sets.groupBy(*kinds).agg(F.min("node").alias("_head")))
-    one = sets.join(heads, kinds).filter("node = _head").dropDuplicates(["node"]).drop("_head")
-    found = links(pinned(one), percent)
-    heads = heads.select(*[F.col(k).alias(f"_{k}") for k in kinds], "_head")
-    same = (F.col("size") == F.col("_size")) & (F.col("set_a") == F.col("_set_a")) & (F.col("set_b") == F.col("_set_b"))
-    headed = ready.select("node", *kinds).distinct().join(heads, same, "left").select("node", "size", "_head")
-    placed = pinned(
-        headed.join(found, F.col("_head") == F.col("id"), "left").select(
-            F.col("node").alias("_node"), F.col("size").alias("n_shingles"), F.coalesce("component", "_head", "node").alias("_part")
-        )
-    )
-    ids = pinned(
-        rows.select("doc_id", node)
-        .join(placed, F.col("node") == F.col("_node"), "left")
-        .select(
-            "doc_id",
-            F.coalesce("n_shingles", F.lit(0).cast("long")).alias("n_shingles"),
-            F.when(F.col("n_shingles") > 0, F.col("_part")).alias("_part"),
-        )
+    filled = ready.filter("size > 0")
+    heads = pinned(filled.groupBy(*kinds).agg(F.min("node").alias("_head")))
+    found = links(sets, heads.select(F.col("_head").alias("node")), percent)
+    # A component takes the smallest doc_id of all rows of all its sets.
+    rows = filled.select("node", "doc_id", *kinds)
+    named = (
+        heads.join(rows.groupBy(*kinds).agg(F.min("doc_id").alias("_least")), kinds)
+        .join(found, F.col("_head") == F.col("id"), "left")
+        .select(*kinds, "_least", F.coalesce("component", "_head").alias("_part"))
     )
-    smallest = pinned(
-        ids.filter("_part IS NOT NULL").groupBy("_part").agg(F.min("doc_id").alias("component_id"))
-    ).withColumnRenamed("_part", "_of")
-    out = ids.join(smallest, F.col("_part") == F.col("_of"), "left")
-    own = F.when(F.col("_part").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    named = pinned(named)
+    least = named.groupBy(F.col("_part").alias("_of")).agg(F.min("_least").alias("component_id"))
+    named = pinned(named.join(least, F.col("_part") == F.col("_of")).select(*kinds, "component_id"))
+    linked = rows.join(named, kinds).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+    bare = ready.filter("size = 0").select("doc_id").unionByName(docs.filter("text IS NULL").select("doc_id"))
+    bare = bare.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(bare)
+
+
+def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the rows whose component has a smaller doc_id; all columns are kept.
+
+    Rows without doc_id stay, and rows that share a doc_id stay or go together.
+    """
+    groups = similar_groups(docs, size, percent)
+    return without_ids(docs, groups.filter("doc_id > component_id").select("doc_id"))

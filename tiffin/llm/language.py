@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm.common import small_batches
 from tiffin.llm.shingles import letters, mix, runs, slices
 
 UNDETERMINED = "und"
@@ -211,6 +212,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     letters, ``score`` is its share of them. Texts that are null or hold no letter, and all texts under a
     model without languages, are ``und`` with score 0.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(PREDICTED)
@@ -239,3 +241,17 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     model = fit(docs.filter(~held_out()), fit_rows)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "predicted.*")
+
+
+def accepted(docs: DataFrame, least_share: float = 0.4, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the documents that have no language: no letters, or none with ``least_share`` of the letters.
+
+    The model is learned from the labelled rows of ``docs``; without any, only documents with letters stay.
+    All columns are kept.
+    """
+    model = fit(docs, fit_rows)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    marked = predict(docs.withColumnRenamed("predicted", "_predicted"), model)
+    clear = (F.col("predicted.lang_pred") != UNDETERMINED) & (F.col("predicted.score") >= least_share)
+    return marked.filter(clear).drop("predicted").withColumnRenamed("_predicted", "predicted")

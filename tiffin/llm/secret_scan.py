@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm.common import small_batches
+
 # The base kinds and their expressions.
 KINDS = ["assign", "access", "hex", "github", "npm"]
 ASSIGN = re.compile(
@@ -95,6 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
     don't overlap; one that fails its length or checksum still uses up its characters. Null and empty texts
     have no spans. Only doc_id and text are read; equal rows give equal rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", F.pandas_udf(_spans, SPANS)("text").alias("spans"))
 
 

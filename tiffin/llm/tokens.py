@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tiffin.llm.common import small_batches
+
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id long, source string, lang string, tokenizer string, n_tokens long, gone boolean"
 
@@ -59,6 +61,7 @@ def counted(docs: DataFrame, tokenizer: str, build) -> DataFrame:
         for batch in batches:
             yield pd.Series(count([t or "" for t in batch]), dtype="int64")
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "source", "lang", F.lit(tokenizer).alias("tokenizer"), tokens("text").alias("n_tokens"))
 
 
