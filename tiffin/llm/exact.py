@@ -10,6 +10,8 @@ The main path holds DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,11 @@ def _named(rows: DataFrame, distinct: DataFrame, content: list[str]) -> DataFram
     if ranks is None:
         out = rows.withColumn("_rank", F.lit(0))
     else:
-        match = rows["_key"] == ranks["_key"]
-        for c in content:
-            match = match & rows[c].eqNullSafe(ranks[c])
-        out = rows.join(ranks, match, "left").select(
-            *[rows[c] for c in rows.columns], F.coalesce(ranks["_rank"], F.lit(0)).alias("_rank")
-        )
+        names = {c: f"_of{c}" for c in ["_key", *content]}
+        ranks = ranks.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("_rank").alias("_place"))
+        match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+        out = rows.join(ranks, match, "left").withColumn("_rank", F.coalesce("_place", F.lit(0)))
+        out = out.drop("_place", *names.values())
     return out.drop(*content)
 
 
@@ -116,8 +117,8 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, key_bits: int =
     """
     named = pinned(identities(docs, block_bytes, key_bits))
     name = ["_bytes", "_key", "_rank"]
-    groups = named.groupBy(*name).agg(
-        F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size")
+    groups = pinned(
+        named.groupBy(*name).agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
     )
     return named.join(groups, name).select(
         "doc_id",
