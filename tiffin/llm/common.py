@@ -47,12 +47,12 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     read; only rows that hit a bit are shuffled and compared. ``docs`` is read twice.
     """
     spark = docs.sparkSession
-    ids = pinned(ids.select(F.col(ids.columns[0]).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct())
+    ids = pinned(ids.select(F.col(ids.columns[0]).cast("long").alias("_without_id")).filter("_without_id IS NOT NULL").distinct())
 
     def place(column: str):
         return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(ID_BITS))
 
-    bit = ids.select(place("_id").alias("_bit"))
+    bit = ids.select(place("_without_id").alias("_bit"))
     words = bit.groupBy(F.floor(F.col("_bit") / 32).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 32 AS INT))")).alias("_bits")
     )
@@ -67,10 +67,10 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         at = bits.fillna(0).to_numpy(np.int64)
         return pd.Series(known & ((sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool))
 
-    marked = docs.withColumn("_maybe", hit(F.when(F.col("doc_id").isNotNull(), place("doc_id"))))
-    stays = marked.filter("NOT _maybe").drop("_maybe")
-    rest = marked.filter("_maybe").drop("_maybe")
-    return stays.unionByName(rest.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_anti"))
+    marked = docs.withColumn("_without_maybe", hit(F.when(F.col("doc_id").isNotNull(), place("doc_id"))))
+    stays = marked.filter("NOT _without_maybe").drop("_without_maybe")
+    rest = marked.filter("_without_maybe").drop("_without_maybe")
+    return stays.unionByName(rest.join(ids, F.col("doc_id").cast("long") == F.col("_without_id"), "left_anti"))
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -67,7 +67,16 @@ class Items:
     def __init__(self, ids: list[int], texts: list[str], size: int):
         words, word_at = words_in(texts)
         shingles, at = shingled(words, word_at, size)
-        kept = [n for n in range(len(texts)) if at[n] < at[n + 1]]
+        counts = np.diff(word_at)
+        kept = np.flatnonzero(counts >= size)
+        # Items of fewer words are one shingle, so a window is equal or has nothing of it: by number of words.
+        self.short = {}
+        for k in range(1, size):
+            some = np.flatnonzero(counts == k)
+            if len(some):
+                values = np.concatenate([shingled(words[word_at[n] : word_at[n + 1]], np.array([0, k]), k)[0] for n in some])
+                order = np.argsort(values, kind="stable")
+                self.short[k] = values[order], np.array([ids[n] for n in some], np.int64)[order]
         self.ids = np.array([ids[n] for n in kept], np.int64)
         self.words = np.array([word_at[n + 1] - word_at[n] for n in kept], np.int64)
         self.shingles = [shingles[at[n] : at[n + 1]] for n in kept]
@@ -115,7 +124,7 @@ def _consecutive(starts: np.ndarray, limit: int = 4096) -> Iterator[np.ndarray]:
             yield run[begin : begin + limit]
 
 
-def _search(items: Items, shingles: np.ndarray, words: int, threshold: float):
+def _search(items: Items, shingles: np.ndarray, threshold: float):
     """(item, similarity, first word) of the best verified window for each item found in one document."""
     at, owners = items.hits(shingles)
     best: dict[int, tuple[float, int]] = {}
@@ -140,6 +149,24 @@ def _search(items: Items, shingles: np.ndarray, words: int, threshold: float):
     return [(n, alike, start) for n, (alike, start) in best.items()]
 
 
+def _search_short(items: Items, words: np.ndarray, word_at: np.ndarray):
+    """(document, item id, first word, words) where an item of fewer words than a shingle first stands in a document."""
+    for k, (values, owners) in items.short.items():
+        shingles, at = shingled(words, word_at, k)
+        shingles = shingles[np.repeat(np.diff(word_at) >= k, np.diff(at))]
+        at = np.concatenate(([0], np.cumsum(np.where(np.diff(word_at) >= k, np.diff(at), 0))))
+        left = np.searchsorted(values, shingles, "left")
+        many = np.searchsorted(values, shingles, "right") - left
+        spots = np.repeat(np.arange(len(shingles)), many)
+        found = owners[np.repeat(left - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        docs = np.searchsorted(at, spots, "right") - 1
+        seen = set()
+        for d, item, start in zip(docs.tolist(), found.tolist(), (spots - at[docs]).tolist()):
+            if (d, item) not in seen:
+                seen.add((d, item))
+                yield d, item, start, k
+
+
 def _chunks(benchmark: DataFrame) -> Iterator[list]:
     """The items in runs of bounded count and size, read one partition at a time."""
     run, chars = [], 0
@@ -158,7 +185,8 @@ def matches(
 ) -> DataFrame:
     """One row per document and item it holds: similarity and place (in words) of the best window.
 
-    Words are lower-cased runs of letters and digits. Texts of fewer words than a shingle are one shingle.
+    Words are lower-cased runs of letters and digits. Texts of fewer words than a shingle are one shingle,
+    so an item that short is found where it stands word by word.
     Null and empty texts, of documents or items, match nothing; rows without doc_id are searched too. Of equal
     items each is found; of equal windows the first counts. Empty tables give no rows. The items are a stated
     query set: they go over all documents in runs of PASS_ITEMS at most, so what is sent to a task is bounded.
@@ -178,10 +206,12 @@ def matches(
                 for begin, end in slices(texts):
                     words, word_at = words_in(texts[begin:end])
                     shingles, at = shingled(words, word_at, size)
+                    for d, item, start, k in _search_short(items, words, word_at):
+                        found.append((ids[begin + d], item, 1.0, start, k))
                     doc_of = np.searchsorted(at, items.hits(shingles)[0], "right") - 1 if len(items.ids) else []
                     for d in np.unique(doc_of):
                         own = shingles[at[d] : at[d + 1]]
-                        for n, alike, start in _search(items, own, int(word_at[d + 1] - word_at[d]), threshold):
+                        for n, alike, start in _search(items, own, threshold):
                             found.append((ids[begin + d], int(items.ids[n]), alike, start, int(items.words[n])))
                 yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
