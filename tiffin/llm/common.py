@@ -36,27 +36,26 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-#: Bits of the bitmap in ``without_ids``: 1 MB, whatever the number of ids.
-ID_BITS = 1 << 23
+#: Bits of a bitmap of hashes: 1 MB, whatever the number of values.
+BITMAP_BITS = 1 << 23
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (one column); rows without doc_id stay.
+def maybe_in(values: DataFrame):
+    """A function from a long column to whether its value may be in ``values`` (one long column, no nulls).
 
-    A bitmap of fixed size, set at the hash of each id, tells most rows that stay from the others where they are
-    read; only rows that hit a bit are shuffled and compared. ``docs`` is read twice.
+    It looks at a bitmap of fixed size, set at the hash of each value: never wrong about a value that is in, and
+    the more values there are, the more often wrong about others. Nulls are not in.
     """
-    spark = docs.sparkSession
-    ids = pinned(ids.select(F.col(ids.columns[0]).cast("long").alias("_without_id")).filter("_without_id IS NOT NULL").distinct())
+    spark = values.sparkSession
 
-    def place(column: str):
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(ID_BITS))
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(BITMAP_BITS))
 
-    bit = ids.select(place("_without_id").alias("_bit"))
+    bit = values.select(place(F.col(values.columns[0])).alias("_bit"))
     words = bit.groupBy(F.floor(F.col("_bit") / 32).alias("_word")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(_bit % 32 AS INT))")).alias("_bits")
     )
-    bitmap = np.zeros(ID_BITS // 32, np.uint32)  # no more than 262,144 rows
+    bitmap = np.zeros(BITMAP_BITS // 32, np.uint32)  # no more than 262,144 rows
     for row in words.collect():
         bitmap[row["_word"]] = row["_bits"]
     sent = spark.sparkContext.broadcast(bitmap)
@@ -67,7 +66,19 @@ def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         at = bits.fillna(0).to_numpy(np.int64)
         return pd.Series(known & ((sent.value[at // 32] >> (at % 32).astype(np.uint32)) & 1).astype(bool))
 
-    marked = docs.withColumn("_without_maybe", hit(F.when(F.col("doc_id").isNotNull(), place("doc_id"))))
+    return lambda column: hit(F.when(column.isNotNull(), place(column)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (one column); rows without doc_id stay.
+
+    A bitmap tells most rows that stay from the others where they are read; only rows that hit it are
+    shuffled and compared. ``docs`` is read twice.
+    """
+    ids = pinned(
+        ids.select(F.col(ids.columns[0]).cast("long").alias("_without_id")).filter("_without_id IS NOT NULL").distinct()
+    )
+    marked = docs.withColumn("_without_maybe", maybe_in(ids)(F.col("doc_id").cast("long")))
     stays = marked.filter("NOT _without_maybe").drop("_without_maybe")
     rest = marked.filter("_without_maybe").drop("_without_maybe")
     return stays.unionByName(rest.join(ids, F.col("doc_id").cast("long") == F.col("_without_id"), "left_anti"))

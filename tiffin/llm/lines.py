@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import pinned, small_batches
+from tiffin.llm.common import maybe_in, pinned, small_batches
 from tiffin.llm.components import components
 from tiffin.llm.jaccard import Packer, Unpacker
 from tiffin.llm.shingles import mix, slices
@@ -171,10 +171,10 @@ def candidate_pairs(docs: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(id, component) of the lines of ``docs`` (text) that have a link to a different line."""
     pairs = pinned(candidate_pairs(docs))
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.select(F.xxhash64("line").alias("id"), "line").distinct()
-    lines = pinned(lines.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    wanted = pinned(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
+    lines = lines.filter(maybe_in(wanted)(F.col("id"))).groupBy("id").agg(F.first("line").alias("line"))
+    lines = pinned(lines.join(wanted, "id", "left_semi"))
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -182,7 +182,6 @@ def line_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
 
     left = lines.select(F.col("id").alias("a"), F.col("line").alias("_left"))
     right = lines.select(F.col("id").alias("b"), F.col("line").alias("_right"))
-    # Only lines of near lengths can be that similar: a set has no more shingles than characters.
     found = pairs.join(left, "a").join(right, "b").filter(similar("_left", "_right")).select("a", "b")
     return components(found)
 
