@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from tiffin.plans.queries import QUERIES
@@ -55,7 +56,9 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "tiffin-bench")
+    shared = tempfile.mkdtemp(prefix="tiffin-bench-")
+    settings = {"spark.checkpoint.dir": shared}
+    spark = local_session(os.environ.get("BENCH_CPUS", "8"), "tiffin-bench", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
     for name in names:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 from collections import Counter
 from datetime import date, datetime
@@ -85,7 +86,7 @@ def main(names: list[str]) -> int:
     from tiffin.plans.queries import QUERIES
     from tiffin.session import local_session
 
-    spark = local_session(8)
+    spark = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tiffin-compare-")})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect()
     bad = 0

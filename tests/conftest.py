@@ -12,8 +12,9 @@ NOW = datetime(2024, 3, 10, 12, 0, 0)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, "tiffin-tests")
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(4, "tiffin-tests", **{"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

@@ -108,8 +108,8 @@ def test_long_orders_are_split_without_loss(spark, seed, make):
     )
     docs = documents.order_documents(heads, lines, seed["menu_items"], max_items=100).collect()
     parts = {(r.order_id, r.part): (r.parts, [i.order_item_id for i in r["items"]]) for r in docs}
-    long = [ids for (order, _), (_, ids) in parts.items() if order == 1]
-    assert sorted(sum(long, [])) == list(range(1, 991)) and max(map(len, long)) < 200
+    long = [parts[1, n][1] for n in range(1, 11)]
+    assert sum(long, []) == list(range(1, 991)) and max(map(len, long)) == 100
     assert parts[(2, 1)] == (1, list(range(991, 1001))) and parts[(3, 1)] == (1, [])
     assert {p for (order, _), (p, _) in parts.items() if order == 1} == {10}
     admin = documents.admin_order_documents(

@@ -2,8 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from tests.compare import connect, differences
+from tiffin.plans.oracles import ORACLES
+from tiffin.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,12 +16,12 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    assert differences(queries()[name](spark, FOLDER), duck, oracle_sql()[name]) == []
+    assert differences(QUERIES[name](spark, FOLDER), duck, ORACLES[name]) == []
 
 
 def test_entry_gives_rows(spark):

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import NOW, rows_of
 from tiffin.operators import orders, paging, sequences
@@ -51,8 +52,8 @@ def test_model_round_trip(spark, tmp_path, seed):
 
 def test_appended_lines_and_change_log(spark, tmp_path, seed, make):
     path = str(tmp_path / "lines")
-    store.append_lines(seed["order_items"], path)
-    store.append_lines(seed["order_items"], path)
+    for batch in (1, 2, 2):
+        store.append_lines(seed["order_items"], path, batch)
     back = spark.read.parquet(path)
     assert back.count() == 12 and "order_date" in back.columns
     log = make("order_id BIGINT, status STRING, at TIMESTAMP, seq BIGINT", (1, "a", NOW, 1), (1, "b", NOW, 2), (2, "c", NOW, 1))
@@ -123,6 +124,39 @@ def test_pages_per_key_far_from_the_start(spark, monkeypatch, bound, group):
         assert {(r.order_id, r.row_number) for r in got} == want
 
 
+def undated(spark):
+    """Many orders, some without date, some without user."""
+    return many_orders(spark).withColumns(
+        {
+            "created_at": F.when(F.col("order_id") % 9 != 0, F.col("created_at")),
+            "user_id": F.when(F.col("order_id") % 4 != 0, F.col("user_id")),
+        }
+    )
+
+
+def undated_last(rows):
+    return sorted(rows, key=lambda r: (r.created_at is not None, r.created_at or 0, r.order_id), reverse=True)
+
+
+@pytest.mark.parametrize("bound", [10_000, 5])
+def test_orders_without_date_or_user_are_on_the_pages(spark, monkeypatch, bound):
+    monkeypatch.setattr(paging, "TOP_ROWS", bound)
+    monkeypatch.setattr(paging, "GROUP_LIMIT_ROWS", bound)
+    rows = undated(spark).collect()
+    ordered = [r.order_id for r in undated_last(rows)]
+    for number in range(1, len(rows) // 150 + 2):
+        got = paging.page(undated(spark), number, 150).collect()
+        assert [r.order_id for r in undated_last(got)] == ordered[(number - 1) * 150 : number * 150]
+    for group in (10_000, 2):
+        monkeypatch.setattr(sequences, "MAX_GROUP_ROWS", group)
+        got = {(r.order_id, r.row_number) for r in paging.pages_per_key(undated(spark), "user_id", 2, 20).collect()}
+        want = set()
+        for user in {r.user_id for r in rows}:
+            mine = undated_last([r for r in rows if r.user_id == user])
+            want |= {(r.order_id, n) for n, r in enumerate(mine, 1) if 20 < n <= 40}
+        assert got == want
+
+
 def test_page_after_continues_the_page_before(spark):
     first = paging.page(many_orders(spark), 1).collect()
     last = newest(first)[-1]
@@ -132,12 +166,16 @@ def test_page_after_continues_the_page_before(spark):
 
 def test_page_and_size_are_clamped():
     assert paging.bounds(-3, 0) == (0, 1)
-    assert paging.bounds(2, 10**9) == (paging.MAX_PAGE_SIZE, paging.MAX_PAGE_SIZE)
+    assert paging.bounds(2, 10**9) == (10**9, 10**9)
 
 
 def test_page_totals(spark, seed):
-    row = orders.page_with_total(seed["orders"], seed["order_items"], 3, 2, 2).collect()
-    assert [(r.order_id, r.unit_count, r.total_count) for r in row] == [(1, 3, 3)]
+    found = orders.page_with_total(seed["orders"], seed["order_items"], 3, 2, 2)
+    assert [(r.order_id, r.unit_count) for r in found.rows.collect()] == [(1, 3)]
+    past = orders.page_with_total(seed["orders"], seed["order_items"], 3, 9, 2)
+    for total in (found.total, past.total):
+        assert [tuple(r) for r in total.collect()] == [(3, 3)]
+    assert past.rows.collect() == []
     every = orders.order_pages(seed["orders"], seed["order_items"], 1, 2)
     assert rows_of(every, "order_id", "row_number", "total_count") == [(2, 2, 3), (3, 1, 3)]
     assert orders.orders_per_user(seed["orders"]).first().order_count == 3

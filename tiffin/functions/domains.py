@@ -67,7 +67,6 @@ MESSAGES = {
 # Patterns of accepted input.
 USERNAME_PATTERN = "^[a-zA-Z0-9_]+$"
 PHONE_PATTERN = r"^[0-9\-+\s]+$"
-EMAIL_PATTERN = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
 ACCESS_LOG_PATTERN = r"^\[(INFO|ERROR)\] ([A-Z]+) (\S+) - (\d{3}) - (\d+)ms$"
 
 # Case-, accent- and trailing-space-insensitive comparison of account names.

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 AMOUNT = "decimal(12,2)"
+# What an amount sent as text may be; the application has no bound of its own.
+TEXT_AMOUNT = "decimal(38,2)"
 # Holds any price times any quantity.
 WIDE_AMOUNT = "decimal(29,2)"
 
@@ -16,7 +18,7 @@ def leading_int(value: Column) -> Column:
     return F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def leading_amount(value: Column, kind: str = AMOUNT) -> Column:
+def leading_amount(value: Column, kind: str = TEXT_AMOUNT) -> Column:
     """Decimal number at the start of the text, 0 where there is none."""
     number = F.regexp_extract(value.cast("string"), r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1)
     return F.coalesce(number.try_cast(kind), F.lit(0).cast(kind))

@@ -19,24 +19,37 @@ def present(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+# White space at either end, of any script.
+_ENDS = r"^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_ENDS = _ENDS + "|" + _ENDS[1:] + "$"
+
+# What the parts of a mail address may be made of: atoms of the local part, joined by single
+# dots; labels of the host that neither begin nor end with a hyphen; a last label of letters.
+_LETTERS = r"a-zA-Z\x{A1}-\x{FFFF}"
+_ATOM = rf"[{_LETTERS}0-9!#$%&'*+/=?^_`{{|}}~-]+"
+_LABEL = rf"[{_LETTERS}0-9]([{_LETTERS}0-9-]{{0,61}}[{_LETTERS}0-9])?"
+_EMAIL = rf"^(?=.{{1,64}}@.{{1,254}}$){_ATOM}(\.{_ATOM})*@({_LABEL}\.)+([{_LETTERS}]{{2,63}}|xn--[a-zA-Z0-9-]{{1,59}})$"
+
+
 def trimmed(text: Column) -> Column:
-    return F.trim(text)
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def clean_email(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(trimmed(text))
 
 
 def is_username(text: Column) -> Column:
-    return F.trim(text).rlike(domains.USERNAME_PATTERN)
+    return text.rlike(domains.USERNAME_PATTERN)
 
 
 def is_phone(text: Column) -> Column:
-    return F.trim(text).rlike(domains.PHONE_PATTERN)
+    return text.rlike(domains.PHONE_PATTERN)
 
 
 def is_email(text: Column) -> Column:
-    return text.rlike(domains.EMAIL_PATTERN)
+    return text.rlike(_EMAIL)
 
 
 def name_key(text: Column) -> Column:

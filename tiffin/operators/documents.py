@@ -1,16 +1,15 @@
 """Nested order documents: one order with its lines as ``items``.
 
-An array must fit one row and one task. Orders of up to ``MAX_ITEMS`` lines, in
-practice all, become one document. A longer order is split into numbered parts,
-each with the header and about ``MAX_ITEMS`` lines; no line is dropped. Finding the
-long orders reads only the order ids of the lines.
+An array must fit one row. A document holds ``max_items`` lines at most; an order is as
+many documents, numbered as parts with the same header, as its lines by id need, so
+the items of its parts in order are its items. No line is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
@@ -18,8 +17,8 @@ from tiffin.functions.money import leading_amount, leading_int, line_subtotal
 from tiffin.functions.text import item_label, present
 from tiffin.operators.catalog import rows_with_keys
 from tiffin.operators.orders import orders_of
-from tiffin.sources.sizes import small
 
+# Lines of one document.
 MAX_ITEMS = 10_000
 
 CUSTOMER_HEADER = [
@@ -59,39 +58,30 @@ def _quantity(lines: DataFrame) -> Column:
     return leading_int(F.col("quantity"))
 
 
-def _with_parts(lines: DataFrame, max_items: int) -> DataFrame:
-    """Adds ``part``, ``parts`` and ``order_units`` if any order is too long for one array."""
-    counts = lines.groupBy("order_id").agg(F.count("*").alias("_lines"), F.sum(_quantity(lines)).alias("order_units"))
-    long_orders = counts.filter(F.col("_lines") > max_items).select(
-        "order_id", F.ceil(F.col("_lines") / max_items).cast("int").alias("_parts"), "order_units"
-    )
-    if long_orders.isEmpty():
-        return lines
-    # Counted: few orders can be this long. Past the bound the join shuffles.
-    known = lines.join(small(long_orders), "order_id", "left")
-    part = F.pmod(F.xxhash64(*lines.columns), F.col("_parts")).cast("int") + 1
-    return known.withColumns({"part": F.coalesce(part, F.lit(1)), "parts": F.coalesce("_parts", F.lit(1))}).drop("_parts")
-
-
-PART_COLUMNS = ["part", "parts", "order_units"]
+def _documents(headers: DataFrame, lines: DataFrame, item: Column, max_items: int) -> DataFrame:
+    """Headers with ``items``, ``part`` and ``parts``: the items of an order in their order, ``max_items``
+    to a part. Orders without lines get ``[]``.
 
-
-def _documents(headers: DataFrame, lines: DataFrame, item: Column) -> DataFrame:
-    """Headers with ``items``, ``part`` and ``parts``. Orders without lines get ``[]``.
-
-    Lines without id (unmatched outer-join rows) become NULL, which collect_list skips.
+    Lines without id (unmatched outer-join rows) become NULL, which collect_list skips. Parts
+    and units are summed over the parts of an order, which are few; all steps use the
+    one shuffle by order.
     """
-    split = [c for c in PART_COLUMNS if c in lines.columns]
     kept = F.when(F.col("order_item_id").isNotNull(), item)
-    grouped = lines.groupBy("order_id", *split).agg(
-        F.sort_array(F.collect_list(kept)).alias("items"), F.sum("quantity").alias("_units")
+    order = Window.partitionBy("order_id")
+    place = F.row_number().over(order.orderBy("_item"))
+    grouped = (
+        lines.withColumn("_item", kept)
+        .withColumn("part", F.ceil(place / max_items).cast("int"))
+        .groupBy("order_id", "part")
+        .agg(F.sort_array(F.collect_list("_item")).alias("items"), F.sum("quantity").alias("_part_units"))
+        .withColumns({"parts": F.max("part").over(order), "_units": F.sum("_part_units").over(order)})
     )
-    if split:
-        grouped = grouped.withColumn("_units", F.coalesce("order_units", "_units"))
     empty = F.array().cast(grouped.schema["items"].dataType)
-    joined = headers.join(grouped, "order_id", "left").withColumn("items", F.coalesce("items", empty))
+    joined = headers.join(grouped, "order_id", "left")
     one = F.lit(1)
-    return joined.withColumns({c: F.coalesce(c, one) if split else one for c in ("part", "parts")})
+    return joined.withColumns(
+        {"items": F.coalesce("items", empty), "part": F.coalesce("part", one), "parts": F.coalesce("parts", one)}
+    )
 
 
 def order_documents(
@@ -113,9 +103,9 @@ def order_documents(
     elif user_id is not None:
         lines = lines.join(headers.select("order_id"), "order_id", "left_semi")
     names = menu_items.select("item_id", "item_name", "image_url")
-    named = _with_parts(lines, max_items).join(names, "item_id", "left")
+    named = lines.join(names, "item_id", "left")
     item = F.struct("order_item_id", "item_id", "quantity", "unit_price", "subtotal", "item_name", "image_url")
-    documents = _documents(headers.select(*CUSTOMER_HEADER), named, item)
+    documents = _documents(headers.select(*CUSTOMER_HEADER), named, item, max_items)
     return documents.select(*CUSTOMER_HEADER, "items", "part", "parts")
 
 
@@ -139,7 +129,6 @@ def cleaned_lines(lines: DataFrame, menu_items: DataFrame) -> DataFrame:
             F.col("unit_price").alias("price"),
             line_subtotal(F.col("subtotal"), F.col("quantity"), F.col("unit_price")).alias("subtotal"),
             "image_url",
-            *[c for c in PART_COLUMNS if c in lines.columns],
         )
     )
 
@@ -163,7 +152,7 @@ def admin_order_documents(
     item = F.struct(
         "order_item_id", "item_id", "item_name", "description", "quantity", "price", "subtotal", "image_url"
     )
-    documents = _documents(headers, cleaned_lines(_with_parts(lines, max_items), menu_items), item)
+    documents = _documents(headers, cleaned_lines(lines, menu_items), item, max_items)
     return documents.withColumn("unit_count_or_zero", F.coalesce("_units", F.lit(0))).select(
         *ADMIN_HEADER, "unit_count_or_zero", "items", "part", "parts"
     )

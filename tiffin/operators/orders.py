@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions.domains import PAGE_SIZE
-from tiffin.operators.catalog import rows_with_keys
+from tiffin.operators.catalog import IN_LIST_LIMIT, rows_with_keys
 from tiffin.operators.paging import newest_first, page, pages_per_key
+from tiffin.session import pin
 
 FEED = [
     "order_id",
@@ -98,9 +100,15 @@ def orders_per_user(orders: DataFrame) -> DataFrame:
 
 
 def _figures_of_page(orders_page: DataFrame, lines: DataFrame) -> DataFrame:
-    """Line figures of one page of orders; a page size is clamped to ``MAX_PAGE_SIZE`` rows."""
-    wanted = F.broadcast(orders_page.select("order_id"))
-    return with_line_figures(orders_page, lines.join(wanted, "order_id", "left_semi"))
+    """Line figures of one page of orders.
+
+    The page is fixed once. The ids of a short page reach the scan of the lines as a
+    filter; a long one is a table to join with.
+    """
+    rows = pin(orders_page)
+    ids = [r[0] for r in rows.select("order_id").limit(IN_LIST_LIMIT + 1).collect()]
+    wanted = ids if len(ids) <= IN_LIST_LIMIT else rows
+    return with_line_figures(rows, rows_with_keys(lines, "order_id", wanted))
 
 
 def order_history(orders: DataFrame, lines: DataFrame, users: DataFrame | Sequence[int]) -> DataFrame:
@@ -114,17 +122,19 @@ def order_history_page(orders: DataFrame, lines: DataFrame, user_id: int, number
     return _figures_of_page(rows, lines).orderBy(*newest_first())
 
 
+class PageWithTotal(NamedTuple):
+    rows: DataFrame
+    total: DataFrame  # user_id, total_count; one row, also if the page is empty
+
+
 def page_with_total(
     orders: DataFrame, lines: DataFrame, user_id: int, number: int = 1, size: int = PAGE_SIZE
-) -> DataFrame:
-    """A page of the caller's size, with the customer's order count on every row."""
+) -> PageWithTotal:
+    """A page of the caller's size, and the customer's order count."""
     mine = orders_of(orders, [user_id])
-    rows = page(mine, number, size)
-    return (
-        _figures_of_page(rows, lines)
-        .join(orders_per_user(mine).withColumnRenamed("order_count", "total_count"), "user_id")
-        .orderBy(*newest_first())
-    )
+    rows = _figures_of_page(page(mine, number, size), lines).orderBy(*newest_first())
+    total = mine.agg(F.count("*").alias("total_count"))
+    return PageWithTotal(rows, total.select(F.lit(user_id).cast("bigint").alias("user_id"), "total_count"))
 
 
 def order_pages(orders: DataFrame, lines: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:

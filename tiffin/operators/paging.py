@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,6 @@ from tiffin.functions.domains import PAGE_SIZE
 from tiffin.operators import sequences
 from tiffin.operators.sequences import number_rows
 
-MAX_PAGE_SIZE = 1_000
 # A top-n passes offset + size rows of every task on to one task; past this bound the
 # page is found by day counts.
 TOP_ROWS = 1_000
@@ -23,9 +24,8 @@ def newest_first() -> list[Column]:
 
 
 def bounds(number: int, size: int) -> tuple[int, int]:
-    """First row (from 0) and row count of a page; page and size are clamped."""
-    number = max(1, int(number))
-    size = min(max(1, int(size)), MAX_PAGE_SIZE)
+    """First row (from 0) and row count of a page; neither page nor size is below 1."""
+    number, size = max(1, int(number)), max(1, int(size))
     return (number - 1) * size, size
 
 
@@ -40,13 +40,14 @@ def page(df: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
 def _deep_page(df: DataFrame, offset: int, size: int) -> DataFrame:
     """A page far from the start: count rows per day, then sort only its days."""
     span = _day_span(df, [], offset, offset + size)
-    rows = df.withColumn("_day", F.to_date("created_at")).join(F.broadcast(span), "_day")
+    # Orders without date are a day of their own, the last one. One row per day bounds the broadcast.
+    rows = _joined(df.withColumn("_day", F.to_date("created_at")), F.broadcast(span), ["_day"])
     # All rows of the span start at the same global position, taken from its first day.
     start = span.agg(F.min("_before")).first()[0]
     if start is None:
         return df.limit(0)
     skip = offset - start
-    kept = rows.drop("_day", "_before", "_rows")
+    kept = rows.select(*df.columns)
     if skip + size <= TOP_ROWS:
         return kept.orderBy(*newest_first()).offset(skip).limit(size)
     return _page_by_rank(kept, skip, size)
@@ -73,6 +74,13 @@ def _day_span(df: DataFrame, keys: list[str], low: int, high: int) -> DataFrame:
     )
 
 
+def _joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys are equal; the keys are those of ``df``."""
+    renamed = other.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    return df.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+
+
 def page_after(df: DataFrame, created_at, order_id: int, size: int = PAGE_SIZE) -> DataFrame:
     """The next page after a given order: a pushed-down filter instead of an offset."""
     last = F.lit(created_at)
@@ -98,7 +106,7 @@ def pages_per_key(df: DataFrame, key: str, number: int = 1, size: int = PAGE_SIZ
         place = F.row_number().over(Window.partitionBy(key).orderBy(*newest_first()))
         return df.withColumn("row_number", place).filter((F.col("row_number") <= high) & (F.col("row_number") > low))
     span = _day_span(df, [key], low, high)
-    rows = df.withColumn("_day", F.to_date("created_at")).join(span, [key, "_day"])
+    rows = _joined(df.withColumn("_day", F.to_date("created_at")), span, [key, "_day"])
     largest = span.agg(F.max("_rows")).first()[0]
     if (largest or 0) <= sequences.MAX_GROUP_ROWS:
         inside = F.row_number().over(Window.partitionBy(key, "_day").orderBy(*newest_first()))
@@ -108,7 +116,7 @@ def pages_per_key(df: DataFrame, key: str, number: int = 1, size: int = PAGE_SIZ
         # at once and count from the first row of each key.
         placed = number_rows(rows, [F.col(key), *newest_first()], "_place")
         starts = placed.groupBy(key).agg(F.min("_place").alias("_start"), F.min("_before").alias("_skipped"))
-        numbered = placed.join(starts, key).withColumn(
+        numbered = _joined(placed, starts, [key]).withColumn(
             "row_number", F.col("_skipped") + F.col("_place") - F.col("_start") + 1
         )
     return (

@@ -33,7 +33,8 @@ def price_lines(headers: DataFrame, lines: DataFrame, menu_items: DataFrame) ->
     order_type, scheduled_at, ts. ``lines``: request_id, pos, item_id, quantity.
     A missing or inactive item rejects the request; the first such line by
     position gives the reason. An unavailable item does not reject. A total that
-    the order table cannot hold rejects the request as well.
+    the order table cannot hold rejects the request as well, and so does a request
+    without lines: every request is an order or a reject.
     """
     catalog = menu_items.select("item_id", "item_name", "price", "is_active").withColumn("_known", F.lit(True))
     looked_up = lines.join(catalog, "item_id", "left")
@@ -55,7 +56,10 @@ def price_lines(headers: DataFrame, lines: DataFrame, menu_items: DataFrame) ->
     )
     too_large = F.when((F.col("_unpriced") > 0) | F.col("total_amount").isNull(), domains.NOT_CREATED)
     verdicts = sums.select("request_id", "total_amount", F.coalesce("_reason", too_large).alias("reason"))
-    judged = headers.join(verdicts, "request_id")
+    # A request without lines has no verdict.
+    judged = headers.join(verdicts.withColumn("_judged", F.lit(True)), "request_id", "left")
+    no_items = F.when(F.col("_judged").isNull(), domains.MESSAGES["no_items"])
+    judged = judged.withColumn("reason", F.coalesce("reason", no_items))
     accepted = judged.filter("reason IS NULL")
     orders = accepted.select(
         "request_id",

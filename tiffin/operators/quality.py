@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
-from tiffin.functions.text import is_email, is_phone, is_username, name_key
+from tiffin.functions.text import clean_email, is_email, is_phone, is_username, name_key, trimmed
 from tiffin.operators.sequences import previous_in_order
 
 SAYS = domains.MESSAGES
@@ -33,7 +33,7 @@ def with_errors(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def split(checked: DataFrame) -> Split:
-    """Valid rows as they came; rejected rows with all errors and the first message."""
+    """Valid rows as the check cleaned them; rejected rows with all errors and the first message."""
     return Split(
         checked.filter(F.size("errors") == 0).drop("errors"),
         checked.filter(F.size("errors") > 0).withColumn("first_error", F.col("errors")[0]["message"]),
@@ -41,7 +41,12 @@ def split(checked: DataFrame) -> Split:
 
 
 def _length(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(text)), F.lit(0))
+    return F.coalesce(F.length(text), F.lit(0))
+
+
+def _cleaned(df: DataFrame, *names: str) -> DataFrame:
+    """The rows with trimmed texts: what is checked is what is stored."""
+    return df.withColumns({name: trimmed(F.col(name)) for name in names})
 
 
 def _not(condition: Column) -> Column:
@@ -50,8 +55,12 @@ def _not(condition: Column) -> Column:
 
 
 def check_signups(df: DataFrame, profile: str = "live") -> DataFrame:
-    """Sign-up requests; ``profile="strict"`` applies the declared stricter rules."""
+    """Sign-up requests; ``profile="strict"`` applies the declared stricter rules.
+
+    User names come out trimmed; with the strict rules, all texts do, and e-mail addresses in lower case.
+    """
     username, email = F.col("username"), F.col("email")
+    df = _cleaned(df, "username")
     if profile == "live":
         rules = [
             ("username", _length(username) < 3, SAYS["username_short"]),
@@ -59,6 +68,7 @@ def check_signups(df: DataFrame, profile: str = "live") -> DataFrame:
             ("role", ~F.col("role").isin(domains.ROLES), SAYS["role"]),
         ]
     else:
+        df = _cleaned(df, "full_name", "phone").withColumn("email", clean_email(email))
         rules = [
             ("username", ~_length(username).between(3, 20), SAYS["username_length"]),
             (
@@ -66,7 +76,7 @@ def check_signups(df: DataFrame, profile: str = "live") -> DataFrame:
                 _not(is_username(username)),
                 SAYS["username_charset"],
             ),
-            ("email", _not(is_email(F.trim(email))), SAYS["email_format"]),
+            ("email", _not(is_email(email)), SAYS["email_format"]),
             ("full_name", ~_length(F.col("full_name")).between(2, 100), SAYS["full_name"]),
             ("phone", ~is_phone(F.col("phone")), SAYS["phone"]),
         ]
@@ -74,7 +84,8 @@ def check_signups(df: DataFrame, profile: str = "live") -> DataFrame:
 
 
 def check_items(df: DataFrame) -> DataFrame:
-    """Item requests with text fields as sent."""
+    """Item requests with text fields as sent; name, description and image come out trimmed."""
+    df = _cleaned(df, *[c for c in ("item_name", "description", "image_url") if c in df.columns])
     name, price = F.col("item_name"), F.col("price").cast("string")
     number = F.trim(price).try_cast("double")
     category = F.nullif(F.trim(F.col("category_id").cast("string")), F.lit(""))
@@ -93,7 +104,9 @@ def check_items(df: DataFrame) -> DataFrame:
 
 
 def check_categories(df: DataFrame) -> DataFrame:
-    flag = F.lower(F.col("is_active").cast("string"))
+    """Category requests; the name comes out trimmed."""
+    df = _cleaned(df, "category_name")
+    flag = F.col("is_active").cast("string")
     rules = [
         ("category_name", ~_length(F.col("category_name")).between(1, 100), SAYS["category_name"]),
         ("is_active", ~flag.isin("true", "false", "1", "0"), SAYS["is_active"]),
@@ -140,25 +153,26 @@ def check_order_requests(df: DataFrame) -> DataFrame:
 
 
 def check_cart_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """``cart:add`` messages: an object with an integer item id; quantity defaults to 1."""
-    item = F.get_json_object(payload, "$.item")
-    item_id = F.get_json_object(payload, "$.item.item_id")
-    quantity = F.get_json_object(payload, "$.item.quantity")
-    whole = r"^-?\d+$"
-    # A quoted number is text, not an integer; only the raw document tells them apart.
-    raw_id = F.from_json(item, "item_id VARIANT, quantity VARIANT")
-    is_int = F.schema_of_variant(raw_id["item_id"]) == "BIGINT"
-    quantity_is_int = F.schema_of_variant(raw_id["quantity"]) == "BIGINT"
+    """``cart:add`` messages: an object with an item that has a whole number as id; quantity defaults to 1.
+
+    A number is whole by its value (``2.0`` is); a quoted number is text.
+    """
+    document = F.try_parse_json(payload)
+
+    def whole(path):
+        kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+        number = F.try_variant_get(document, path, "double")
+        is_number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.when(is_number & (number == F.floor(number)), F.try_variant_get(document, path, "bigint"))
+
+    is_object = F.coalesce(F.schema_of_variant(document).rlike("^(OBJECT|ARRAY)"), F.lit(False))
+    item_id = whole("$.item.item_id")
     rules = [
-        ("payload", item.isNull(), SAYS["cart_payload"]),
-        ("item_id", item.isNotNull() & ~(F.coalesce(item_id.rlike(whole) & is_int, F.lit(False))), SAYS["cart_item"]),
+        ("payload", ~is_object, SAYS["cart_payload"]),
+        ("item_id", is_object & item_id.isNull(), SAYS["cart_item"]),
     ]
-    return with_errors(df, rules).withColumns(
-        {
-            "item_id": item_id.try_cast("bigint"),
-            "quantity": F.when(F.coalesce(quantity_is_int, F.lit(False)), quantity.try_cast("int")).otherwise(F.lit(1)),
-        }
-    )
+    quantity = F.coalesce(whole("$.item.quantity").try_cast("int"), F.lit(1))
+    return with_errors(df, rules).withColumns({"item_id": item_id, "quantity": quantity})
 
 
 def cap_admins(users: DataFrame, signups: DataFrame, cap: int = domains.MAX_ADMINS) -> Split:
@@ -301,12 +315,13 @@ TOLERANCE = 0.005
 
 
 def total_reconciliation(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Orders whose total is not the sum of their lines; orders without lines are left out."""
+    """Orders whose total is not the sum of their lines, which is 0 without lines."""
     sums = lines.groupBy("order_id").agg(F.sum("subtotal").alias("line_total"))
     gap = F.col("total_amount") - F.col("line_total")
     return (
         orders.select("order_id", "total_amount")
-        .join(sums, "order_id")
+        .join(sums, "order_id", "left")
+        .withColumn("line_total", F.coalesce("line_total", F.lit(0)))
         .withColumn("difference", gap)
         .filter(F.abs("difference") > TOLERANCE)
     )

@@ -86,6 +86,6 @@ def _previous_by_slice(boxed: DataFrame, key: str, order: list[str]) -> DataFram
     return (
         sliced.join(F.broadcast(carried), "_slice")
         .withColumn("_before", before)
-        .withColumn("_before", F.when(F.col("_before.key") == F.col(key), F.col("_before.box")))
+        .withColumn("_before", F.when(F.col("_before.key").eqNullSafe(F.col(key)), F.col("_before.box")))
         .drop("_slice", "_carried")
     )

@@ -90,8 +90,11 @@ VIEWS = {
     "x_signups": """
         SELECT user_id AS request_id,
                CASE user_id % 11 WHEN 0 THEN concat(' ', substring(username, 1, 2), ' ')
-                    WHEN 1 THEN concat(username, '-more') ELSE username END AS username,
-               CASE WHEN user_id % 6 = 0 THEN replace(email, '@', '') ELSE email END AS email,
+                    WHEN 1 THEN concat(username, '-more') WHEN 2 THEN concat(chr(9), username, chr(10))
+                    WHEN 3 THEN concat(substring(username, 1, 1), chr(9), chr(9)) ELSE username END AS username,
+               CASE WHEN user_id % 6 = 0 THEN replace(email, '@', '') WHEN user_id % 6 = 1 THEN concat('o', chr(39), email)
+                    WHEN user_id % 18 = 2 THEN concat('a..', email)
+                    WHEN user_id % 18 = 8 THEN replace(email, '@', '@-') ELSE email END AS email,
                CASE user_id % 8 WHEN 0 THEN 'J' WHEN 1 THEN NULL ELSE full_name END AS full_name,
                CASE user_id % 5 WHEN 0 THEN 'call me' WHEN 1 THEN NULL ELSE phone END AS phone,
                CASE user_id % 4 WHEN 0 THEN 'staff' WHEN 1 THEN NULL ELSE role END AS role
@@ -102,7 +105,8 @@ VIEWS = {
                CASE item_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'free' WHEN 2 THEN '-1.5' ELSE CAST(price AS VARCHAR) END AS price,
                CASE WHEN item_id % 7 = 0 THEN 'x1' ELSE CAST(category_id AS VARCHAR) END AS category_id,
                CASE WHEN item_id % 6 = 0 THEN repeat(item_name, 60) ELSE description END AS description,
-               CASE item_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'true' END AS flag
+               CASE item_id % 5 WHEN 0 THEN 'yes' WHEN 1 THEN 'true' END AS flag,
+               CASE item_id % 5 WHEN 0 THEN 'maybe' WHEN 1 THEN 'true' WHEN 2 THEN 'TRUE' END AS is_active
         FROM x_menu""",
     "x_gone_users": "SELECT user_id FROM x_users WHERE NOT is_active",
     "x_kept_orders": """
@@ -126,9 +130,17 @@ VIEWS = {
         SELECT event_id, ts, user_id,
                CASE k % 7 WHEN 0 THEN 'not json' WHEN 1 THEN concat('{"item": {"quantity": ', k, '}}')
                     WHEN 2 THEN concat('{"item": {"item_id": "', k, '"}}') WHEN 3 THEN concat('{"item": {"item_id": ', k, '}}')
-                    WHEN 4 THEN concat('{"item": {"item_id": ', k, '.5, "quantity": 2}}')
-                    ELSE concat('{"item": {"item_id": ', k, ', "quantity": 3}}') END AS payload, k
+                    ELSE CASE k % 14 WHEN 4 THEN concat('{"item": {"item_id": ', k, '.5, "quantity": 2}}')
+                              WHEN 11 THEN concat('{"item": {"item_id": ', k, '.0, "quantity": 2}}')
+                              WHEN 5 THEN '{"x": 1}'
+                              ELSE concat('{"item": {"item_id": ', k, ', "quantity": 3}}') END END AS payload, k
         FROM x_events WHERE event_type = 'click'""",
+    "x_cart_checked": """
+        SELECT *, CASE WHEN object AND json_type(payload, '$.item.item_id') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+                       THEN TRY_CAST(json_extract_string(payload, '$.item.item_id') AS DOUBLE) END AS id_number,
+               CASE WHEN object THEN TRY_CAST(json_extract_string(payload, '$.item.quantity') AS INT) END AS quantity
+        FROM (SELECT *, CASE WHEN json_valid(payload) THEN json_type(payload) IN ('OBJECT', 'ARRAY') ELSE FALSE END AS object
+              FROM x_cart_messages)""",
     "x_cart": """
         SELECT event_id, ts, user_id,
                CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove' ELSE 'clear' END AS action,
@@ -226,17 +238,20 @@ def _errors(source: str, rules: list[tuple[str, str, str]]) -> str:
                       field, message FROM ({' UNION ALL '.join(parts)})"""
 
 
-_EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+# Atoms joined by single dots; labels without hyphens at their ends; a last label of letters.
+_ATOM = "[a-zA-Z0-9!#$%&''*+/=?^_`{|}~-]+"
+_EMAIL = rf"^{_ATOM}(\.{_ATOM})*@([a-zA-Z0-9]([a-zA-Z0-9-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{{2,63}}$"
+_NAME = r"regexp_replace(username, '^\s+|\s+$', '', 'g')"
 _LIVE_RULES = [
-    ("username", "length(trim(username)) < 3", "Username must be at least 3 characters"),
+    ("username", f"length({_NAME}) < 3", "Username must be at least 3 characters"),
     ("email", f"NOT regexp_matches(email, '{_EMAIL}')", "Invalid email address"),
     ("role", "role NOT IN ('customer', 'admin')", "Invalid role specified"),
 ]
 _STRICT_RULES = [
-    ("username", "length(trim(username)) NOT BETWEEN 3 AND 20", "Username must be 3-20 characters"),
+    ("username", f"length({_NAME}) NOT BETWEEN 3 AND 20", "Username must be 3-20 characters"),
     (
         "username",
-        "NOT regexp_matches(trim(username), '^[a-zA-Z0-9_]+$')",
+        f"NOT regexp_matches({_NAME}, '^[a-zA-Z0-9_]+$')",
         "Username can only contain letters, numbers, and underscores",
     ),
     ("email", f"NOT regexp_matches(email, '{_EMAIL}')", "Invalid email format"),
@@ -256,9 +271,9 @@ _ITEM_RULES = [
         "coalesce(TRY_CAST(price AS DOUBLE), 0) <= 0",
         "Price must be a valid number greater than 0",
     ),
-    ("category_id", "category_id LIKE 'x%'", "Invalid category ID"),
+    ("category_id", "trim(category_id) <> '' AND TRY_CAST(category_id AS DOUBLE) IS NULL", "Invalid category ID"),
     ("description", "length(description) > 500", "Description must be less than 500 characters"),
-    ("is_available", "flag = 'yes'", "is_available must be a boolean"),
+    ("is_available", "flag NOT IN ('true', 'false')", "is_available must be a boolean"),
 ]
 _CATEGORY_RULES = [
     (
@@ -266,7 +281,7 @@ _CATEGORY_RULES = [
         "length(trim(item_name)) NOT BETWEEN 1 AND 100",
         "Category name required (1-100 chars)",
     ),
-    ("is_active", "request_id % 5 = 0", "is_active must be boolean"),
+    ("is_active", "is_active NOT IN ('true', 'false', '1', '0')", "is_active must be boolean"),
 ]
 
 
@@ -404,6 +419,20 @@ BODIES = {
     "admin_order_feed_p2": _FEED + " OFFSET 20",
     "order_page": f"""SELECT order_id, order_number, CAST(total_amount AS DOUBLE) AS total_amount, created_at
         FROM x_orders {_NEWEST} LIMIT 20 OFFSET 40""",
+    "order_pages_large": f"""SELECT order_id, order_number, created_at FROM x_orders {_NEWEST} LIMIT 3000 OFFSET 3000""",
+    "order_page_undated": """SELECT order_id, order_number, created_at FROM (
+            SELECT order_id, order_number, CASE WHEN order_id % 10 <> 0 THEN created_at END AS created_at FROM x_orders)
+        ORDER BY created_at DESC NULLS LAST, order_id DESC LIMIT 20
+        OFFSET (SELECT 20 * (count(*) // 20 - 3) FROM x_orders)""",
+    "page_total": """SELECT user_id, count(*) AS total_count FROM x_orders WHERE user_id = 7 GROUP BY user_id""",
+    "order_documents_parts": """SELECT order_id, part, parts, count(*) AS lines,
+               min(order_item_id) AS first_id, max(order_item_id) AS last_id FROM (
+            SELECT order_id, order_item_id, CAST((place - 1) // 2 + 1 AS INT) AS part,
+                   CAST((count(*) OVER (PARTITION BY order_id) - 1) // 2 + 1 AS INT) AS parts
+            FROM (SELECT order_id, order_item_id,
+                         row_number() OVER (PARTITION BY order_id ORDER BY order_item_id) AS place
+                  FROM x_items WHERE order_id IN (SELECT order_id FROM x_orders)))
+        GROUP BY order_id, part, parts""",
     "order_page_far": f"""SELECT order_id, order_number, created_at FROM x_orders {_NEWEST} LIMIT 10 OFFSET 1190""",
     "order_page_after": f"""SELECT order_id, order_number, created_at FROM x_orders
         WHERE created_at < TIMESTAMP '1999-01-16' OR (created_at = TIMESTAMP '1999-01-16' AND order_id < 2)
@@ -484,8 +513,11 @@ BODIES = {
     "price_orders_lines": """SELECT p.request_id, p.pos, p.item_id, p.quantity, CAST(p.unit_price AS DOUBLE) AS unit_price,
                CAST(p.subtotal AS DOUBLE) AS subtotal
         FROM x_priced p JOIN x_verdicts v ON v.request_id = p.request_id WHERE v.reason IS NULL""",
-    "price_orders_rejects": """SELECT v.request_id, o.user_id, v.reason
-        FROM x_verdicts v JOIN x_orders o ON o.order_id = v.request_id WHERE v.reason IS NOT NULL""",
+    "price_orders_rejects": """SELECT o.order_id AS request_id, o.user_id,
+               CASE WHEN v.request_id IS NULL THEN 'Order must contain at least one item' ELSE v.reason END AS reason
+        FROM x_orders o LEFT JOIN x_verdicts v ON o.order_id = v.request_id
+        WHERE v.request_id IS NULL OR v.reason IS NOT NULL""",
+    "price_orders_verdicts": """SELECT order_id AS request_id FROM x_orders""",
     "apply_order_updates": """SELECT o.order_id, coalesce(s.status, o.status) AS status,
                coalesce(p.payment_status, o.payment_status) AS payment_status
         FROM x_orders o
@@ -544,16 +576,17 @@ BODIES = {
     # Quality
     "constraint_report": _constraints(),
     "total_reconciliation": """SELECT o.order_id, CAST(o.total_amount AS DOUBLE) AS total_amount,
-               CAST(s.line_total AS DOUBLE) AS line_total, CAST(o.total_amount - s.line_total AS DOUBLE) AS difference
-        FROM x_orders o JOIN (SELECT order_id, sum(subtotal) AS line_total FROM x_items GROUP BY order_id) s
-             ON s.order_id = o.order_id WHERE abs(o.total_amount - s.line_total) > 0.005""",
+               CAST(coalesce(s.line_total, 0) AS DOUBLE) AS line_total,
+               CAST(o.total_amount - coalesce(s.line_total, 0) AS DOUBLE) AS difference
+        FROM x_orders o LEFT JOIN (SELECT order_id, sum(subtotal) AS line_total FROM x_items GROUP BY order_id) s
+             ON s.order_id = o.order_id WHERE abs(o.total_amount - coalesce(s.line_total, 0)) > 0.005""",
     "line_reconciliation": """SELECT order_id, order_item_id, item_id, quantity, CAST(unit_price AS DOUBLE) AS unit_price,
                CAST(subtotal AS DOUBLE) AS subtotal, CAST(unit_price * quantity AS DOUBLE) AS expected_subtotal,
                CAST(subtotal - unit_price * quantity AS DOUBLE) AS difference
         FROM x_items WHERE abs(subtotal - unit_price * quantity) > 0.005""",
     "signup_errors": _errors("x_signups", _LIVE_RULES),
     "signup_errors_strict": _errors("x_signups", _STRICT_RULES),
-    "signup_valid": f"""SELECT request_id, username FROM x_signups WHERE length(trim(username)) >= 3
+    "signup_valid": f"""SELECT request_id, {_NAME} AS username FROM x_signups WHERE length({_NAME}) >= 3
         AND regexp_matches(email, '{_EMAIL}') AND coalesce(role, 'customer') IN ('customer', 'admin')""",
     "cap_admins_rejects": """SELECT user_id AS request_id,
                'Admin registration failed: Maximum of 2 admin accounts allowed.' AS first_error
@@ -572,8 +605,8 @@ BODIES = {
                     WHEN order_id % 13 = 0 THEN 'Item quantity must be at least 1' END AS first_error
         FROM x_orders) WHERE field IS NOT NULL""",
     "cart_message_errors": """SELECT event_id, user_id, payload,
-               CASE WHEN k % 7 = 0 THEN 'Invalid cart:add payload' ELSE 'Malformed item data' END AS first_error
-        FROM x_cart_messages WHERE k % 7 IN (0, 1, 2, 4)""",
+               CASE WHEN NOT object THEN 'Invalid cart:add payload' ELSE 'Malformed item data' END AS first_error
+        FROM x_cart_checked WHERE NOT object OR id_number IS NULL OR id_number <> floor(id_number)""",
     "status_anomalies": """SELECT * FROM (SELECT order_id, seq, previous, status,
                CASE WHEN status = 'lost' THEN 'unknown status'
                     WHEN previous IN ('completed', 'cancelled') AND status <> previous THEN 'left an end state'
@@ -639,9 +672,9 @@ def _menu_view(style: str) -> str:
                CASE WHEN has_active THEN new_active END FROM w"""
 
 
-_CART_ACTIVITY = """SELECT 'cart_add' AS type, c.user_id, u.username, CAST(c.k AS BIGINT) AS item_id,
-               CASE WHEN c.k % 7 = 3 THEN 1 ELSE 3 END AS quantity, c.ts AS "at"
-        FROM x_cart_messages c JOIN x_users u ON u.user_id = c.user_id WHERE c.k % 7 IN (3, 5, 6)"""
+_CART_ACTIVITY = """SELECT 'cart_add' AS type, c.user_id, u.username, CAST(c.id_number AS BIGINT) AS item_id,
+               CAST(coalesce(c.quantity, 1) AS INT) AS quantity, c.ts AS "at"
+        FROM x_cart_checked c JOIN x_users u ON u.user_id = c.user_id WHERE c.id_number = floor(c.id_number)"""
 
 BODIES |= {
     # Logs, audit rows and feeds

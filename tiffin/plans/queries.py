@@ -201,7 +201,15 @@ def order_history_page(m, spark, folder):
 
 @query
 def page_with_total(m, spark, folder):
-    return orders.page_with_total(m["orders"], m["order_items"], ONE_USER, 2, 3)
+    found = orders.page_with_total(m["orders"], m["order_items"], ONE_USER, 2, 3)
+    totals = orders.orders_per_user(m["orders"]).withColumnRenamed("order_count", "total_count")
+    return found.rows.join(totals, "user_id")
+
+
+@query
+def page_total(m, spark, folder):
+    """The count that comes with a page past the end."""
+    return orders.page_with_total(m["orders"], m["order_items"], ONE_USER, 10_000, 50).total
 
 
 @query
@@ -239,6 +247,20 @@ def order_page_far(m, spark, folder):
     return page(m["orders"], 120, 10).select("order_id", "order_number", "created_at")
 
 
+@query
+def order_pages_large(m, spark, folder):
+    """A page of more than a thousand rows."""
+    return page(m["orders"], 2, 3000).select("order_id", "order_number", "created_at")
+
+
+@query
+def order_page_undated(m, spark, folder):
+    """A page near the end, where the orders without date are."""
+    dated = F.when(F.col("order_id") % 10 != 0, F.col("created_at"))
+    rows = m["orders"].withColumn("created_at", dated)
+    return page(rows, rows.count() // 20 - 2, 20).select("order_id", "order_number", "created_at")
+
+
 @query
 def order_page_after(m, spark, folder):
     """The page after a given date and id, without an offset."""
@@ -322,6 +344,17 @@ def customer_order_documents(m, spark, folder):
     return with_item_counts(docs, documents.CUSTOMER_HEADER)
 
 
+@query
+def order_documents_parts(m, spark, folder):
+    """All documents in parts of two lines, with the ids of the first and last line of each."""
+    docs = documents.order_documents(m["orders"], m["order_items"], m["menu_items"], max_items=2)
+    ids = F.transform("items", lambda i: i["order_item_id"])
+    return docs.filter(F.size("items") > 0).select(
+        "order_id", "part", "parts", F.size("items").cast("long").alias("lines"),
+        F.get(ids, F.lit(0)).alias("first_id"), F.element_at(ids, -1).alias("last_id"),
+    )
+
+
 @query
 def owned_order_documents(m, spark, folder):
     """All completed orders are asked for; only the customer's own give a document."""
@@ -413,6 +446,13 @@ def price_orders_valid(m, spark, folder):
     return pricing.price_lines(*order_requests(m), m["menu_items"]).orders
 
 
+@query
+def price_orders_verdicts(m, spark, folder):
+    """Every request, as an order or as a reject."""
+    priced = pricing.price_lines(*order_requests(m), m["menu_items"])
+    return priced.orders.select("request_id").unionByName(priced.rejects.select("request_id"))
+
+
 @query
 def price_orders_lines(m, spark, folder):
     return pricing.price_lines(*order_requests(m), m["menu_items"]).lines
@@ -611,9 +651,16 @@ def signup_requests(m):
         key.alias("request_id"),
         F.when(key % 11 == 0, F.concat(F.lit(" "), F.substring("username", 1, 2), F.lit(" ")))
         .when(key % 11 == 1, F.concat(F.col("username"), F.lit("-more")))
+        .when(key % 11 == 2, F.concat(F.lit("\t"), F.col("username"), F.lit("\n")))
+        .when(key % 11 == 3, F.concat(F.substring("username", 1, 1), F.lit("\t\t")))
         .otherwise(F.col("username"))
         .alias("username"),
-        F.when(key % 6 == 0, F.replace("email", F.lit("@"), F.lit(""))).otherwise(F.col("email")).alias("email"),
+        F.when(key % 6 == 0, F.replace("email", F.lit("@"), F.lit("")))
+        .when(key % 6 == 1, F.concat(F.lit("o'"), F.col("email")))
+        .when(key % 18 == 2, F.concat(F.lit("a.."), F.col("email")))
+        .when(key % 18 == 8, F.replace("email", F.lit("@"), F.lit("@-")))
+        .otherwise(F.col("email"))
+        .alias("email"),
         F.when(key % 8 == 0, "J").when(key % 8 != 1, F.col("full_name")).alias("full_name"),
         F.when(key % 5 == 0, F.lit("call me")).when(key % 5 != 1, F.col("phone")).alias("phone"),
         F.when(key % 4 == 0, "staff").when(key % 4 != 1, F.col("role")).alias("role"),
@@ -687,7 +734,7 @@ def category_errors(m, spark, folder):
         .when(key % 9 == 1, F.repeat("item_name", 12))
         .otherwise(F.col("item_name"))
         .alias("category_name"),
-        F.when(key % 5 == 0, "maybe").when(key % 5 == 1, "true").alias("is_active"),
+        F.when(key % 5 == 0, "maybe").when(key % 5 == 1, "true").when(key % 5 == 2, "TRUE").alias("is_active"),
     )
     rejected = quality.split(quality.check_categories(requests)).rejected
     return rejected.select("request_id", "first_error", F.explode("errors").alias("e")).select(
@@ -967,7 +1014,7 @@ def room_sink(m, spark, folder):
 def appended_lines(m, spark, folder):
     """Lines and units per day after appending all lines in day folders."""
     path = f"{_run_folder(spark)}/lines"
-    store.append_lines(m["order_items"].withColumn("created_at", F.col("created_at").cast("timestamp")), path)
+    store.append_lines(m["order_items"].withColumn("created_at", F.col("created_at").cast("timestamp")), path, 1)
     rows = spark.read.parquet(path)
     return rows.groupBy("order_date").agg(F.count("*").alias("lines"), F.sum("quantity").alias("units"))
 

@@ -24,13 +24,8 @@ RUNTIME_SETTINGS = {
     ),
     # Merge the sessions of a busy key before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
-    # Collecting lines per order: keep hashing up to this many orders per task
-    # before falling back to sorting (the default, 128, sorts nearly always).
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "10000",
 }
 
-_local_dirs: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -55,19 +50,17 @@ def local_session(cores: int | str = "*", app: str = "tiffin", **settings: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, named by ``spark.checkpoint.dir``.
+    """Folder that the driver and all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder.
+    A single-JVM session without that setting gets a folder of its own, set once in the session.
     """
-    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        app_id = context.applicationId
-        if app_id not in _local_dirs:
-            _local_dirs[app_id] = tempfile.mkdtemp(prefix="tiffin-")
-        folder = _local_dirs[app_id]
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tiffin-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,8 +106,7 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=16)
-def _model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def model_from_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {
         "users": users(spark, folder),
         "categories": categories(spark, folder),
@@ -119,12 +116,6 @@ def _model(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-def model_from_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """All model tables. A DataFrame keeps the file list it was opened with, so
-    the size check of ``categories`` holds for as long as the result is used."""
-    return dict(_model(spark, folder))
-
-
 # Messages ------------------------------------------------------------------
 
 
@@ -176,7 +167,9 @@ def cart_payloads(events_df: DataFrame) -> DataFrame:
         .when(_prop_k() % 7 == 1, F.concat(F.lit('{"item": {"quantity": '), k, F.lit("}}")))
         .when(_prop_k() % 7 == 2, F.concat(F.lit('{"item": {"item_id": "'), k, F.lit('"}}')))
         .when(_prop_k() % 7 == 3, F.concat(F.lit('{"item": {"item_id": '), k, F.lit("}}")))
-        .when(_prop_k() % 7 == 4, F.concat(F.lit('{"item": {"item_id": '), k, F.lit('.5, "quantity": 2}}')))
+        .when(_prop_k() % 14 == 4, F.concat(F.lit('{"item": {"item_id": '), k, F.lit('.5, "quantity": 2}}')))
+        .when(_prop_k() % 14 == 11, F.concat(F.lit('{"item": {"item_id": '), k, F.lit('.0, "quantity": 2}}')))
+        .when(_prop_k() % 14 == 5, F.lit('{"x": 1}'))
         .otherwise(F.concat(F.lit('{"item": {"item_id": '), k, F.lit(', "quantity": 3}}')))
     )
     return events_df.filter("event_type = 'click'").select("event_id", "ts", "user_id", text.alias("payload"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tiffin.sources.schemas import MESSAGES
 
@@ -58,6 +58,5 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 
         query = writer.outputMode("update").foreachBatch(write).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(
-        stream.schema if mode == "append" else stream.schema.add("batch", LongType())
-    ).parquet(target)
+    batch = [] if mode == "append" else [StructField("batch", LongType())]
+    return stream.sparkSession.read.schema(StructType([*stream.schema.fields, *batch])).parquet(target)

@@ -1,24 +1,28 @@
 """Versioned tables on plain Parquet.
 
 ``publish`` writes every table of a change into one version folder and then adds
-one row to the version log. Readers resolve the log once, so they see all tables
-of a version or none. Publishing a version again replaces its folder: a replayed
-batch gives the same state.
+one row per table to the version log. Readers resolve the log once, so they see all
+tables of a version or none. Every attempt has a folder of its own and the last one logged
+counts: a replayed batch gives the same state, and readers keep the files they opened.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_SCHEMA = "version BIGINT, table STRING, path STRING"
+LOG_SCHEMA = "version BIGINT, table STRING, path STRING, attempt BIGINT"
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
         return spark.read.schema(LOG_SCHEMA).json(f"{folder}/_versions")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -29,7 +33,7 @@ def table_paths(spark: SparkSession, folder: str, version: int | None = None) ->
         return {}
     if version is not None:
         log = log.filter(F.col("version") <= version)
-    newest = log.groupBy("table").agg(F.max_by("path", "version").alias("path"))
+    newest = log.groupBy("table").agg(F.max_by("path", F.struct("version", "attempt")).alias("path"))
     return {row["table"]: row["path"] for row in newest.collect()}
 
 
@@ -44,13 +48,16 @@ def publish(tables: dict[str, DataFrame], folder: str, version: int) -> None:
     newest = latest_version(spark, folder)
     if newest is not None and newest > version:
         raise ValueError(f"version {version} is older than the published version {newest}")
+    attempt, run = 0, uuid.uuid4().hex
+    if newest == version:
+        same = _log(spark, folder).filter(F.col("version") == version)
+        attempt = same.agg(F.max("attempt")).first()[0] + 1
     rows = []
     for name, df in tables.items():
-        path = f"{folder}/v={version}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        rows.append((version, name, path))
-    if newest != version:
-        spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/_versions")
+        path = f"{folder}/v={version}/{run}/{name}"
+        df.write.parquet(path)
+        rows.append((version, name, path, attempt))
+    spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/_versions")
 
 
 def current(spark: SparkSession, folder: str, table: str, version: int | None = None) -> DataFrame | None:
@@ -62,8 +69,9 @@ def current(spark: SparkSession, folder: str, table: str, version: int | None =
 def all_versions(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """The rows of every published version of a table, for outputs written per version."""
     log = _log(spark, folder)
+    last = log.filter(F.col("table") == table).groupBy("version").agg(F.max_by("path", "attempt").alias("path"))
     # One short path per version.
-    paths = [row[0] for row in log.filter(F.col("table") == table).select("path").distinct().collect()]
+    paths = [row["path"] for row in last.collect()]
     return spark.read.parquet(*paths)
 
 
@@ -76,9 +84,10 @@ def append_by_day(df: DataFrame, path: str, ts: str = "created_at", day: str = "
     rows.write.mode("append").partitionBy(day).parquet(path)
 
 
-def append_lines(lines: DataFrame, path: str) -> None:
-    """Bulk append of order lines."""
-    append_by_day(lines, path)
+def append_lines(lines: DataFrame, path: str, batch_id: int) -> None:
+    """Bulk append of order lines; a batch that is sent again replaces its own folder."""
+    rows = lines.withColumn("order_date", F.to_date("created_at")).hint("rebalance", "order_date")
+    rows.write.mode("overwrite").partitionBy("order_date").parquet(f"{path}/batch={batch_id}")
 
 
 def newest_rows(changes: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -114,6 +114,11 @@ class CartProcessor(OrderedProcessor):
             if event.action == "clear":
                 after.clear()
                 continue
+            # As in the fold: without item, or a set without quantity, an event changes nothing.
+            if pd.isna(event.item_id) or (event.action == "set" and pd.isna(event.quantity)):
+                continue
+            if event.action not in ("add", "set", "remove"):
+                continue
             item = int(event.item_id)
             if event.action == "add":
                 after[item] = after.get(item, 0) + 1

@@ -39,7 +39,8 @@ def fold_in_order(
             until = newest.select(F.col("newest") - F.expr(f"INTERVAL {delay}")).first()[0]
             pool = batch if waiting is None else batch.unionByName(waiting)
             due = pool.filter(F.col(ts) <= F.lit(until))
-            rest = pool.filter(F.col(ts) > F.lit(until))
+            # An event without time is never due; it waits where it can be found.
+            rest = pool.filter(F.col(ts).isNull() | (F.col(ts) > F.lit(until)))
             store.publish({**fold(state, due), "waiting": rest, "clock": newest}, folder, batch_id + 1)
         finally:
             batch.unpersist()
