@@ -33,14 +33,9 @@ def _texts(df: DataFrame, column: str) -> DataFrame:
     return df.select(name_key(F.col(column)).alias("_text"))
 
 
-# Name comparison makes sorting slow, so joins on names hash. The hashed side holds
-# each text once and at most the texts of one batch.
-HASH = "shuffle_hash"
-
-
 def _without_texts(df: DataFrame, column: str, texts: DataFrame) -> DataFrame:
     """Rows whose text in ``column`` is not listed; a missing text never clashes."""
-    return df.withColumn("_text", name_key(F.col(column))).join(texts.hint(HASH), "_text", "left_anti").drop("_text")
+    return df.withColumn("_text", name_key(F.col(column))).join(texts, "_text", "left_anti").drop("_text")
 
 
 def first_come(rows: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
@@ -58,7 +53,7 @@ def first_come(rows: DataFrame, unique: list[str], order: list[str]) -> DataFram
             first = open_rows.groupBy(name_key(F.col(column)).alias("_text")).agg(F.min(at).alias("_at"))
             ranked = (
                 ranked.withColumn("_text", name_key(F.col(column)))
-                .join(first.hint(HASH), "_text", "left")
+                .join(first, "_text", "left")
                 .withColumn("_first", F.col("_first") & (F.col("_at").isNull() | (F.col("_at") == at)))
                 .drop("_text", "_at")
             )
@@ -84,7 +79,7 @@ def insert_rows(
     candidates = new = pin(new)
     for column in unique:
         # A batch is small next to the stored rows, which then need no shuffle.
-        asked = small(_texts(new, column).distinct(), otherwise=HASH)
+        asked = small(_texts(new, column).distinct())
         taken = _texts(current, column).join(asked, "_text", "left_semi")
         candidates = _without_texts(candidates, column, taken)
     accepted = first_come(candidates, unique, order) if unique else new

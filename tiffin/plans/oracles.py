@@ -66,6 +66,15 @@ VIEWS = {
         SELECT request_id, CAST(sum(subtotal) AS DECIMAL(12,2)) AS total_amount,
                (array_agg(reason ORDER BY pos, item_id) FILTER (WHERE reason IS NOT NULL))[1] AS reason
         FROM x_priced GROUP BY request_id""",
+    "x_placements": """
+        SELECT o.order_id AS request_id, o.user_id, o.order_type, o.scheduled_at, o.created_at, v.total_amount,
+               concat('ORD', CAST(epoch_ms(o.created_at) AS VARCHAR), '-', o.order_id) AS order_number,
+               CASE WHEN o.order_id % 16 = 0 THEN 'Invalid or past scheduled time.'
+                    WHEN v.request_id IS NULL THEN 'Order must contain at least one item'
+                    WHEN o.order_id % 10 = 0 THEN 'Payment method is required' ELSE v.reason END AS reason
+        FROM x_orders o LEFT JOIN x_verdicts v ON v.request_id = o.order_id""",
+    "x_placed": """
+        SELECT *, row_number() OVER (ORDER BY created_at, request_id) AS order_id FROM x_placements WHERE reason IS NULL""",
     "x_order_changes": """
         SELECT CASE WHEN event_id % 50 = 0 THEN -event_id - 1 ELSE user_id * 3 + k END AS order_id,
                CASE k % 5 WHEN 0 THEN 'ready' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'lost' WHEN 3 THEN 'completed' END AS status,
@@ -517,6 +526,16 @@ BODIES = {
                CASE WHEN v.request_id IS NULL THEN 'Order must contain at least one item' ELSE v.reason END AS reason
         FROM x_orders o LEFT JOIN x_verdicts v ON o.order_id = v.request_id
         WHERE v.request_id IS NULL OR v.reason IS NOT NULL""",
+    "place_orders_orders": """SELECT request_id, order_id, user_id, order_number, CAST(total_amount AS DOUBLE) AS total_amount,
+               order_type, created_at FROM x_placed""",
+    "place_orders_lines": """SELECT d.request_id, d.order_id, count(*) AS lines, CAST(sum(p.subtotal) AS DOUBLE) AS subtotal,
+               count(*) AS id_span
+        FROM x_placed d JOIN x_priced p ON p.request_id = d.request_id GROUP BY ALL""",
+    "place_orders_rejects": """SELECT request_id, user_id, reason FROM x_placements WHERE reason IS NOT NULL""",
+    "place_orders_events": """SELECT d.order_id AS "orderId", d.order_number AS "orderNumber",
+               CAST(d.total_amount AS DOUBLE) AS "totalAmount", d.user_id AS "userId", u.username,
+               d.order_type AS "orderType", d.scheduled_at AS "scheduledAt", d.created_at AS "at"
+        FROM x_placed d LEFT JOIN x_users u ON u.user_id = d.user_id""",
     "price_orders_verdicts": """SELECT order_id AS request_id FROM x_orders""",
     "apply_order_updates": """SELECT o.order_id, coalesce(s.status, o.status) AS status,
                coalesce(p.payment_status, o.payment_status) AS payment_status

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.functions import money, text, times
-from tiffin.operators import accounts, catalog, changes, documents, orders, pricing, quality, sales
+from tiffin.operators import accounts, catalog, changes, documents, orders, placement, pricing, quality, sales
 from tiffin.operators.paging import head, page, page_after
 from tiffin.session import shared_dir, tune
 from tiffin.sources import audit, logs, store
@@ -471,6 +471,61 @@ def price_orders_rejects(m, spark, folder):
     return pricing.price_lines(*order_requests(m), m["menu_items"]).rejects
 
 
+def nested_requests(m):
+    """Every stored order as a request with nested items, as it is sent."""
+    line = F.struct("order_item_id", "item_id", "quantity")
+    items = m["order_items"].groupBy("order_id").agg(F.array_sort(F.collect_list(line)).alias("items"))
+    return (
+        m["orders"]
+        .join(items, "order_id", "left")
+        .select(
+            F.col("order_id").alias("request_id"),
+            "user_id",
+            F.transform("items", lambda i: F.struct(i["item_id"], i["quantity"])).alias("items"),
+            F.when(F.col("order_id") % 10 != 0, F.col("payment_method")).alias("payment_method"),
+            "special_instructions",
+            "order_type",
+            F.when(F.col("order_id") % 16 == 0, "soon").otherwise(F.col("scheduled_at").cast("string")).alias("scheduled_at"),
+            F.col("created_at").cast("timestamp").alias("ts"),
+        )
+    )
+
+
+def place_all(m, spark, runs=1):
+    """All requests as one batch, published ``runs`` times."""
+    folder = f"{_run_folder(spark)}/orders"
+    for _ in range(runs):
+        tables = placement.place_orders(nested_requests(m), m["menu_items"], m["users"], folder, 1, 0, 0)
+    return tables
+
+
+@query
+def place_orders_orders(m, spark, folder):
+    """Accepted orders, numbered from 1, after the batch was sent twice."""
+    placed = place_all(m, spark, runs=2)["orders"]
+    return placed.select("request_id", "order_id", "user_id", "order_number", "total_amount", "order_type", "created_at")
+
+
+@query
+def place_orders_lines(m, spark, folder):
+    """Lines per placed order."""
+    lines = place_all(m, spark)["lines"]
+    span = (F.max("order_item_id") - F.min("order_item_id") + 1).alias("id_span")
+    return lines.groupBy("request_id", "order_id").agg(
+        F.count("*").alias("lines"), F.sum("subtotal").alias("subtotal"), span
+    )
+
+
+@query
+def place_orders_rejects(m, spark, folder):
+    return place_all(m, spark)["rejects"]
+
+
+@query
+def place_orders_events(m, spark, folder):
+    return place_all(m, spark)["events"].drop("event")
+
+
 def order_changes(m, spark, folder):
     return order_changes_of(base.events(spark, folder))
 
