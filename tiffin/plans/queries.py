@@ -975,34 +975,38 @@ def _run_folder(spark) -> str:
 
 @query
 def cart_activity_stream(m, spark, folder):
-    stream = carts.cart_activity(base.cart_payloads(base.event_stream(spark, folder)), m["users"])
-    return drain(stream, _run_folder(spark))
+    run = _run_folder(spark)
+    stream = carts.cart_activity(base.cart_payloads(base.event_stream(spark, folder, run)), m["users"])
+    return drain(stream, run)
 
 
 @query
 def rate_violations_stream(m, spark, folder):
     """Violations in the windows that the watermark has closed."""
-    stream = traffic.rate_violations(base.request_log(base.event_stream(spark, folder)), 1, "15 minutes")
-    return drain(stream, _run_folder(spark))
+    run = _run_folder(spark)
+    stream = traffic.rate_violations(base.request_log(base.event_stream(spark, folder, run)), 1, "15 minutes")
+    return drain(stream, run)
 
 
 @query
 def request_metrics_stream(m, spark, folder):
-    stream = traffic.request_metrics(base.request_log(base.event_stream(spark, folder))).drop("p95_ms")
-    return drain(stream, _run_folder(spark))
+    run = _run_folder(spark)
+    stream = traffic.request_metrics(base.request_log(base.event_stream(spark, folder, run))).drop("p95_ms")
+    return drain(stream, run)
 
 
 @query
 def activity_sessions_stream(m, spark, folder):
-    stream = connections.activity_sessions(base.event_stream(spark, folder), "2 hours")
-    return drain(stream, _run_folder(spark))
+    run = _run_folder(spark)
+    stream = connections.activity_sessions(base.event_stream(spark, folder, run), "2 hours")
+    return drain(stream, run)
 
 
 @query
 def cart_state_stream(m, spark, folder):
     """Carts after all events that are due, folded from the stream."""
     run = _run_folder(spark)
-    events = base.cart_events(base.event_stream(spark, folder))
+    events = base.cart_events(base.event_stream(spark, folder, run))
     carts.keep_carts(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
     return store.current(spark, f"{run}/state", "carts")
 
@@ -1011,7 +1015,7 @@ def cart_state_stream(m, spark, folder):
 def connection_stream(m, spark, folder):
     """Sessions ended by events that are due, folded from the stream."""
     run = _run_folder(spark)
-    events = base.connection_events(base.event_stream(spark, folder))
+    events = base.connection_events(base.event_stream(spark, folder, run))
     connections.keep_sessions(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
     return connections.ended_sessions(spark, f"{run}/state")
 
@@ -1025,16 +1029,17 @@ def menu_view_stream(m, spark, folder):
     def merge(state, batch):
         return views.merge_menu_events(state, batch, "customer")
 
-    changes_df = base.menu_changes(base.event_stream(spark, folder))
+    changes_df = base.menu_changes(base.event_stream(spark, folder, run))
     views.keep_view(changes_df, f"{run}/state", "menu", merge, f"{run}/checkpoint").awaitTermination()
     return store.current(spark, f"{run}/state", "menu")
 
 
 @query
 def new_order_stream(m, spark, folder):
-    """Ids of the new orders; of repeats within the delay, one is kept."""
-    stream = feeds.new_order_feed(base.new_order_messages(base.event_stream(spark, folder)))
-    return drain(stream.select("order_id"), _run_folder(spark))
+    """Ids of the new orders; the delay is longer than the events last, so of all repeats one is kept."""
+    run = _run_folder(spark)
+    stream = feeds.new_order_feed(base.new_order_messages(base.event_stream(spark, folder, run)), "3650 days")
+    return drain(stream.select("order_id"), run)
 
 
 @query
@@ -1047,7 +1052,7 @@ def order_feed_stream(m, spark, folder):
     def merge(orders_df, batch):
         return views.merge_order_updates(orders_df, batch, "customer")
 
-    updates = order_changes_of(base.event_stream(spark, folder))
+    updates = order_changes_of(base.event_stream(spark, folder, run))
     views.keep_view(updates, f"{run}/state", "orders", merge, f"{run}/checkpoint").awaitTermination()
     return store.current(spark, f"{run}/state", "orders")
 
@@ -1056,7 +1061,7 @@ def order_feed_stream(m, spark, folder):
 def room_sink(m, spark, folder):
     """Events per room and name after writing them by audience."""
     run = _run_folder(spark)
-    routed = feeds.route(base.routed_messages(base.event_stream(spark, folder)))
+    routed = feeds.route(base.routed_messages(base.event_stream(spark, folder, run)))
     write_by_room(routed, f"{run}/rooms", f"{run}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{run}/rooms")
     return rows.groupBy("audience", "room", "event").agg(F.count("*").alias("events"))

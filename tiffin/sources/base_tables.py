@@ -134,11 +134,24 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return _with_k(table(spark, folder, "events"))
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The events table as a stream of its files."""
-    schema = table(spark, folder, "events").schema
-    # As a pattern, the path may be one file as well as a folder of files.
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
+# Pieces that the events are streamed in, and so micro-batches of every streamed query.
+EVENT_SLICES = 5
+
+
+def event_stream(spark: SparkSession, folder: str, run: str, slices: int = EVENT_SLICES) -> DataFrame:
+    """All events as a stream of files in order of time, written below ``run``, one file a micro-batch."""
+    rows = table(spark, folder, "events")
+    parts = [n / slices for n in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(F.col("ts").cast("timestamp"), parts)).first()[0] or []
+    bounds = [None, *cuts, None]
+    time = F.col("ts").cast("timestamp")
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        inside = F.lit(True) if low is None else time > F.lit(low)
+        if high is not None:
+            inside = inside & (time <= F.lit(high))
+        # The source takes files by their time of writing, so the slices are written one after the other.
+        rows.filter(inside).coalesce(1).write.parquet(f"{run}/events/slice-{n}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/events/*")
     return _with_k(stream)
 
 
