@@ -243,7 +243,7 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "predicted.*")
 
 
-def accepted(docs: DataFrame, least_share: float = 0.4, fit_rows: int = FIT_ROWS) -> DataFrame:
+def accepted(docs: DataFrame, least_share: float = 0.2, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` without the documents that have no language: no letters, or none with ``least_share`` of the letters.
 
     The model is learned from the labelled rows of ``docs``; without any, only documents with letters stay.
