@@ -1 +1,8 @@
 """Operators for preparing training corpora. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package go to the workers as they are here, so workers need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
