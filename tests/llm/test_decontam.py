@@ -35,6 +35,8 @@ def expected(rows, items, threshold=0.8):
             if not wanted or not words:
                 continue
             n = len(wanted)
+            if n >= 5 and not grams(words).keys() & grams(wanted).keys():
+                continue  # no window shares anything
             spans = [words[i : i + n] for i in range(len(words) - n + 1)] or [words]
             best = max(alike(grams(s), grams(wanted)) for s in spans)
             if best >= threshold:
@@ -69,7 +71,6 @@ def test_equals_all_windows(spark, documents, rng):
     assert set(got) <= set(want)
     assert all(got[k] <= want[k] for k in got)
     missed = {k: v for k, v in want.items() if k not in got}
-    print(missed)
     assert all(v < 0.9 for v in missed.values()) and len(missed) <= 0.02 * len(want)
 
 
