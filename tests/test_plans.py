@@ -8,7 +8,8 @@ from tiffin.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
-STREAMED = [name for name in QUERIES if name.endswith("_stream")]
+# Streams and published batches: what they return only reads what they wrote.
+WRITTEN = [name for name in QUERIES if name.endswith("_stream") or name.startswith("place_orders_")]
 
 
 @pytest.fixture
@@ -26,7 +27,7 @@ def plan(spark):
     return text
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(STREAMED)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(WRITTEN)))
 def test_no_nested_loops_and_no_python(plan, name):
     text = plan(name)
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
