@@ -5,7 +5,7 @@ from collections import Counter
 
 from tests.llm.conftest import prose
 from tests.llm.test_jaccard import Union
-from tiffin.llm.lines import SHINGLE_CHARS, alike, dedup_lines, line_groups
+from tiffin.llm.lines import SHINGLE_CHARS, alike, band_names, dedup_lines, line_groups, line_names
 
 
 def shingles(line, size=SHINGLE_CHARS):
@@ -61,6 +61,29 @@ def test_groups_of_similar_lines(documents, rng):
         assert r.n_lines == len(text) and r.text.split("\n") == [text[i] for i in r.kept_lines]
 
 
+def test_all_links_of_a_crowded_band(documents, rng):
+    """Lines of one template, most of them no links, over several chunks: all links that share a band are found."""
+    text = "".join(rng.choices("abcdefghij ", k=120))
+    lines = []
+    for _ in range(150):
+        tail = "".join(rng.choices("klmnopqrst", k=22))
+        lines += [text + tail, text + tail[:8] + "".join(rng.choices("klmnopqrst", k=14))]
+    rng.shuffle(lines)
+    names = [int(n) for n in line_names(lines).astype("int64")]
+    bands = [set(own) for own in band_names(lines).tolist()]
+    union, candidates, linked = Union(), 0, 0
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if bands[a] & bands[b]:
+            candidates += 1
+            if similarity(lines[a], lines[b]) >= 0.8:
+                union.join(names[a], names[b])
+                linked += 1
+    assert linked > 140 and candidates > 20 * linked
+    rows = [(n, "\n".join(lines[n::20])) for n in range(20)]
+    got = {r.id: r.component for r in line_groups(documents(*rows).repartition(10)).collect()}
+    assert got == {n: union.find(n) for n in list(union)}
+
+
 def test_odd_rows(documents):
     long = "z" * 100_000
     rows = [(3, "a line here\n\nb\nA"), (1, "b\n \na line here"), (2, None), (4, ""), (5, "b"), (5, "b"), (None, "A"), (6, long), (7, long + "z")]

@@ -2,13 +2,13 @@
 
 A line's signature holds, for each of BANDS * ROWS bins, the smallest hash among the shingles that fall into the
 bin (empty bins borrow from the next filled one). Lines that agree in all rows of a band are candidates: at
-similarity 0.8, 99.5 % of pairs share a band. Of the lines that share a band, each is compared with the smallest
-of them and with its neighbour in the order of their names, so a band that many lines share gives two pairs a
-line, not all pairs. Pairs that reach the threshold by the exact similarity of their shingle sets are links;
-one line per component of links stays.
+similarity 0.8, 99.5 % of pairs share a band. Candidates that reach the threshold by the exact similarity of their
+shingle sets are links; one line per component of links stays.
 
-Chunks of text send their band names to ranges in packed form. Lines of one chunk that share a band are paired
-there, and send the band once.
+Chunks of text send their band names to ranges in packed form, which find the bands that several lines share. All
+lines of those bands are compared: in CENTRES rounds each with one line of its band, then all pairs of a band that
+are still in different components. Set sizes and parity sketches rule out most pairs that are
+no links before their texts are read; they never rule out a link.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ SHINGLE_CHARS = 8
 THRESHOLD_PERCENT = 80
 BANDS = 10
 ROWS = 4
+#: Longs of a line's parity sketch: two sketches differ in no more bits than the shingle sets in shingles.
+PARITY_LONGS = 8
+PARITY = [f"parity{n}" for n in range(PARITY_LONGS)]
+#: Rounds that compare the lines of a band with one of them, before all pairs that are left.
+CENTRES = 1
 #: Bytes of text for each range of band names that is paired together.
 RANGE_BYTES = 32_000_000
 _U64 = np.dtype("<u8")
@@ -85,8 +90,24 @@ def line_names(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(line.encode(), 42) for line in lines), np.uint64, len(lines))
 
 
-def paired(bands: np.ndarray, lines: np.ndarray):
-    """Of (band, line) rows: the first line of each band, and pairs of each other line with it and with its neighbour."""
+def sketches(lines: list[str], size: int) -> pd.DataFrame:
+    """Number of different shingles of each line, and its parity sketch: each shingle flips one bit."""
+    hashes, owner = char_shingles(lines, size)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, owner = hashes[new], owner[new]
+    wide = 64 * PARITY_LONGS
+    bits = (mix(hashes + np.uint64(1)) % np.uint64(wide)).astype(np.int64)
+    flips = (np.bincount(owner * wide + bits, minlength=len(lines) * wide) & 1).astype(np.uint8)
+    parity = np.packbits(flips.reshape(len(lines), wide), axis=1, bitorder="little").view("<i8")
+    counts = np.bincount(owner, minlength=len(lines)).astype(np.int64)
+    return pd.DataFrame({"size": counts} | {name: parity[:, n] for n, name in enumerate(PARITY)})
+
+
+def _different(bands: np.ndarray, lines: np.ndarray):
+    """(band, line) rows in order, each once; where a band begins; how many lines it has."""
     order = np.lexsort((lines, bands))
     bands, lines = bands[order], lines[order]
     new = np.ones(len(bands), bool)
@@ -94,66 +115,66 @@ def paired(bands: np.ndarray, lines: np.ndarray):
     bands, lines = bands[new], lines[new]
     head = np.ones(len(bands), bool)
     head[1:] = bands[1:] != bands[:-1]
-    heads = np.flatnonzero(head)
-    rest = np.flatnonzero(~head)
-    centre = heads[np.searchsorted(heads, rest, "right") - 1]
-    pairs = np.concatenate(
-        [np.stack([lines[centre], lines[rest]], axis=1), np.stack([lines[rest - 1], lines[rest]], axis=1)]
-    )
-    return bands[heads], lines[heads], np.unique(pairs, axis=0)
+    many = np.diff(np.append(np.flatnonzero(head), len(bands)))
+    return bands, lines, head, many
 
 
 def _chunk(texts: list[str], ranges: int):
-    """Rows (range, data): first lines of the chunk's bands by range, and its own pairs under a negative one."""
+    """Rows (range, data): the first line of each band by range, and the band's other lines under a negative one."""
     lines = list({line for text in texts for line in text.split("\n") if line.strip()})
     if not lines:
         return
     names = band_names(lines)
-    bands, heads, pairs = paired(names.ravel(), np.repeat(line_names(lines), names.shape[1]))
-    if len(pairs):
+    bands, names, head, many = _different(names.ravel(), np.repeat(line_names(lines), names.shape[1]))
+    if not head.all():
         out = Packer()
-        out.add(pairs)
-        yield -1 - int(pairs[0, 0] % np.uint64(ranges)), out.done()
+        out.add(bands[~head])
+        out.add(names[~head])
+        yield -1 - int(names[~head].sum() % np.uint64(ranges)), out.done()
+    bands, names, shared = bands[head], names[head], many > 1
     of = (((bands >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
     bounds = np.searchsorted(of, np.arange(ranges + 1))
     for r in np.unique(of):
+        own = slice(bounds[r], bounds[r + 1])
         out = Packer()
-        out.add(bands[bounds[r] : bounds[r + 1]])
-        out.add(heads[bounds[r] : bounds[r + 1]])
+        out.add(bands[own])
+        out.add(names[own])
+        out.add(shared[own])
         yield int(r), out.done()
 
 
-def _pairs(rows: pd.DataFrame) -> pd.DataFrame:
+def _shared(rows: pd.DataFrame) -> pd.DataFrame:
+    """(band, line) of the bands that several lines share; a chunk's other lines are in such bands."""
     read = [Unpacker(data) for data in rows["data"]]
+    parts = [(packed.get(_U64), packed.get(_U64)) for packed in read]
+    bands, lines = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     if rows["range"].iloc[0] < 0:
-        pairs = np.unique(np.concatenate([packed.get(_U64).reshape(-1, 2) for packed in read]), axis=0)
+        bands, lines, _, _ = _different(bands, lines)
     else:
-        parts = [(packed.get(_U64), packed.get(_U64)) for packed in read]
-        _, _, pairs = paired(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-    pairs = pairs.astype(np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        marked = np.unique(bands[np.concatenate([packed.get(np.bool_) for packed in read])])
+        bands, lines, head, many = _different(bands, lines)
+        kept = np.repeat((many > 1) | np.isin(bands[head], marked, assume_unique=True), many)
+        bands, lines = bands[kept], lines[kept]
+    return pd.DataFrame({"band": bands.astype(np.int64), "line": lines.astype(np.int64)})
 
 
 def alike(left: list[str], right: list[str], size: int, percent: int) -> np.ndarray:
     """Whether the shingle sets of each pair have a Jaccard similarity of ``percent`` or more."""
-    both = left + right
-    hashes, owner = char_shingles(both, size)
-    pair = owner % len(left)
-    keys = mix(hashes ^ mix(pair.astype(np.uint64) + _K))
-    second = owner >= len(left)
-    # A set per side, then shingles that both sets of a pair have.
-    a, at = np.unique(keys[~second], return_index=True)
-    b = np.unique(keys[second])
-    size_a = np.bincount(pair[~second][at], minlength=len(left))
-    common = at[np.isin(a, b, assume_unique=True)]
-    same = np.bincount(pair[~second][common], minlength=len(left))
-    _, at_b = np.unique(keys[second], return_index=True)
-    size_b = np.bincount(pair[second][at_b], minlength=len(left))
-    return 100 * same >= percent * (size_a + size_b - same)
-
-
-def candidate_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b) names of lines that share a band, by the rule of the module."""
+    place = {line: n for n, line in enumerate(dict.fromkeys(left + right))}
+    hashes, owner = char_shingles(list(place), size)
+    order = np.lexsort((hashes, owner))
+    hashes, bounds = hashes[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
+    sets = [np.unique(hashes[begin:end]) for begin, end in zip(bounds[:-1], bounds[1:])]
+    out = np.zeros(len(left), bool)
+    for n, (a, b) in enumerate(zip(left, right)):
+        x, y = sets[place[a]], sets[place[b]]
+        same = len(np.intersect1d(x, y, assume_unique=True))
+        out[n] = 100 * same >= percent * (len(x) + len(y) - same)
+    return out
+
+
+def shared_bands(docs: DataFrame) -> DataFrame:
+    """(band, line) names of all lines in the bands that several different lines share."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, -(-total // RANGE_BYTES))
 
@@ -165,25 +186,59 @@ def candidate_pairs(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["range", "data"])
 
     sent = docs.select("text").filter("text IS NOT NULL").mapInPandas(send, "range long, data binary")
-    return sent.groupBy("range").applyInPandas(_pairs, "a long, b long").distinct()
+    return sent.groupBy("range").applyInPandas(_shared, "band long, line long").distinct()
 
 
 def line_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(id, component) of the lines of ``docs`` (text) that have a link to a different line."""
-    pairs = pinned(candidate_pairs(docs))
-    wanted = pinned(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+    shared = pinned(shared_bands(docs))
+    wanted = pinned(shared.select(F.col("line").alias("id")).distinct())
+
+    @F.pandas_udf("size long, " + ", ".join(f"{name} long" for name in PARITY))
+    def sketched(lines: pd.Series) -> pd.DataFrame:
+        return sketches(lines.tolist(), SHINGLE_CHARS)
+
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("id"), "line")
     lines = lines.filter(maybe_in(wanted)(F.col("id"))).groupBy("id").agg(F.first("line").alias("line"))
-    lines = pinned(lines.join(wanted, "id", "left_semi"))
+    lines = lines.join(wanted, "id", "left_semi").withColumn("_sketch", sketched("line"))
+    lines = pinned(lines.select("id", "line", "_sketch.*"))
+    rows = pinned(shared.withColumnRenamed("line", "id").join(lines.drop("line"), "id"))
+
+    alpha = F.ceil((F.col("x.size") + F.col("y.size")) * percent / (100 + percent))
+    bits = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY), F.lit(0))
+    possible = (F.least("x.size", "y.size") >= alpha) & (bits <= F.col("x.size") + F.col("y.size") - 2 * alpha)
+    same = F.col("x.band") == F.col("y.band")
 
     @F.pandas_udf("boolean")
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(alike(left.tolist(), right.tolist(), SHINGLE_CHARS, percent))
 
-    left = lines.select(F.col("id").alias("a"), F.col("line").alias("_left"))
-    right = lines.select(F.col("id").alias("b"), F.col("line").alias("_right"))
-    found = pairs.join(left, "a").join(right, "b").filter(similar("_left", "_right")).select("a", "b")
-    return components(found)
+    def verified(pairs: DataFrame) -> DataFrame:
+        left = lines.select(F.col("id").alias("a"), F.col("line").alias("_left"))
+        right = lines.select(F.col("id").alias("b"), F.col("line").alias("_right"))
+        return pinned(pairs.join(left, "a").join(right, "b").filter(similar("_left", "_right")).select("a", "b"))
+
+    apart = (F.col("x.label") != F.col("y.label")) & same & possible
+    found, labelled = None, rows.withColumn("label", F.col("id"))
+    for turn in range(CENTRES + 1):
+        if turn < CENTRES:
+            # Centres are written first, and read back so that a band of many lines can be split in the join.
+            place = F.xxhash64(F.lit(turn), "id")
+            centre = labelled.groupBy("band").agg(F.min(F.struct(place, "id", "label", "size", *PARITY)).alias("_c"))
+            pairs = labelled.alias("x").join(pinned(centre).select("band", "_c.*").alias("y"), apart)
+        else:
+            pairs = labelled.alias("x").join(labelled.alias("y"), apart & (F.col("x.id") < F.col("y.id")))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        more = verified(pinned(pairs.distinct()))
+        if found is not None and more.isEmpty():
+            continue
+        found = more if found is None else found.unionByName(more)
+        groups = components(found)
+        if turn < CENTRES:
+            label = groups.select(F.col("id").alias("_id"), "component")
+            labelled = rows.join(label, F.col("id") == F.col("_id"), "left")
+            labelled = pinned(labelled.withColumn("label", F.coalesce("component", "id")).drop("_id", "component"))
+    return groups
 
 
 def dedup_lines(docs: DataFrame, percent: int = THRESHOLD_PERCENT, with_text: bool = False) -> DataFrame:
