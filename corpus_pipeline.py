@@ -9,7 +9,7 @@ from tiffin.llm.common import new_folder, table
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language stay; those without letters, or without a language that prevails, go."""
+    """Documents of a language stay; those without letters, or mostly of words that no language knows, go."""
     return language.accepted(docs)
 
 

@@ -74,6 +74,15 @@ def test_accepted_keeps_columns_and_documents(documents, rng):
     assert sorted(r.doc_id for r in out.collect()) == list(range(200))
 
 
+def test_accepted_by_evidence(documents, rng):
+    """Unknown scripts and random letters go; text of several languages stays, with some unknown words too."""
+    noise = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(40))
+    odd = [(500, "漢字 漢字 仮名"), (501, noise), (502, "ελληνικά λόγια"), (503, f"{EN} 漢字漢字漢字 " + noise)]
+    good = [(600, f"{EN} {RU}"), (601, EN.upper()), (602, "when they have"), (603, f"{EN} {RU} {noise[:70]} 漢字")]
+    out = accepted(documents(*labelled(rng), *odd, *good)).collect()
+    assert sorted(r.doc_id for r in out) == [*range(200), *range(600, 604)]
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")

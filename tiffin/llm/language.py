@@ -117,21 +117,26 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, script_share: float = 0.0
     return Model(languages, logp, uses)
 
 
-def word_scores(model: Model, buckets, starts, ends, scripts) -> np.ndarray:
-    """Log score of each word under each language, the best of a word being 0."""
+def word_scores(model: Model, buckets, starts, ends, scripts) -> tuple[np.ndarray, np.ndarray]:
+    """Log score of each word under each language, the best of a word being 0; and whether it is known there.
+
+    A language knows a word if it uses its script and has its trigrams, on geometric average, no less often than if all
+    buckets were equally frequent.
+    """
     n = len(starts)
     if not n:
-        return np.zeros((0, len(model.languages)))
+        return np.zeros((0, len(model.languages))), np.zeros((0, len(model.languages)), bool)
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     at = np.repeat(starts - first, lengths) + np.arange(lengths.sum())
     scores = np.add.reduceat(model.logp[buckets[at]], first, axis=0)
     allowed = model.uses[scripts]
+    known = allowed & (scores >= -np.log(BUCKETS) * lengths[:, None])
     narrowed = allowed.any(axis=1)
     scores = scores - np.where(narrowed[:, None] & ~allowed, FOREIGN, 0.0)
     scores -= scores.max(axis=1, keepdims=True)
     scores[~narrowed] = 0.0  # a script that no language uses says nothing
-    return scores
+    return scores, known
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -172,21 +177,24 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
 
 
 def _label(texts: list[str], model: Model, switch: float):
-    """Per text: language, share of its letters that have it, and spans."""
+    """Per text: language, share of its letters that have it, share that is in words their language knows, and spans."""
     prepared = [words_of(texts[b:e]) for b, e in slices(texts)]
-    scores, sizes, shift = [], [], 0
+    scores, known, sizes, shift = [], [], [], 0
     for _, buckets, starts, ends, scripts, words, _ in prepared:
-        scores.append(word_scores(model, buckets, starts, ends, scripts))
+        score, knows = word_scores(model, buckets, starts, ends, scripts)
+        scores.append(score)
+        known.append(knows)
         sizes.append(np.diff(words))
     offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     labels = viterbi(np.concatenate(scores), offsets, switch)
+    known = np.take_along_axis(np.concatenate(known), labels[:, None].astype(np.int64), axis=1)[:, 0]
     for _, _, starts, ends, _, words, begins in prepared:
-        own = labels[shift : shift + len(starts)]
+        own, sure = labels[shift : shift + len(starts)], known[shift : shift + len(starts)]
         shift += len(starts)
         for d in range(len(words) - 1):
             a, b = words[d], words[d + 1]
             if a == b:
-                yield UNDETERMINED, 0.0, []
+                yield UNDETERMINED, 0.0, 0.0, []
                 continue
             weight = np.bincount(own[a:b], ends[a:b] - starts[a:b], minlength=len(model.languages))
             cuts = np.concatenate(([a], a + 1 + np.flatnonzero(np.diff(own[a:b])), [b]))
@@ -199,18 +207,20 @@ def _label(texts: list[str], model: Model, switch: float):
                 for x, y in zip(cuts[:-1], cuts[1:])
             ]
             top = int(weight.argmax())
-            yield model.languages[top], float(weight[top] / weight.sum()), spans
+            share = float((ends[a:b] - starts[a:b])[sure[a:b]].sum() / weight.sum())
+            yield model.languages[top], float(weight[top] / weight.sum()), share, spans
 
 
-PREDICTED = "lang_pred string, score double, spans array<struct<begin int, stop int, lang string>>"
+PREDICTED = "lang_pred string, score double, known double, spans array<struct<begin int, stop int, lang string>>"
 
 
 def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """``docs`` (any columns) with ``predicted``: lang_pred, score and spans, from the text alone.
+    """``docs`` (any columns) with ``predicted``: lang_pred, score, known and spans, from the text alone.
 
     A span has code point offsets (stop exclusive) from its first to its last letter. ``lang_pred`` has most
-    letters, ``score`` is its share of them. Texts that are null or hold no letter, and all texts under a
-    model without languages, are ``und`` with score 0.
+    letters, ``score`` is its share of them. ``known`` is the share of letters in words that their span's language
+    knows (``word_scores``). Texts that are null or hold no letter, and all texts under a
+    model without languages, are ``und`` with score and known 0.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -225,8 +235,8 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                 if model.languages:
                     out += _label(texts[begin:end], model, switch)
                 else:
-                    out += [(UNDETERMINED, 0.0, [])] * (end - begin)
-            yield pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+                    out += [(UNDETERMINED, 0.0, 0.0, [])] * (end - begin)
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "known", "spans"])
 
     return docs.withColumn("predicted", labelled("text"))
 
@@ -240,18 +250,19 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and spans of every row of ``docs``, learned from the rest's labels."""
     model = fit(docs.filter(~held_out()), fit_rows)
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", held_out().alias("held_out"), "predicted.*")
+    return out.select("doc_id", held_out().alias("held_out"), *[f"predicted.{c}" for c in ("lang_pred", "score", "spans")])
 
 
-def accepted(docs: DataFrame, least_share: float = 0.2, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` without the documents that have no language: no letters, or none with ``least_share`` of the letters.
+def accepted(docs: DataFrame, least_known: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` without the documents of no language: no letters, or less than ``least_known`` of them in known words.
 
-    The model is learned from the labelled rows of ``docs``; without any, only documents with letters stay.
-    All columns are kept.
+    A word is known to the language of its span by script and trigrams, so text of several languages stays, and text in
+    a script that no language uses or of random letters goes. The model is learned from the labelled rows of
+    ``docs``; without any, only documents with letters stay. All columns are kept.
     """
     model = fit(docs, fit_rows)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     marked = predict(docs.withColumnRenamed("predicted", "_predicted"), model)
-    clear = (F.col("predicted.lang_pred") != UNDETERMINED) & (F.col("predicted.score") >= least_share)
+    clear = (F.col("predicted.lang_pred") != UNDETERMINED) & (F.col("predicted.known") >= least_known)
     return marked.filter(clear).drop("predicted").withColumnRenamed("_predicted", "predicted")
