@@ -65,6 +65,23 @@ def test_all_links_between_edited_copies(documents, rng, size, percent):
     assert found(jaccard.similar_groups(documents(*rows), size, percent)) == expected(rows, size, percent)
 
 
+def test_links_inside_a_component(documents, rng):
+    """Every link of a group of near copies, and its number of links with copies counted."""
+    base = prose(rng, 60)
+    texts = [edited(rng, base, rng.randrange(3)) for _ in range(40)]
+    rows = [(n, texts[n % 40]) for n in range(70)] + [(n, prose(rng, 20)) for n in range(70, 80)]
+    sets = {i: shingle_set(t, 3) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = documents(*rows, (100, None))
+    out = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.linked_groups(docs, 3, 80).collect()}
+    want = {i: (*own, sum(i in p for p in pairs)) for i, own in expected(rows, 3, 80).items()}
+    assert out == want | {100: (0, 100, 0)}
+    first = {own: i for i, own in reversed(sets.items())}
+    wanted = {frozenset((first[sets[a]], first[sets[b]])) for a, b in pairs if sets[a] != sets[b]}
+    got = [frozenset(r) for r in jaccard.class_links(docs, 3, 80).collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
+
+
 def test_on_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]

@@ -13,10 +13,12 @@ in no other document, and the others with their frequencies. A shingle that seve
 is sent once with its count, so one that a third of all documents have costs a row per chunk. A shingle in
 no other document can't be part of an overlap: most documents have too many of those to have a partner.
 
-Of the rest, equal sets are put together, and links are looked for in two rounds. In the first, each
-prefix shingle links its documents to the most central of them. In the second, pairs are formed only
-between documents that the first round left in different components, so a large group of copies
-doesn't become all its pairs, while every link that could join two components is tried.
+Of the rest, equal sets are put together, and one set of each kind stands for its copies. The join itself
+(``linked_groups``, ``class_links``) verifies every candidate pair of kinds and so finds all links. Where only components
+are asked for (``similar_groups``), links are looked for in two rounds. In the first, each prefix shingle links its
+documents to the most central of them. In the second, pairs are formed only between documents that the first round
+left in different components, so a large group of near copies doesn't become all its pairs, while every link that
+could join two components is tried.
 """
 
 from __future__ import annotations
@@ -45,6 +47,8 @@ _ASSEMBLED = (
     "node long, doc_id long, size long, set_a long, set_b long, alone long, wanted int, shortest int, "
     "prefix array<long>, shared binary, " + ", ".join(f"parity{n} long" for n in range(PARITY_LONGS))
 )
+#: What equal sets have in common.
+KIND = ["size", "set_a", "set_b"]
 _U32, _U64 = np.dtype("<u4"), np.dtype("<u8")
 
 
@@ -289,8 +293,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pinned(filled.filter(alike).select("a", "b"))
 
 
-def links(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of the nodes that have a link; ``heads`` lists one node per different set of ``sets``."""
+def links(sets: DataFrame, heads: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Verified links (a, b), a < b: all if ``every``, else enough for the components.
+
+    ``heads`` lists one node per different set of ``sets``.
+    """
     parity = [f"parity{n}" for n in range(PARITY_LONGS)]
     postings = pinned(
         sets.join(heads, "node", "left_semi")
@@ -310,9 +317,13 @@ def links(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         & (F.least("x.size", "y.size") >= alpha)
         & (apart <= F.col("x.size") + F.col("y.size") - 2 * alpha)
     )
+    same = F.col("x.shingle") == F.col("y.shingle")
+    if every:
+        pairs = postings.alias("x").join(postings.alias("y"), same & (F.col("x.node") < F.col("y.node")) & possible)
+        pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        return _verified(pinned(pairs), sets, percent)
     centre = pinned(postings.groupBy("shingle").agg(F.min(F.struct("place", "node", "size", *parity)).alias("_c")))
     centre = centre.select("shingle", "_c.*")
-    same = F.col("x.shingle") == F.col("y.shingle")
     first = (
         postings.alias("x")
         .join(centre.alias("y"), same & (F.col("x.node") != F.col("y.node")) & possible)
@@ -336,7 +347,40 @@ def links(sets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
         .distinct()
     )
     more = _verified(pinned(second), sets, percent)
-    return components(found.unionByName(more))
+    return found.unionByName(more)
+
+
+def _classes(docs: DataFrame, size: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows as prepared; a head and the number of rows of each different set; the links between heads."""
+    small_batches(docs.sparkSession)
+    ready = pinned(prepared(docs, size, percent))
+    heads = ready.filter("size > 0").groupBy(*KIND)
+    heads = pinned(heads.agg(F.min("node").alias("_head"), F.count("*").alias("_many"), F.min("doc_id").alias("_least")))
+    sets = ready.filter("prefix IS NOT NULL")
+    return ready, heads, links(sets, heads.select(F.col("_head").alias("node")), percent, every)
+
+
+def _grouped(docs: DataFrame, ready: DataFrame, heads: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, counted from the links in ``found``, of every row of ``docs``."""
+    # A component takes the smallest doc_id of all rows of all its sets; a link counts all rows of the other set.
+    both = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = heads.select(F.col("_head").alias("b"), "_many")
+    counted = both.join(others, "b").groupBy(F.col("a").alias("_linked")).agg(F.sum("_many").alias("_more"))
+    named = (
+        heads.join(components(found), F.col("_head") == F.col("id"), "left")
+        .join(counted, F.col("_head") == F.col("_linked"), "left")
+        .withColumn("n_links", F.col("_many") - 1 + F.coalesce("_more", F.lit(0)))
+        .select(*KIND, "_least", "n_links", F.coalesce("component", "_head").alias("_part"))
+    )
+    named = pinned(named)
+    least = named.groupBy(F.col("_part").alias("_of")).agg(F.min("_least").alias("component_id"))
+    named = pinned(named.join(least, F.col("_part") == F.col("_of")).select(*KIND, "component_id", "n_links"))
+    rows = ready.filter("size > 0").select("doc_id", *KIND)
+    linked = rows.join(named, KIND).select("doc_id", F.col("size").alias("n_shingles"), "component_id", "n_links")
+    bare = ready.filter("size = 0").select("doc_id").unionByName(docs.filter("text IS NULL").select("doc_id"))
+    none = F.lit(0).cast("long")
+    bare = bare.select("doc_id", none.alias("n_shingles"), F.col("doc_id").alias("component_id"), none.alias("n_links"))
+    return linked.unionByName(bare)
 
 
 def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -349,27 +393,23 @@ def similar_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFra
     rows give equal rows. Only doc_id and text are read. Different shingles share a name with a chance of
     one in 2^40 times the number of ranges; sets are told apart by 128 bits of hash.
     """
-    small_batches(docs.sparkSession)
-    ready = pinned(prepared(docs, size, percent))
-    sets = ready.filter("prefix IS NOT NULL")
-    kinds = ["size", "set_a", "set_b"]
-    filled = ready.filter("size > 0")
-    heads = pinned(filled.groupBy(*kinds).agg(F.min("node").alias("_head")))
-    found = links(sets, heads.select(F.col("_head").alias("node")), percent)
-    # A component takes the smallest doc_id of all rows of all its sets.
-    rows = filled.select("node", "doc_id", *kinds)
-    named = (
-        heads.join(rows.groupBy(*kinds).agg(F.min("doc_id").alias("_least")), kinds)
-        .join(found, F.col("_head") == F.col("id"), "left")
-        .select(*kinds, "_least", F.coalesce("component", "_head").alias("_part"))
-    )
-    named = pinned(named)
-    least = named.groupBy(F.col("_part").alias("_of")).agg(F.min("_least").alias("component_id"))
-    named = pinned(named.join(least, F.col("_part") == F.col("_of")).select(*kinds, "component_id"))
-    linked = rows.join(named, kinds).select("doc_id", F.col("size").alias("n_shingles"), "component_id")
-    bare = ready.filter("size = 0").select("doc_id").unionByName(docs.filter("text IS NULL").select("doc_id"))
-    bare = bare.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(bare)
+    return _grouped(docs, *_classes(docs, size, percent, every=False)).drop("n_links")
+
+
+def linked_groups(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """``similar_groups`` and n_links: to how many other rows a row has a link, equal ones included.
+
+    All pairs of different sets that may be links are verified; copies are counted by the rows of a set.
+    """
+    return _grouped(docs, *_classes(docs, size, percent, every=True))
+
+
+def class_links(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
+    """(left_id, right_id) of every link between different sets, each by the smallest doc_id of its rows."""
+    _, heads, found = _classes(docs, size, percent, every=True)
+    left = heads.select(F.col("_head").alias("a"), F.col("_least").alias("left_id"))
+    right = heads.select(F.col("_head").alias("b"), F.col("_least").alias("right_id"))
+    return found.join(left, "a").join(right, "b").select("left_id", "right_id")
 
 
 def one_per_group(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -47,7 +47,7 @@ def op1_token_counts(spark, sf_dir, tokenizers=TOKENIZERS):
 
 @query
 def op2_ngram_jaccard_join(spark, sf_dir):
-    return jaccard.similar_groups(table(spark, sf_dir, "documents"), 3, 90)
+    return jaccard.linked_groups(table(spark, sf_dir, "documents"), 3, 90)
 
 
 @query
