@@ -102,6 +102,15 @@ def test_removal_and_no_rows(spark, documents):
     assert matches(docs, items.limit(0)).count() == 0
 
 
+def test_items_without_id(spark, documents):
+    text, big = "one two three four five six seven", 2**53 + 1
+    items = benchmark(spark, [(None, text), (None, "short one"), (big, text), (3, "not here at all, not anywhere")])
+    docs = documents((1, f"so {text} here"), (2, "a short one"), (3, "else"))
+    got = sorted(((r.doc_id, r.item_id, r.window_start) for r in matches(docs, items).collect()), key=str)
+    assert got == sorted([(1, None, 1), (1, big, 1), (2, None, 1)], key=str)
+    assert [r.doc_id for r in decontaminated(docs, items).collect()] == [3]
+
+
 def test_query_finds_all_verbatim_items(spark):
     folder = "/root/testdata/sf0.01"
     docs = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]

@@ -187,8 +187,8 @@ def matches(
 
     Words are lower-cased runs of letters and digits. Texts of fewer words than a shingle are one shingle,
     so an item that short is found where it stands word by word.
-    Null and empty texts, of documents or items, match nothing; rows without doc_id are searched too. Of equal
-    items each is found; of equal windows the first counts. Empty tables give no rows. The items are a stated
+    Null and empty texts, of documents or items, match nothing; rows without doc_id are searched too, and items without
+    item_id looked for. Of equal items each is found; of equal windows the first counts. Empty tables give no rows. The items are a stated
     query set: they go over all documents in runs of PASS_ITEMS at most, so what is sent to a task is bounded.
     """
     spark = docs.sparkSession
@@ -200,7 +200,9 @@ def matches(
         sent = spark.sparkContext.broadcast(([r["item_id"] for r in run], [r["text"] for r in run]))
 
         def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            items = Items(*sent.value, size)
+            # Items are numbered, since an item_id may be null or stand for several.
+            items = Items(list(range(len(sent.value[1]))), sent.value[1], size)
+            item_ids = sent.value[0]
             for batch in batches:
                 ids, texts, found = batch["doc_id"].tolist(), batch["text"].tolist(), []
                 for begin, end in slices(texts):
@@ -213,7 +215,9 @@ def matches(
                         own = shingles[at[d] : at[d + 1]]
                         for n, alike, start in _search(items, own, threshold):
                             found.append((ids[begin + d], int(items.ids[n]), alike, start, int(items.words[n])))
-                yield pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+                out = pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+                out["item_id"] = pd.array([item_ids[row[1]] for row in found], "Int64")
+                yield out
 
         out = out.unionByName(texts.mapInPandas(search, FOUND))
     return out
