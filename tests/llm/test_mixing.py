@@ -75,6 +75,22 @@ def test_no_rows(documents):
     assert mix(documents().limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_targets_of_all_documents(spark, folder):
+    out = LLM_QUERIES["op6_mixing"](spark, folder).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    sizes, taken, targets = Counter(), Counter(), {}
+    for r in out:
+        source = docs[r.doc_id].source
+        sizes[source] += r.size
+        taken[source] += r.taken
+        targets[source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert targets == pytest.approx(by_rounds(sizes))
+    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - targets[s]) <= 0.5 for s in sizes)
+
+
 def test_equals_sql(spark):
     folder = "/root/testdata/sf0.01"
     found = LLM_QUERIES["op6_mixing"](spark, folder)

@@ -1,5 +1,6 @@
 """Each stage on what the one before kept, against brute force."""
 
+import re
 from collections import Counter
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.test_decontam import expected as contaminated
 from tests.llm.test_jaccard import expected as grouped
+from tests.llm.test_mixing import by_rounds
 from tiffin.llm.common import new_folder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,6 +56,19 @@ def test_mix_repeats_rows(stages):
     assert set(times) <= set(texts(stages[3])) and set(times.values()) <= {1, 2}
 
 
+def test_mix_follows_the_targets(stages):
+    before, after, longest = Counter(), Counter(), Counter()
+    for row in stages[3].collect():
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", row.text or ""))
+        before[row.source] += n
+        longest[row.source] = max(n, longest[row.source])
+    for row in stages[4].collect():
+        after[row.source] += len(re.findall(r"[^\x20\x09-\x0D]+", row.text or ""))
+    targets = by_rounds(before)
+    # Repetitions are whole: what is counted in part is at most the last document of a source.
+    assert all(abs(after[s] - targets[s]) <= longest[s] for s in before)
+
+
 def test_all_rows_are_sharded(spark, stages):
     out = stages[5].collect()
     assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in stages[4].collect())

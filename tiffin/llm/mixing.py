@@ -19,8 +19,9 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ep
     Sources by code point, null last, take the weights in turn. The water level rises until the targets
     ``weight * level``, each clamped at ``epochs`` times its source, add up to ``share`` times all sizes: in
     the order of the level at which sources clamp, a source is clamped if the level that the sources from it
-    on would share reaches its own clamp level. This is where clamping and sharing the excess anew by
-    weight ends. One row per source: the windows below run over sources, not documents.
+    on would share reaches its own clamp level. The others share the level of the first of them, which is the
+    largest. This is where clamping and sharing the excess anew by weight ends. One row per source: the windows
+    below run over sources, not documents.
     """
     if share > epochs:
         raise ValueError("share above the maximum of epochs")
@@ -39,7 +40,7 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ep
         listed.withColumn("_left", total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0)))
         .withColumn("_level", F.col("_left") / F.sum("_weight").over(onward))
         .withColumn("_clamped", F.col("_level") * F.col("_weight") >= F.col("_cap"))
-        .withColumn("_water", F.min(F.when(~F.col("_clamped"), F.col("_level"))).over(everything))
+        .withColumn("_water", F.max(F.when(~F.col("_clamped"), F.col("_level"))).over(everything))
     )
     target = F.when(F.col("_clamped"), F.col("_cap")).otherwise(F.col("_weight") * F.col("_water"))
     return listed.select("source", "source_size", target.alias("target"))

@@ -82,8 +82,9 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+# The excess is shared anew round by round: what is above its cap is clamped, the rest share what is left.
 LLM_ORACLES["op6_mixing"] = f"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
          md5('{mixing.SEED}:' || CAST(doc_id AS VARCHAR)) AS key
@@ -92,30 +93,35 @@ WITH rows AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight
   FROM rows GROUP BY source
-), levels AS (
-  SELECT *, source_size * 2.0::DOUBLE AS cap,
-         ((SELECT sum(source_size) FROM sources) * 1.5::DOUBLE
-          - coalesce(sum(source_size * 2.0::DOUBLE) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
-         / sum(weight) OVER (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST
-                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
-  FROM sources
+), rounds AS (
+  SELECT 0 AS turn, source, source_size, weight, false AS capped, false AS newly FROM sources
+  UNION ALL
+  SELECT turn + 1, source, source_size, weight, capped OR above, above AND NOT capped
+  FROM (
+    SELECT *, weight * (sum(source_size) OVER () * 1.5::DOUBLE
+                        - coalesce(sum(source_size * 2.0::DOUBLE) FILTER (capped) OVER (), 0.0::DOUBLE))
+              / nullif(sum(weight) FILTER (NOT capped) OVER (), 0) >= source_size * 2.0::DOUBLE AS above,
+           bool_or(newly) OVER () OR turn = 0 AS open
+    FROM rounds
+  ) WHERE open
 ), targets AS (
   SELECT source, source_size,
-         CASE WHEN level * weight >= cap THEN cap
-              ELSE weight * (SELECT min(level) FROM levels WHERE NOT level * weight >= cap) END AS target
-  FROM levels
-), placed AS (
-  SELECT r.doc_id, r.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS whole,
+         CASE WHEN capped THEN source_size * 2.0::DOUBLE
+              ELSE weight * ((sum(source_size) OVER () * 1.5::DOUBLE
+                              - coalesce(sum(source_size * 2.0::DOUBLE) FILTER (capped) OVER (), 0.0::DOUBLE))
+                             / sum(weight) FILTER (NOT capped) OVER ()) END AS target
+  FROM rounds WHERE turn = (SELECT max(turn) FROM rounds)
+), fill AS (
+  SELECT r.doc_id, r.size, t.source_size, t.target, round(t.target) AS aim,
          coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.key, r.doc_id, r.size
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST(whole * size + greatest(0, least(size,
-            CAST(floor(target + 0.5) AS BIGINT) - whole * source_size - before)) AS BIGINT) AS taken
-FROM placed
+       -- words of the endless repetition of the source, cut after the aim, that fall into this document
+       CAST(least(size, greatest(0, aim - before))
+            + least(size, greatest(0, aim - source_size - before)) AS BIGINT) AS taken
+FROM fill
 """
 
 
