@@ -118,3 +118,12 @@ def test_query_finds_all_verbatim_items(spark):
     got = {(r.doc_id, r.item_id) for r in LLM_QUERIES["op10_decontamination"](spark, folder).collect()}
     assert {(i, k) for i, t in docs for k, item in items if item in t} <= got
     assert got <= set(expected([d for d in docs if d[0] in {i for i, _ in got}], items))
+
+
+def test_ids_beside_a_null_id_stay_exact(spark, documents, rng):
+    item = prose(rng, 30, 5000)
+    rows = [(9007199254740993, item), (None, item), (9007199254740993, item + " more"), (3, "nothing")]
+    out = matches(documents(*rows), benchmark(spark, [(9007199254740995, item), (None, item)])).collect()
+    assert Counter((r.doc_id, r.item_id) for r in out) == Counter(
+        (i, item_id) for i in (9007199254740993, None, 9007199254740993) for item_id in (9007199254740995, None)
+    )

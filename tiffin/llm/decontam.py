@@ -193,7 +193,9 @@ def matches(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL")
+    # Ids as text: a batch with null ids would come as floats.
+    doc_id = F.col("doc_id").cast("long").cast("string").alias("doc_id")
+    texts = docs.select(doc_id, "text").filter("text IS NOT NULL")
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL")
     out = spark.createDataFrame([], FOUND)
     for run in _chunks(wanted):
@@ -204,7 +206,8 @@ def matches(
             items = Items(list(range(len(sent.value[1]))), sent.value[1], size)
             item_ids = sent.value[0]
             for batch in batches:
-                ids, texts, found = batch["doc_id"].tolist(), batch["text"].tolist(), []
+                ids = [None if i is None else int(i) for i in batch["doc_id"]]
+                texts, found = batch["text"].tolist(), []
                 for begin, end in slices(texts):
                     words, word_at = words_in(texts[begin:end])
                     shingles, at = shingled(words, word_at, size)
@@ -216,6 +219,7 @@ def matches(
                         for n, alike, start in _search(items, own, threshold):
                             found.append((ids[begin + d], int(items.ids[n]), alike, start, int(items.words[n])))
                 out = pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
+                out["doc_id"] = pd.array([row[0] for row in found], "Int64")
                 out["item_id"] = pd.array([item_ids[row[1]] for row in found], "Int64")
                 yield out
 
