@@ -1,6 +1,7 @@
 """Viterbi against all label sequences, narrowing by script, and accuracy on held-out documents."""
 
 import itertools
+import pickle
 import zlib
 
 import numpy as np
@@ -56,7 +57,7 @@ def test_odd_rows(documents, rng):
     by_id = {r.doc_id: r for r in out}
     for i in (1000, 1001, 1002):
         assert (by_id[i].lang_pred, by_id[i].score) == ("und", 0.0)
-    assert by_id[1003].lang_pred in ("en", "ru")  # a script that no language uses
+    assert by_id[1003].lang_pred in ("en", "ru") and by_id[1003].score == 0  # a script that no language uses
     assert by_id[None].lang_pred == by_id[1004].lang_pred == "en"
     assert all(r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 5 == 0) for r in out)
 
@@ -88,3 +89,28 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
     rows = LLM_QUERIES["op4_language_id"](spark, folder).join(docs, "doc_id").filter("held_out").collect()
     assert len(rows) > 100 and sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.98
+
+
+def test_more_languages_than_a_byte_holds():
+    scores = np.full((300, 300), -50.0)
+    scores[np.arange(300), np.arange(300)] = 0.0
+    assert list(viterbi(scores, np.arange(301))) == list(range(300))
+
+
+def test_letters_of_far_planes(documents, rng):
+    model = fit(documents(*labelled(rng)))
+    out = predict(documents((1, "\U00030001\U00031355"), (2, "\U0001f600")), model).collect()
+    assert {r.doc_id: r.predicted.lang_pred == "und" for r in out} == {1: False, 2: True}
+
+
+def test_nothing_of_the_package_is_broadcast(spark, documents, rng, monkeypatch):
+    sent, own = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(self, value))
+    predict(documents((1, EN)), fit(documents(*labelled(rng)))).collect()
+    assert sent and all(b"tiffin" not in pickle.dumps(value) for value in sent)
+
+
+def test_accepted_keeps_columns_of_any_name(documents, rng):
+    docs = documents(*labelled(rng), extra="predicted _predicted spans")
+    out = accepted(docs)
+    assert out.columns == docs.columns and out.count() == 200

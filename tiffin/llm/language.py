@@ -149,9 +149,10 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
     order = np.argsort(-sizes, kind="stable")
     begins = offsets[:-1][order]
     ascending = -sizes[order]
-    came = np.empty(scores.shape, np.uint8)
-    labels = np.empty(len(scores), np.uint8)
-    own = np.arange(scores.shape[1], dtype=np.uint8)
+    wide = np.min_scalar_type(scores.shape[1])
+    came = np.empty(scores.shape, wide)
+    labels = np.empty(len(scores), wide)
+    own = np.arange(scores.shape[1], dtype=wide)
     best = np.zeros((len(sizes), scores.shape[1]))
     steps = int(sizes.max()) if len(sizes) else 0
     active = np.searchsorted(ascending, -np.arange(steps), "left")  # texts longer than the step
@@ -163,10 +164,10 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
             top = now.argmax(axis=1)
             jump = now[np.arange(n), top] - switch
             stay = now >= jump[:, None]
-            came[at] = np.where(stay, own, top[:, None].astype(np.uint8))
+            came[at] = np.where(stay, own, top[:, None].astype(wide))
             now = np.where(stay, now, jump[:, None])
         best[:n] = now + scores[at]
-    last = best.argmax(axis=1).astype(np.uint8)
+    last = best.argmax(axis=1).astype(wide)
     for step in range(steps - 1, -1, -1):
         n = active[step]
         at = begins[:n] + step
@@ -177,7 +178,7 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) ->
 
 
 def _label(texts: list[str], model: Model, switch: float):
-    """Per text: language, share of its letters that have it, share that is in words their language knows, and spans."""
+    """Per text: language, share of its letters in words that have and fit it, share in words that fit theirs, spans."""
     prepared = [words_of(texts[b:e]) for b, e in slices(texts)]
     scores, known, sizes, shift = [], [], [], 0
     for _, buckets, starts, ends, scripts, words, _ in prepared:
@@ -207,27 +208,28 @@ def _label(texts: list[str], model: Model, switch: float):
                 for x, y in zip(cuts[:-1], cuts[1:])
             ]
             top = int(weight.argmax())
-            share = float((ends[a:b] - starts[a:b])[sure[a:b]].sum() / weight.sum())
-            yield model.languages[top], float(weight[top] / weight.sum()), share, spans
+            fits = np.bincount(own[a:b], (ends[a:b] - starts[a:b]) * sure[a:b], minlength=len(model.languages))
+            yield model.languages[top], float(fits[top] / weight.sum()), float(fits.sum() / weight.sum()), spans
 
 
 PREDICTED = "lang_pred string, score double, known double, spans array<struct<begin int, stop int, lang string>>"
 
 
-def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
-    """``docs`` (any columns) with ``predicted``: lang_pred, score, known and spans, from the text alone.
+def predict(docs: DataFrame, model: Model, switch: float = SWITCH, into: str = "predicted") -> DataFrame:
+    """``docs`` (any columns) with ``into``, a struct of lang_pred, score, known and spans, from the text alone.
 
     A span has code point offsets (stop exclusive) from its first to its last letter. ``lang_pred`` has most
-    letters, ``score`` is its share of them. ``known`` is the share of letters in words that their span's language
-    knows (``word_scores``). Texts that are null or hold no letter, and all texts under a
+    letters, ``score`` is the share of all letters in words that have this language and that it knows (``word_scores``);
+    ``known`` is the share in words that their own span's language knows. Texts that are null or hold no letter, and all texts under a
     model without languages, are ``und`` with score and known 0.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Arrays and names, no class of this package: workers need not have it installed.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logp, model.uses))
 
     @F.pandas_udf(PREDICTED)
     def labelled(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             texts = [t or "" for t in batch]
             out: list[tuple] = []
@@ -238,7 +240,7 @@ def predict(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
                     out += [(UNDETERMINED, 0.0, 0.0, [])] * (end - begin)
             yield pd.DataFrame(out, columns=["lang_pred", "score", "known", "spans"])
 
-    return docs.withColumn("predicted", labelled("text"))
+    return docs.withColumn(into, labelled("text"))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -263,6 +265,9 @@ def accepted(docs: DataFrame, least_known: float = 0.5, fit_rows: int = FIT_ROWS
     model = fit(docs, fit_rows)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    marked = predict(docs.withColumnRenamed("predicted", "_predicted"), model)
-    clear = (F.col("predicted.lang_pred") != UNDETERMINED) & (F.col("predicted.known") >= least_known)
-    return marked.filter(clear).drop("predicted").withColumnRenamed("_predicted", "predicted")
+    into = "predicted"
+    while into in {c.lower() for c in docs.columns}:
+        into = "_" + into
+    marked = predict(docs, model, into=into)
+    clear = (F.col(f"{into}.lang_pred") != UNDETERMINED) & (F.col(f"{into}.known") >= least_known)
+    return marked.filter(clear).drop(into)

@@ -100,7 +100,7 @@ class Letters:
     """Tables over code points: which are letters or digits, and their lower case."""
 
     def __init__(self):
-        size = 0x30000
+        size = 0x110000
         chars = [chr(i) for i in range(size)]
         self.letter = np.fromiter((c.isalpha() for c in chars), bool, size)
         self.word = np.fromiter((c.isalnum() for c in chars), bool, size)
@@ -109,13 +109,10 @@ class Letters:
         )
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Lower-cased code points of all texts, each followed by a line feed; and where each text begins.
-
-        Code points beyond the tables (there are no letters there but rare ideographs) count as no letter.
-        """
+        """Lower-cased code points of all texts, each followed by a line feed; and where each text begins."""
         joined = "\n".join(texts) + "\n"
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.lower[np.where(codes < len(self.lower), codes, 0)]
+        codes = self.lower[codes]
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         return codes, np.concatenate(([0], np.cumsum(sizes)))
 
