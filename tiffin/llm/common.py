@@ -31,9 +31,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Send rows to Python in batches that long texts can't make too large for a worker."""
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 32 << 20) -> None:
+    """Send rows to Python in batches of so many rows and bytes at most (or one row), whatever the session had set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 #: Bits of a bitmap of hashes: 1 MB, whatever the number of values.
