@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, tokens
+from tiffin.llm import decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, spelling, tokens
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ def op9_suffix_array_dedup(spark, sf_dir):
     return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
     )
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.grouped_spellings(table(spark, sf_dir, "documents"))
