@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, spelling, tokens
+from tiffin.llm import bpe, decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, spelling, tokens
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,9 @@ def op9_suffix_array_dedup(spark, sf_dir):
 @query
 def op13_spelling_variants(spark, sf_dir):
     return spelling.grouped_spellings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_byte_bpe(spark, sf_dir, tokenizers=TOKENIZERS):
+    path = f"{tokenizers}/byte_bpe_50k.tiktoken"
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), path, BYTE_BPE_PATTERN)
