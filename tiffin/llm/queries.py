@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.llm import bpe, decontam, exact, jaccard, language, lines, mixing, repeats, secret_scan, sharding, spelling, tokens
+from tiffin.llm import (
+    bpe,
+    decontam,
+    exact,
+    jaccard,
+    language,
+    lines,
+    mixing,
+    negatives,
+    repeats,
+    secret_scan,
+    sharding,
+    spelling,
+    tokens,
+)
 from tiffin.llm.common import new_folder, table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +184,34 @@ def op13_spelling_variants(spark, sf_dir):
 def op12_byte_bpe(spark, sf_dir, tokenizers=TOKENIZERS):
     path = f"{tokenizers}/byte_bpe_50k.tiktoken"
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, BYTE_BPE_PATTERN)
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+LLM_ORACLES["op11_hard_negatives"] = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM rows a JOIN rows c ON a.r <> c.r
+  WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS nth
+  FROM scored WHERE same QUALIFY nth <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.nth ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+WHERE 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+"""
