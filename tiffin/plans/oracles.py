@@ -164,6 +164,12 @@ VIEWS = {
                CASE WHEN event_type = 'error' THEN 500 WHEN k % 20 = 0 THEN 404 ELSE 200 END AS status,
                CAST(floor(value * 10) AS INT) AS duration_ms
         FROM x_events""",
+    "x_limited": """
+        SELECT make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 600) AS ts,
+               concat('10.0.0.', CAST(client AS BIGINT) % 4) AS client, l.*
+        FROM x_requests JOIN (VALUES ('all', 100, INTERVAL 15 MINUTE, '%'), ('sign_in', 10, INTERVAL 15 MINUTE, '/api/auth/%'),
+                                     ('order', 3, INTERVAL 1 MINUTE, '/api/orders')) l(limit_name, most, step, covers)
+          ON path LIKE covers""",
     "x_connections": """
         SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'connect' ELSE 'disconnect' END AS action
         FROM events WHERE event_type IN ('view', 'error', 'signup')""",
@@ -772,15 +778,24 @@ BODIES |= {
     "rate_violations_daily": """SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start,
                time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, client, count(*) AS requests
         FROM x_requests GROUP BY ALL HAVING count(*) > 3""",
-    "limit_violations": """WITH r AS (
-            SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, INTERVAL 15 MINUTE AS step, client, 'all' AS limit_name, 100 AS most
-            FROM x_requests UNION ALL
-            SELECT time_bucket(INTERVAL 15 MINUTE, ts), INTERVAL 15 MINUTE, client, 'sign_in', 10 FROM x_requests
-            WHERE path LIKE '/api/auth/%' UNION ALL
-            SELECT time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE, client, 'order', 3 FROM x_requests
-            WHERE path = '/api/orders')
-        SELECT window_start, window_start + step AS window_end, client, count(*) AS requests, limit_name
-        FROM r GROUP BY window_start, step, client, limit_name, most HAVING count(*) > most""",
+    "client_windows": """SELECT s.start AS window_start, s.start + INTERVAL 2 DAY AS window_end, s.client, count(*) AS requests
+        FROM (WITH RECURSIVE s AS (
+                SELECT client, min(ts) AS start FROM x_requests GROUP BY client
+                UNION ALL
+                SELECT s.client, min(r.ts) FROM s JOIN x_requests r ON r.client = s.client AND r.ts >= s.start + INTERVAL 2 DAY
+                GROUP BY s.client, s.start) SELECT * FROM s) s
+        JOIN x_requests r ON r.client = s.client AND r.ts >= s.start AND r.ts < s.start + INTERVAL 2 DAY
+        GROUP BY s.client, s.start""",
+    "limit_violations": """SELECT s.start AS window_start, s.start + s.step AS window_end, s.client, count(*) AS requests, s.limit_name
+        FROM (WITH RECURSIVE s AS (
+                SELECT limit_name, most, step, client, min(ts) AS start FROM x_limited GROUP BY ALL
+                UNION ALL
+                SELECT s.limit_name, s.most, s.step, s.client, min(r.ts)
+                FROM s JOIN x_limited r ON r.client = s.client AND r.limit_name = s.limit_name AND r.ts >= s.start + s.step
+                GROUP BY s.limit_name, s.most, s.step, s.client, s.start) SELECT * FROM s) s
+        JOIN x_limited r ON r.client = s.client AND r.limit_name = s.limit_name
+                        AND r.ts >= s.start AND r.ts < s.start + s.step
+        GROUP BY s.client, s.start, s.step, s.limit_name, s.most HAVING count(*) > s.most""",
     "request_metrics_batch": "SELECT * FROM x_metrics",
     "request_metrics_stream": """SELECT * FROM x_metrics
         WHERE window_start + INTERVAL 15 MINUTE <= (SELECT until FROM x_closed)""",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.functions import money, text, times
-from tiffin.operators import accounts, catalog, changes, documents, orders, placement, pricing, quality, sales
+from tiffin.operators import accounts, catalog, changes, documents, limits, orders, placement, pricing, quality, sales
 from tiffin.operators.paging import head, page, page_after
 from tiffin.session import shared_dir, tune
 from tiffin.sources import audit, logs, store
@@ -942,19 +942,26 @@ def rate_violations_daily(m, spark, folder):
 
 @query
 def limit_violations(m, spark, folder):
-    """Clients over the configured limits, each limit on the requests it covers."""
-    requests = base.request_log(base.events(spark, folder))
+    """Clients over the configured limits, each limit on the requests it covers, in windows that a client's own
+    requests open."""
+    requests = base.busy_request_log(base.events(spark, folder))
     covered = {
         "all": requests,
         "sign_in": requests.filter("path LIKE '/api/auth/%'"),
         "order": requests.filter("path = '/api/orders'"),
     }
     parts = [
-        traffic.limit_violations(rows, name).withColumn("limit_name", F.lit(name)) for name, rows in covered.items()
+        limits.limit_violations(rows, name).withColumn("limit_name", F.lit(name)) for name, rows in covered.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query
+def client_windows(m, spark, folder):
+    """All windows of two days that the requests of each client open, one after the other."""
+    return limits.client_windows(base.request_log(base.events(spark, folder)), "2 days")
+
+
 @query
 def request_metrics_batch(m, spark, folder):
     """Exact figures only; the percentile is an estimate."""

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.sources.sizes import small
-
-# A category is one of the brands, of which there are 25 at every scale; the
-# count is still checked before the table may be broadcast.
-CATEGORY_ROWS = 10_000
+#: Declared schemas of the supplied tables; reading them needs no job.
+BASE = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+        "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+        "l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(BASE[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +53,8 @@ def categories(spark: SparkSession, folder: str) -> DataFrame:
         F.col("p_brand").alias("category_name"),
         (_category_of_brand() % 5 != 0).alias("is_active"),
     )
-    return small(rows.distinct(), CATEGORY_ROWS)
+    # One row per brand. Its size is known once it is made; run-time statistics then choose the join.
+    return rows.distinct()
 
 
 def menu_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,15 +119,33 @@ def order_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def model_from_base(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {
-        "users": users(spark, folder),
-        "categories": categories(spark, folder),
-        "menu_items": menu_items(spark, folder),
-        "orders": orders(spark, folder),
-        "order_items": order_items(spark, folder),
+class BaseModel(Mapping):
+    """The model tables over a folder; a table is planned when it is asked for."""
+
+    TABLES = {
+        "users": users,
+        "categories": categories,
+        "menu_items": menu_items,
+        "orders": orders,
+        "order_items": order_items,
     }
 
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.TABLES[name](self.spark, self.folder)
+
+    def __iter__(self):
+        return iter(self.TABLES)
+
+    def __len__(self) -> int:
+        return len(self.TABLES)
+
+
+def model_from_base(spark: SparkSession, folder: str) -> BaseModel:
+    return BaseModel(spark, folder)
+
 
 # Messages ------------------------------------------------------------------
 
@@ -136,22 +167,30 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 # Pieces that the events are streamed in, and so micro-batches of every streamed query.
 EVENT_SLICES = 5
+# Rows of a piece that one task writes as one file.
+FILE_ROWS = 2_000_000
 
 
 def event_stream(spark: SparkSession, folder: str, run: str, slices: int = EVENT_SLICES) -> DataFrame:
-    """All events as a stream of files in order of time, written below ``run``, one file a micro-batch."""
+    """All events as a stream of files in order of time, written below ``run``, one piece a micro-batch.
+
+    Events without time are in the last piece.
+    """
     rows = table(spark, folder, "events")
     parts = [n / slices for n in range(1, slices)]
-    cuts = rows.agg(F.percentile_approx(F.col("ts").cast("timestamp"), parts)).first()[0] or []
-    bounds = [None, *cuts, None]
     time = F.col("ts").cast("timestamp")
+    total, cuts = rows.agg(F.count("*"), F.percentile_approx(time, parts)).first()
+    files = max(1, -(-total // (slices * FILE_ROWS)))
+    bounds = [None, *(cuts or []), None]
     for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
         inside = F.lit(True) if low is None else time > F.lit(low)
         if high is not None:
             inside = inside & (time <= F.lit(high))
-        # The source takes files by their time of writing, so the slices are written one after the other.
-        rows.filter(inside).coalesce(1).write.parquet(f"{run}/events/slice-{n}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{run}/events/*")
+        # The source takes files by their time of writing, so the pieces are written one after the other, each as the
+        # number of files that a micro-batch takes.
+        piece = rows.filter(F.coalesce(inside, F.lit(high is None)))
+        piece.repartition(files).write.parquet(f"{run}/events/slice-{n}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{run}/events/*")
     return _with_k(stream)
 
 
@@ -210,6 +249,14 @@ def request_log(events_df: DataFrame) -> DataFrame:
     )
 
 
+def busy_request_log(events_df: DataFrame) -> DataFrame:
+    """The requests of a month within the first hours of a day, from four addresses that share many users."""
+    start = F.unix_micros(F.lit("2024-01-01").cast("timestamp"))
+    ts = F.timestamp_micros(start + F.floor((F.unix_micros("ts") - start) / 600))
+    log = request_log(events_df.withColumn("ts", ts))
+    return log.withColumn("client", F.concat(F.lit("10.0.0."), (F.col("client").cast("long") % 4).cast("string")))
+
+
 def connection_events(events_df: DataFrame) -> DataFrame:
     """view connects, error and signup disconnect."""
     kind = F.col("event_type")

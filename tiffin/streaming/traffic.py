@@ -25,7 +25,8 @@ def rate_violations(requests: DataFrame, limit: int, window: str, delay: str = "
 
 
 def limit_violations(requests: DataFrame, name: str, delay: str = "10 minutes") -> DataFrame:
-    """Violations of one of the configured limits: all, sign_in or order."""
+    """Violations of one of the configured limits, all, sign_in or order, in windows aligned to the epoch, which a
+    stream can close. ``tiffin.operators.limits`` has the windows that begin with a client's requests."""
     limit, window = RATE_LIMITS[name]
     return rate_violations(requests, limit, window, delay)
 
