@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.functions.text import name_key
+from tiffin.functions.text import name_key, trimmed
 
 PROFILE = ["user_id", "username", "email", "full_name", "phone", "role"]
 
@@ -29,7 +29,7 @@ def resolve_users(users: DataFrame, logins: DataFrame) -> DataFrame:
     fields = F.struct(*account.columns)
     by_name = account.select(name_key(F.col("username")).alias("_key"), fields.alias("_by_name"))
     by_email = account.select(name_key(F.col("email")).alias("_key"), fields.alias("_by_email"))
-    text = F.trim("login")
+    text = trimmed(F.col("login"))
     wanted = logins.filter(text != "").select("login_id", name_key(text).alias("_key"))
     found = wanted.join(by_name, "_key", "left").join(by_email, "_key", "left")
     return (

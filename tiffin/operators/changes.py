@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
-from tiffin.functions.text import name_key
+from tiffin.functions.text import name_key, trimmed
+from tiffin.operators.clashes import first_come
 from tiffin.operators.sequences import number_rows
 from tiffin.session import pin
 from tiffin.sources.sizes import small
@@ -38,35 +39,6 @@ def _without_texts(df: DataFrame, column: str, texts: DataFrame) -> DataFrame:
     return df.withColumn("_text", name_key(F.col(column))).join(texts, "_text", "left_anti").drop("_text")
 
 
-def first_come(rows: DataFrame, unique: list[str], order: list[str]) -> DataFrame:
-    """Rows accepted when they arrive one by one and every unique text may occur once.
-
-    Each round accepts the rows that come first in all their texts and drops the
-    rows that clash with them. What is left could only clash with dropped rows, so
-    it goes into the next round; most batches need one.
-    """
-    at = F.struct(*order)
-    accepted, open_rows = None, pin(rows)
-    while True:
-        ranked = open_rows.withColumn("_first", F.lit(True))
-        for column in unique:
-            first = open_rows.groupBy(name_key(F.col(column)).alias("_text")).agg(F.min(at).alias("_at"))
-            ranked = (
-                ranked.withColumn("_text", name_key(F.col(column)))
-                .join(first, "_text", "left")
-                .withColumn("_first", F.col("_first") & (F.col("_at").isNull() | (F.col("_at") == at)))
-                .drop("_text", "_at")
-            )
-        chosen = pin(ranked.filter("_first").drop("_first"))
-        accepted = chosen if accepted is None else accepted.unionByName(chosen)
-        rest = open_rows.join(chosen.select(*order), order, "left_anti")
-        for column in unique:
-            rest = _without_texts(rest, column, _texts(chosen, column))
-        open_rows = pin(rest)
-        if open_rows.isEmpty():
-            return accepted
-
-
 def insert_rows(
     current: DataFrame, new: DataFrame, key: str, unique: list[str], order: list[str]
 ) -> Changed:
@@ -183,7 +155,7 @@ def apply_category_changes(categories: DataFrame, menu_items: DataFrame, changes
     sent. A switched-on category switches on every item, also those removed one by
     one before. Publish both tables in one version.
     """
-    name = F.nullif(F.trim("category_name"), F.lit(""))
+    name = F.nullif(trimmed(F.col("category_name")), F.lit(""))
     sent = changes.withColumn("_name", name)
     usable = F.col("_name").isNotNull() | F.col("is_active").isNotNull()
     folded = (

@@ -82,10 +82,16 @@ def _joined(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def page_after(df: DataFrame, created_at, order_id: int, size: int = PAGE_SIZE) -> DataFrame:
-    """The next page after a given order: a pushed-down filter instead of an offset."""
+    """The next page after a given order: a pushed-down filter instead of an offset.
+
+    Orders without date come last; ``created_at`` is None after one of them.
+    """
+    undated = F.col("created_at").isNull()
+    if created_at is None:
+        return page(df.filter(undated & (F.col("order_id") < order_id)), 1, size)
     last = F.lit(created_at)
     older = (F.col("created_at") < last) | ((F.col("created_at") == last) & (F.col("order_id") < order_id))
-    return page(df.filter((F.col("created_at") <= last) & older), 1, size)
+    return page(df.filter(undated | ((F.col("created_at") <= last) & older)), 1, size)
 
 
 def head(df: DataFrame, rows: int = 5, order: list[Column] | None = None) -> DataFrame:

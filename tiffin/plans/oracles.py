@@ -86,6 +86,12 @@ VIEWS = {
                CASE event_id % 3 WHEN 0 THEN concat('Renamed ', k) END AS category_name,
                CASE WHEN event_id % 4 = 0 THEN k % 2 = 0 END AS is_active, event_id AS seq
         FROM x_events WHERE event_type = 'signup'""",
+    "x_asked_categories": """
+        SELECT event_id, category_name, is_active, row_number() OVER (PARTITION BY category_name ORDER BY event_id) AS nth,
+               upper(category_name) IN (SELECT upper(category_name) FROM x_categories) AS stored
+        FROM (SELECT event_id, CASE WHEN k % 4 = 0 THEN concat('BRAND#', k % 60) ELSE concat('Season ', k) END AS category_name,
+                     CASE WHEN k % 3 <> 0 THEN k % 2 = 0 END AS is_active
+              FROM x_events WHERE event_type = 'signup')""",
     "x_category_last": """
         SELECT category_id, arg_max(category_name, seq) FILTER (WHERE category_name IS NOT NULL) AS new_name,
                arg_max(is_active, seq) FILTER (WHERE is_active IS NOT NULL) AS new_active
@@ -452,6 +458,12 @@ BODIES = {
     "order_page_after": f"""SELECT order_id, order_number, created_at FROM x_orders
         WHERE created_at < TIMESTAMP '1999-01-16' OR (created_at = TIMESTAMP '1999-01-16' AND order_id < 2)
         {_NEWEST} LIMIT 20""",
+    "order_page_after_oldest": """SELECT * FROM (
+            SELECT order_id, order_number, CASE WHEN order_id % 10 <> 0 THEN created_at END AS created_at FROM x_orders)
+        WHERE created_at IS NULL OR created_at < (SELECT min(created_at) + INTERVAL 1 DAY FROM x_orders WHERE order_id % 10 <> 0)
+        ORDER BY created_at DESC NULLS LAST, order_id DESC LIMIT 60""",
+    "order_page_after_undated": """SELECT order_id, order_number, CAST(NULL AS TIMESTAMP) AS created_at FROM x_orders
+        WHERE order_id % 10 = 0 AND order_id < 5000 ORDER BY order_id DESC LIMIT 20""",
     "recent_five": f"""SELECT order_id, order_number, CAST(total_amount AS VARCHAR) AS total, upper(status) AS status
         FROM (SELECT * FROM x_orders {_NEWEST} LIMIT 5)""",
     "recent_orders": """SELECT o.order_id, o.order_number, CAST(o.total_amount AS DOUBLE) AS total_amount, o.status,
@@ -589,6 +601,36 @@ BODIES = {
         SELECT user_id, username, email, full_name, phone, role, is_active FROM x_users UNION ALL
         SELECT (SELECT max(user_id) FROM x_users) + row_number() OVER (ORDER BY event_id), username,
                concat('guest_', event_id, '@example.org'), concat('Guest ', k), NULL, 'customer', true FROM n""",
+    "insert_users_rejects": """WITH s AS (
+            SELECT event_id, concat('Visitor_', (event_id + k) // 2) AS username,
+                   CASE WHEN k % 13 <> 0 THEN concat('box', event_id // 2, '@x.org') END AS email FROM x_events),
+        clash AS (SELECT DISTINCT a.event_id AS earlier, b.event_id AS later FROM s a JOIN s b
+                  ON a.event_id < b.event_id AND a.username = b.username
+                  UNION SELECT a.event_id, b.event_id FROM s a JOIN s b ON a.event_id < b.event_id AND a.email = b.email),
+        settled AS (SELECT * FROM (WITH RECURSIVE rounds AS (
+            SELECT 0 AS turn, event_id, CASE WHEN event_id IN (SELECT later FROM clash) THEN 'open' ELSE 'in' END AS state
+            FROM s
+            UNION ALL
+            SELECT any_value(w.turn) + 1, w.event_id,
+                   CASE WHEN w.state <> 'open' THEN w.state WHEN bool_or(e.state = 'in') THEN 'out'
+                        WHEN bool_and(e.state = 'out') THEN 'in' ELSE 'open' END
+            FROM rounds w LEFT JOIN clash c ON c.later = w.event_id LEFT JOIN rounds e ON e.event_id = c.earlier
+            WHERE EXISTS (SELECT 1 FROM rounds o WHERE o.state = 'open')
+            GROUP BY w.event_id, w.state) SELECT * FROM rounds))
+        SELECT event_id AS request_id, username, email FROM s
+        WHERE event_id IN (SELECT event_id FROM settled WHERE state = 'out')""",
+    "insert_items": """SELECT * REPLACE (CAST(price AS DOUBLE) AS price) FROM x_menu UNION ALL
+        SELECT (SELECT max(item_id) FROM x_menu) + row_number() OVER (ORDER BY event_id),
+               CASE WHEN k % 6 > 0 THEN k % 6 END, concat('New dish ', k), CASE WHEN k % 3 = 1 THEN 'tasty' END,
+               CAST(k + 0.75 AS DOUBLE), CASE WHEN k % 4 <> 0 THEN '/img/new' END,
+               k % 5 <> 0 AND k % 2 = 0, true
+        FROM x_events WHERE event_type = 'click'""",
+    "insert_categories": """SELECT * FROM x_categories UNION ALL
+        SELECT CAST((SELECT max(category_id) FROM x_categories) + row_number() OVER (ORDER BY event_id) AS INT), category_name,
+               coalesce(is_active, true)
+        FROM x_asked_categories WHERE nth = 1 AND NOT stored""",
+    "insert_categories_rejects": """SELECT event_id AS request_id, category_name FROM x_asked_categories
+        WHERE nth > 1 OR stored""",
     "propagate_deletes_counts": """
         SELECT 'users' AS table_name, count(*) AS rows_left FROM x_users WHERE is_active UNION ALL
         SELECT 'categories', count(*) FROM x_categories WHERE is_active UNION ALL

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,6 +267,25 @@ def order_page_after(m, spark, folder):
     return page_after(m["orders"], datetime(1999, 1, 16), 2).select("order_id", "order_number", "created_at")
 
 
+def orders_partly_undated(m):
+    return m["orders"].withColumn("created_at", F.when(F.col("order_id") % 10 != 0, F.col("created_at")))
+
+
+@query
+def order_page_after_oldest(m, spark, folder):
+    """The page after the orders of all days but the oldest: the rest of the dated ones, then those without date."""
+    rows = orders_partly_undated(m)
+    oldest = rows.agg(F.min("created_at")).first()[0]
+    after = page_after(rows, oldest + timedelta(days=1), 0, 60)
+    return after.select("order_id", "order_number", "created_at")
+
+
+@query
+def order_page_after_undated(m, spark, folder):
+    """The page after an order without date."""
+    return page_after(orders_partly_undated(m), None, 5_000).select("order_id", "order_number", "created_at")
+
+
 @query
 def recent_five(m, spark, folder):
     rows = head(m["orders"], 5)
@@ -563,8 +582,8 @@ def category_changes(m, spark, folder):
     k = F.col("k")
     return e.filter("event_type = 'signup'").select(
         (k % 40).alias("category_id"),
-        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" Renamed "), k.cast("string"), F.lit(" ")))
-        .when(F.col("event_id") % 3 == 1, F.lit(" "))
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("\t Renamed "), k.cast("string"), F.lit("\u00a0")))
+        .when(F.col("event_id") % 3 == 1, F.lit(" \t\u00a0"))
         .alias("category_name"),
         F.when(F.col("event_id") % 4 == 0, k % 2 == 0).alias("is_active"),
         F.col("ts").alias("at"),
@@ -644,6 +663,71 @@ def insert_users(m, spark, folder):
     return inserted.state.select("user_id", "username", "email", "full_name", "phone", "role", "is_active")
 
 
+def shared_signups(m, spark, folder):
+    """Sign-ups that share names with some requests and addresses with others."""
+    e = base.events(spark, folder)
+    return e.select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("Visitor_"), F.floor((F.col("event_id") + F.col("k")) / 2).cast("string")).alias("username"),
+        F.when(F.col("k") % 13 != 0, F.concat(F.lit("box"), F.floor(F.col("event_id") / 2).cast("string"), F.lit("@x.org"))).alias("email"),
+        F.lit("").alias("full_name"),
+        F.lit("").alias("phone"),
+        F.lit("customer").alias("role"),
+        F.col("ts").alias("at"),
+    )
+
+
+@query
+def insert_users_rejects(m, spark, folder):
+    """Requests refused because an earlier one, accepted before, has their name or address."""
+    new = changes.new_users(shared_signups(m, spark, folder), F.col("at"))
+    inserted = changes.insert_rows(m["users"], new, "user_id", ["username", "email"], ["request_id"])
+    return inserted.rejected.select("request_id", "username", "email")
+
+
+@query
+def insert_items(m, spark, folder):
+    """Click events as added items; names of items may repeat."""
+    k = F.col("k")
+    asked = base.events(spark, folder).filter("event_type = 'click'").select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("New dish "), k.cast("string")).alias("item_name"),
+        (k % 6).cast("int").alias("category_id"),
+        F.when(k % 3 == 0, "").when(k % 3 == 1, "tasty").alias("description"),
+        (k + F.lit("0.75").cast("decimal(4,2)")).cast("decimal(10,2)").alias("price"),
+        F.when(k % 4 == 0, "").otherwise("/img/new").alias("image_url"),
+        F.when(k % 5 != 0, k % 2 == 0).alias("is_available"),
+        F.col("ts").alias("at"),
+    )
+    new = changes.new_items(asked, F.col("at"))
+    return changes.insert_rows(m["menu_items"], new, "item_id", [], ["request_id"]).state
+
+
+def asked_categories(spark, folder):
+    k = F.col("k")
+    return base.events(spark, folder).filter("event_type = 'signup'").select(
+        F.col("event_id").alias("request_id"),
+        F.when(k % 4 == 0, F.concat(F.lit("BRAND#"), (k % 60).cast("string")))
+        .otherwise(F.concat(F.lit("Season "), k.cast("string"))).alias("category_name"),
+        F.when(k % 3 != 0, k % 2 == 0).alias("is_active"),
+        F.col("ts").alias("at"),
+    )
+
+
+@query
+def insert_categories(m, spark, folder):
+    """Sign-up events as added categories: new names, stored ones in other case, and repeats."""
+    new = changes.new_categories(asked_categories(spark, folder), F.col("at"))
+    return changes.insert_rows(m["categories"], new, "category_id", ["category_name"], ["request_id"]).state
+
+
+@query
+def insert_categories_rejects(m, spark, folder):
+    new = changes.new_categories(asked_categories(spark, folder), F.col("at"))
+    inserted = changes.insert_rows(m["categories"], new, "category_id", ["category_name"], ["request_id"])
+    return inserted.rejected.select("request_id", "category_name")
+
+
 @query
 def propagate_deletes_counts(m, spark, folder):
     """Rows left in every table after deleting some users, orders, categories and items."""
