@@ -10,7 +10,7 @@ from tests.conftest import NOW, rows_of
 from tiffin.sources import store
 from tiffin.sources.events import drain, read_events, write_by_room
 from tiffin.sources.schemas import MESSAGES
-from tiffin.streaming import carts, connections, feeds, traffic, views
+from tiffin.streaming import carts, connections, feeds, ordered, traffic, views
 
 MENU = "item_id BIGINT, item_name STRING, price DECIMAL(10,2), is_active BOOLEAN"
 STATE = [(1, "one", D("1.00"), True), (2, "two", D("2.00"), False), (3, None, None, True)]
@@ -70,12 +70,12 @@ def test_menu_view(spark, style, seed):
 def test_menu_view_from_a_stream_in_batches(spark, tmp_path):
     events = sorted(menu_events(40, 9), key=lambda e: e[4])
     folder, source = str(tmp_path / "view"), str(tmp_path / "events")
-    store.publish({"menu": spark.createDataFrame(STATE, MENU)}, folder, 0)
+    views.start_view(spark.createDataFrame(STATE, MENU), folder, "menu", "item_id", 8)
     for part in range(0, 40, 10):
         spark.createDataFrame(events[part : part + 10], MESSAGES["menu_change"]).coalesce(1).write.mode("append").json(source)
     stream = read_events(spark, source, "menu_change", files_per_trigger=1)
     query = views.keep_view(
-        stream, folder, "menu", lambda s, b: views.merge_menu_events(s, b, "customer"), str(tmp_path / "cp")
+        stream, folder, "menu", lambda s, b: views.merge_menu_events(s, b, "customer"), str(tmp_path / "cp"), "item_id", 8
     )
     query.awaitTermination()
     assert store.latest_version(spark, folder) == 4
@@ -286,3 +286,15 @@ def test_activity_sessions(spark, tmp_path):
     spark.createDataFrame(rows, MESSAGES["connection"]).coalesce(1).write.json(source)
     got = drain(connections.activity_sessions(read_events(spark, source, "connection")), str(tmp_path / "out"))
     assert rows_of(got, "events") == [(1,), (2,)]
+
+
+@pytest.mark.parametrize("rows", [1, 10_000])
+def test_waiting_events_of_many_minutes_and_of_one(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr(ordered, "FOLD_ROWS", rows)
+    events = cart_events(60, 11) + [(100 + n, NOW + timedelta(minutes=4, milliseconds=n % 2), 1, "add", 2, None) for n in range(20)]
+    events.append((900, NOW + timedelta(minutes=14, seconds=1), 9, "add", 1, None))  # the watermark ends inside a minute
+    source = str(tmp_path / "events")
+    event_files(spark, events, "cart", source, 30)
+    stream = read_events(spark, source, "cart", files_per_trigger=1)
+    got = carts.newest_carts(drain(carts.cart_state(stream), str(tmp_path / "out"), "update"))
+    assert sorted(map(tuple, got.collect())) == expected_carts(due(events))

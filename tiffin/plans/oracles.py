@@ -852,6 +852,14 @@ BODIES |= {
 }
 
 
+# Queries that give the rows of another one in another way.
+BODIES |= {
+    "category_view_stream": BODIES["category_view"],
+    "cart_state_keyed": BODIES["cart_state_stream"],
+    "connection_stream_keyed": BODIES["connection_stream"],
+}
+
+
 def oracle(name: str) -> str:
     """The query text with the mapping views it uses, each view defined once."""
     body = BODIES[name]

@@ -26,6 +26,8 @@ SALES_DAY = date(1998, 10, 3)
 EMPTY_DAY = date(1990, 1, 1)
 AS_OF = datetime(1998, 10, 4, 12, 0, 0)
 ONE_USER = 7
+# Buckets of the views that streams keep.
+VIEW_BUCKETS = 8
 SOME_ORDERS = [1, 2, 3, 5, 8, 13, 999_999_999]
 
 
@@ -1098,7 +1100,7 @@ def cart_state_stream(m, spark, folder):
     """Carts after all events that are due, folded from the stream."""
     run = _run_folder(spark)
     events = base.cart_events(base.event_stream(spark, folder, run))
-    carts.keep_carts(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
+    carts.keep_carts(events, f"{run}/state", f"{run}/checkpoint", buckets=VIEW_BUCKETS).awaitTermination()
     return store.current(spark, f"{run}/state", "carts")
 
 
@@ -1107,7 +1109,7 @@ def connection_stream(m, spark, folder):
     """Sessions ended by events that are due, folded from the stream."""
     run = _run_folder(spark)
     events = base.connection_events(base.event_stream(spark, folder, run))
-    connections.keep_sessions(events, f"{run}/state", f"{run}/checkpoint").awaitTermination()
+    connections.keep_sessions(events, f"{run}/state", f"{run}/checkpoint", buckets=VIEW_BUCKETS).awaitTermination()
     return connections.ended_sessions(spark, f"{run}/state")
 
 
@@ -1115,13 +1117,15 @@ def connection_stream(m, spark, folder):
 def menu_view_stream(m, spark, folder):
     """The customers' menu, kept up to date from the stream of menu events."""
     run = _run_folder(spark)
-    store.publish({"menu": menu_state(m)}, f"{run}/state", 0)
+    views.start_view(menu_state(m), f"{run}/state", "menu", "item_id", VIEW_BUCKETS)
 
     def merge(state, batch):
         return views.merge_menu_events(state, batch, "customer")
 
     changes_df = base.menu_changes(base.event_stream(spark, folder, run))
-    views.keep_view(changes_df, f"{run}/state", "menu", merge, f"{run}/checkpoint").awaitTermination()
+    views.keep_view(
+        changes_df, f"{run}/state", "menu", merge, f"{run}/checkpoint", "item_id", VIEW_BUCKETS
+    ).awaitTermination()
     return store.current(spark, f"{run}/state", "menu")
 
 
@@ -1133,18 +1137,48 @@ def new_order_stream(m, spark, folder):
     return drain(stream.select("order_id"), run)
 
 
+@query
+def category_view_stream(m, spark, folder):
+    """The categories, kept up to date from the stream of category events."""
+    run = _run_folder(spark)
+    views.start_view(m["categories"], f"{run}/state", "categories", "category_id", VIEW_BUCKETS)
+    messages = base.category_messages(base.event_stream(spark, folder, run))
+    merge = views.merge_category_events
+    views.keep_view(
+        messages, f"{run}/state", "categories", merge, f"{run}/checkpoint", "category_id", VIEW_BUCKETS
+    ).awaitTermination()
+    return store.current(spark, f"{run}/state", "categories")
+
+
+@query
+def cart_state_keyed(m, spark, folder):
+    """Carts of the events that are due, followed per user in the state store."""
+    run = _run_folder(spark)
+    events = base.cart_events(base.event_stream(spark, folder, run))
+    return carts.newest_carts(drain(carts.cart_state(events), run, "update"))
+
+
+@query
+def connection_stream_keyed(m, spark, folder):
+    """Sessions ended by events that are due, followed per user in the state store."""
+    run = _run_folder(spark)
+    return drain(connections.connection_stream(base.connection_events(base.event_stream(spark, folder, run))), run)
+
+
 @query
 def order_feed_stream(m, spark, folder):
     """The customers' order list, kept up to date from the stream of updates."""
     run = _run_folder(spark)
     state = m["orders"].select("order_id", "order_number", "status", "payment_status", "created_at")
-    store.publish({"orders": state}, f"{run}/state", 0)
+    views.start_view(state, f"{run}/state", "orders", "order_id", VIEW_BUCKETS)
 
     def merge(orders_df, batch):
         return views.merge_order_updates(orders_df, batch, "customer")
 
     updates = order_changes_of(base.event_stream(spark, folder, run))
-    views.keep_view(updates, f"{run}/state", "orders", merge, f"{run}/checkpoint").awaitTermination()
+    views.keep_view(
+        updates, f"{run}/state", "orders", merge, f"{run}/checkpoint", "order_id", VIEW_BUCKETS
+    ).awaitTermination()
     return store.current(spark, f"{run}/state", "orders")
 
 

@@ -4,17 +4,44 @@
 one row per table to the version log. Readers resolve the log once, so they see all
 tables of a version or none. Every attempt has a folder of its own and the last one logged
 counts: a replayed batch gives the same state, and readers keep the files they opened.
+
+A table published in buckets of its key has one log row per bucket, and a version writes only those it
+changes: readers take the newest of each, as many folders as there are buckets at most.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+LOG_SCHEMA = "version BIGINT, table STRING, path STRING, attempt BIGINT, bucket INT, kind STRING"
+#: Buckets of a table that is published in buckets.
+BUCKETS = 64
+
+
+class Buckets(NamedTuple):
+    """All rows of the buckets ``touched`` of a table (None: of all of its ``count`` buckets of ``key``)."""
+
+    rows: DataFrame
+    key: str
+    touched: list[int] | None = None
+    count: int = BUCKETS
 
-LOG_SCHEMA = "version BIGINT, table STRING, path STRING, attempt BIGINT"
+
+def bucket_of(key: str, count: int = BUCKETS) -> Column:
+    """The bucket of a row; the key's type doesn't matter, only how it is written."""
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(count)).cast("int")
+
+
+def touched(rows: DataFrame, key: str, count: int = BUCKETS) -> list[int]:
+    """The buckets that have ``rows``, at most ``count``."""
+    return sorted(row[0] for row in rows.select(bucket_of(key, count)).distinct().collect())
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -33,7 +60,7 @@ def table_paths(spark: SparkSession, folder: str, version: int | None = None) ->
         return {}
     if version is not None:
         log = log.filter(F.col("version") <= version)
-    newest = log.groupBy("table").agg(F.max_by("path", F.struct("version", "attempt")).alias("path"))
+    newest = log.filter("bucket IS NULL").groupBy("table").agg(F.max_by("path", F.struct("version", "attempt")).alias("path"))
     return {row["table"]: row["path"] for row in newest.collect()}
 
 
@@ -42,9 +69,23 @@ def latest_version(spark: SparkSession, folder: str) -> int | None:
     return None if log is None else log.agg(F.max("version")).first()[0]
 
 
-def publish(tables: dict[str, DataFrame], folder: str, version: int) -> None:
-    """Write the tables as one version and switch readers to it."""
-    spark = next(iter(tables.values())).sparkSession
+def _write_buckets(table: Buckets, path: str) -> dict[int, str | None]:
+    """Write the rows below ``path``; the folder of each touched bucket, None where it has no rows left."""
+    rows = table.rows.withColumn("_bucket", bucket_of(table.key, table.count))
+    # A small bucket becomes one file, a large one several.
+    rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(path)
+    written = table.rows.sparkSession.read.schema(rows.schema).parquet(path).select("_bucket").distinct().collect()
+    filled = {row[0] for row in written}
+    return {
+        n: f"{path}/_bucket={n}" if n in filled else None
+        for n in (range(table.count) if table.touched is None else table.touched)
+    }
+
+
+def publish(tables: dict[str, DataFrame | Buckets], folder: str, version: int) -> None:
+    """Write the tables as one version and switch readers to it. ``Buckets`` replace only the buckets they touch."""
+    first = next(iter(tables.values()))
+    spark = (first.rows if isinstance(first, Buckets) else first).sparkSession
     newest = latest_version(spark, folder)
     if newest is not None and newest > version:
         raise ValueError(f"version {version} is older than the published version {newest}")
@@ -55,15 +96,38 @@ def publish(tables: dict[str, DataFrame], folder: str, version: int) -> None:
     rows = []
     for name, df in tables.items():
         path = f"{folder}/v={version}/{run}/{name}"
-        df.write.parquet(path)
-        rows.append((version, name, path, attempt))
+        if isinstance(df, Buckets):
+            kind = df.rows.schema.json()
+            rows += [(version, name, place, attempt, n, kind) for n, place in _write_buckets(df, path).items()]
+        else:
+            df.write.parquet(path)
+            rows.append((version, name, path, attempt, None, None))
     spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(f"{folder}/_versions")
 
 
 def current(spark: SparkSession, folder: str, table: str, version: int | None = None) -> DataFrame | None:
     """The table as last published (up to ``version``), or None."""
     path = table_paths(spark, folder, version).get(table)
-    return None if path is None else spark.read.parquet(path)
+    return in_buckets(spark, folder, table, version) if path is None else spark.read.parquet(path)
+
+
+def in_buckets(
+    spark: SparkSession, folder: str, table: str, version: int | None = None, only: list[int] | None = None
+) -> DataFrame | None:
+    """The table as last published in buckets (up to ``version``), all or ``only`` some of them; None if it never was."""
+    log = _log(spark, folder)
+    if log is None:
+        return None
+    log = log.filter((F.col("table") == table) & F.col("bucket").isNotNull())
+    if version is not None:
+        log = log.filter(F.col("version") <= version)
+    last = F.max_by(F.struct("path", "kind"), F.struct("version", "attempt")).alias("last")
+    newest = {row["bucket"]: row["last"] for row in log.groupBy("bucket").agg(last).collect()}
+    if not newest:
+        return None
+    schema = StructType.fromJson(json.loads(next(iter(newest.values()))["kind"]))
+    paths = [row["path"] for n, row in newest.items() if row["path"] and (only is None or n in only)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def all_versions(spark: SparkSession, folder: str, table: str) -> DataFrame:

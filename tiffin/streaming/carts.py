@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tiffin.operators.quality import check_cart_messages, split
+from tiffin.sources.store import BUCKETS
 from tiffin.streaming.folds import fold_in_order
 from tiffin.streaming.ordered import OrderedProcessor
 
@@ -88,13 +89,15 @@ def priced_cart(lines: DataFrame, menu_items: DataFrame) -> DataFrame:
     return lines.join(menu_items.select("item_id", "price"), "item_id")
 
 
-def keep_carts(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Stream of cart events folded into the published table ``carts``."""
+def keep_carts(
+    events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", buckets: int = BUCKETS
+) -> StreamingQuery:
+    """Stream of cart events folded into the table ``carts``, published in buckets of users."""
 
     def fold(state: dict[str, DataFrame], due: DataFrame) -> dict[str, DataFrame]:
         return {"carts": cart_lines(due, state.get("carts"))}
 
-    return fold_in_order(events, folder, fold, checkpoint, delay)
+    return fold_in_order(events, folder, fold, checkpoint, delay, keyed={"carts": "user_id"}, buckets=buckets)
 
 
 class CartProcessor(OrderedProcessor):

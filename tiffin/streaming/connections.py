@@ -48,8 +48,10 @@ def connection_sessions(events: DataFrame) -> DataFrame:
     return ending.unionByName(live)
 
 
-def keep_sessions(events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Stream of connection events folded into the published tables ``open`` and ``ended``.
+def keep_sessions(
+    events: DataFrame, folder: str, checkpoint: str, delay: str = "10 minutes", buckets: int = store.BUCKETS
+) -> StreamingQuery:
+    """Stream of connection events folded into the published tables ``open``, in buckets of users, and ``ended``.
 
     Every version of ``ended`` holds the sessions that its micro-batch ended;
     ``ended_sessions`` reads them all.
@@ -66,7 +68,7 @@ def keep_sessions(events: DataFrame, folder: str, checkpoint: str, delay: str =
         sessions = connection_sessions(steps).filter("state <> 'live'")
         return {"open": still_open.select("event_id", "ts", "user_id", "action"), "ended": sessions}
 
-    return fold_in_order(events, folder, fold, checkpoint, delay)
+    return fold_in_order(events, folder, fold, checkpoint, delay, keyed={"open": "user_id"}, buckets=buckets)
 
 
 def ended_sessions(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,20 +8,29 @@ import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Milliseconds of event time that are read and written together.
+BUCKET_MS = 60_000
+#: Events that are folded together, or one bucket's if it has more.
+FOLD_ROWS = 10_000
+
+
 class OrderedProcessor(StatefulProcessor):
     """Holds events back until the watermark has passed them, then folds them in order.
 
     A subclass names the event columns in ``waiting_schema`` (with ts and event_id)
-    and folds released events in ``fold``. The buffer of a key is bounded by what
-    arrives for it within the watermark delay and lives in the state store.
+    and folds released events in ``fold``. The state store holds the events of a key in a map by minutes of their time:
+    arriving events read and write the minutes they fall into, and a timer reads the minutes that are due, one after the
+    other. So a task holds FOLD_ROWS events or one minute of a key at a time, however much the key holds back.
+    Events without time are never due and are not kept.
     """
 
     waiting_schema = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_schema)
         kinds = dict(part.split() for part in self.waiting_schema.split(","))
+        fields = ", ".join(f"{name}: {kind}" for name, kind in kinds.items())
+        self.waiting = handle.getMapState("waiting", "ms bigint", f"events array<struct<{fields}>>")
         self.columns = list(kinds)
         # A column with missing values arrives as floats; state rows need whole numbers.
         self.whole = {name: "Int64" for name, kind in kinds.items() if kind in ("int", "bigint")}
@@ -33,13 +42,26 @@ class OrderedProcessor(StatefulProcessor):
     def fold(self, key, events: pd.DataFrame) -> pd.DataFrame | None:
         raise NotImplementedError
 
+    def _frame(self, events) -> pd.DataFrame:
+        frame = pd.DataFrame([tuple(event) for event in events], columns=self.columns)
+        frame["ts"] = pd.to_datetime(frame["ts"]).dt.tz_localize(None)
+        return frame
+
     def _wake_at(self, ts: pd.Timestamp) -> None:
         self.handle.registerTimer(ts.value // 1_000_000 + 1)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         oldest = None
         for frame in rows:
-            self.waiting.appendList(self._rows(frame))
+            frame = frame[frame["ts"].notna()]
+            if frame.empty:
+                continue
+            times = pd.DatetimeIndex(frame["ts"]).as_unit("ns").asi8 // (1_000_000 * BUCKET_MS)
+            for bucket, part in frame.groupby(times):
+                place, events = (int(bucket),), self._rows(part)
+                if self.waiting.containsKey(place):
+                    events = [*map(tuple, self.waiting.getValue(place)[0]), *events]
+                self.waiting.updateValue(place, (events,))
             first = frame["ts"].min()
             oldest = first if oldest is None else min(oldest, first)
         if oldest is not None:
@@ -47,24 +69,33 @@ class OrderedProcessor(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._release(key, timerValues)
-
-    def _release(self, key, timerValues) -> Iterator[pd.DataFrame]:
         watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        if not self.waiting.exists():
-            return
-        held = pd.DataFrame(list(self.waiting.get()), columns=self.columns)
-        held["ts"] = pd.to_datetime(held["ts"]).dt.tz_localize(None)
-        due = held["ts"] <= watermark
-        if not due.any():
+        last = watermark.value // (1_000_000 * BUCKET_MS)
+        places = sorted(place[0] for place in self.waiting.keys())
+        later = [place for place in places if place > last]
+        held: list[pd.DataFrame] = []
+        for place in places[: len(places) - len(later)]:
+            events = self._frame(self.waiting.getValue((place,))[0])
+            due = events["ts"] <= watermark
+            if due.all():
+                self.waiting.removeKey((place,))
+            else:  # the minute that the watermark is in
+                self.waiting.updateValue((place,), (self._rows(events[~due]),))
+                self._wake_at(events["ts"][~due].min())
+                later = []
+            held.append(events[due])
+            if sum(map(len, held)) >= FOLD_ROWS:
+                yield from self._folded(key, held)
+                held = []
+        if later:
+            self.handle.registerTimer(later[0] * BUCKET_MS + 1)
+        yield from self._folded(key, held)
+
+    def _folded(self, key, held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        due = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
+        if due.empty:
             return
-        rest = held[~due]
-        if rest.empty:
-            self.waiting.clear()
-        else:
-            self.waiting.put(self._rows(rest))
-            self._wake_at(rest["ts"].min())
-        result = self.fold(key, held[due].sort_values(["ts", "event_id"]))
+        result = self.fold(key, due.sort_values(["ts", "event_id"]))
         if result is not None and not result.empty:
             yield result
 

@@ -153,25 +153,34 @@ def merge_order_updates(state: DataFrame, events: DataFrame, style: str) -> Data
     return state.join(new, "order_id", "left").withColumns(columns).select(*state.columns)
 
 
+def start_view(state: DataFrame, folder: str, table: str, key: str, buckets: int = store.BUCKETS) -> None:
+    """Publish the state that ``keep_view`` starts from."""
+    store.publish({table: store.Buckets(state, key, None, buckets)}, folder, 0)
+
+
 def keep_view(
     stream: DataFrame,
     folder: str,
     table: str,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     checkpoint: str,
+    key: str,
+    buckets: int = store.BUCKETS,
 ) -> StreamingQuery:
-    """Fold a stream into a published table, one version per micro-batch.
+    """Fold a stream into a table published in buckets of its key, one version per micro-batch.
 
-    Version 0 holds the state to start from. A replayed batch reads the version
-    before it again and replaces its own.
+    Version 0 holds the state to start from (``start_view``). A micro-batch reads and writes only the buckets that its
+    keys are in. A replayed one reads the version before it again and replaces its own. ``merge`` may
+    change rows of the batch's keys only.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        state = store.current(spark, folder, table, version=batch_id)
         batch.persist()
         try:
-            store.publish({table: merge(state, batch)}, folder, batch_id + 1)
+            hit = store.touched(batch, key, buckets)
+            state = store.in_buckets(spark, folder, table, batch_id, hit)
+            store.publish({table: store.Buckets(merge(state, batch), key, hit, buckets)}, folder, batch_id + 1)
         finally:
             batch.unpersist()
 
