@@ -9,7 +9,7 @@ from tiffin.plans.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 # Streams and published batches: what they return only reads what they wrote.
-WRITTEN = [name for name in QUERIES if name.endswith("_stream") or name.startswith("place_orders_")]
+WRITTEN = [name for name in QUERIES if name.endswith(("_stream", "_keyed")) or name.startswith("place_orders_")]
 
 
 @pytest.fixture
@@ -65,3 +65,13 @@ def test_scans_read_only_needed_columns(plan):
 
 def test_single_distinct_is_not_expanded(plan):
     assert "Expand" not in plan("daily_sales") and "Expand" not in plan("top_selling")
+
+
+def test_constraints_share_scans_and_shuffles(spark):
+    """Each table is read once for its rules and keys, and once more if it has names; keys and names take a shuffle each."""
+    df = QUERIES["constraint_report"](spark, FOLDER)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    text = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert text.count("FileScan parquet") <= 8 + 1  # categories come out of the items, and are made distinct
+    assert len(re.findall(r"Exchange hashpartitioning\((owner|place)#\d+, (number|name)#", text)) == 2

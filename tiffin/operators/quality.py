@@ -6,6 +6,8 @@ A check adds ``errors``, an array of (field, message) with every broken rule.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -261,44 +263,99 @@ def _row_rules(table: str, columns: list[str]) -> dict[str, Column]:
     return {name: rule for name, rule in rules.items() if name.split(" ")[-1] in columns}
 
 
-def _row_report(table: str, df: DataFrame) -> DataFrame:
-    """All row rules of a table in one pass."""
-    rules = _row_rules(table, df.columns)
-    counted = df.agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
-    return counted.unpivot([], list(rules), "rule", "violations").withColumn("table_name", F.lit(table))
+def _entries(df: DataFrame, entries: list[Column]) -> DataFrame:
+    """The entries of every row, NULL ones left out."""
+    return df.select(F.inline(F.array_compact(F.array(*entries))))
 
 
-def _unique_report(table: str, df: DataFrame, column: str) -> DataFrame:
-    """Rows beyond the first of each value."""
-    value = name_key(F.col(column)) if column in COLLATED else F.col(column)
-    groups = df.filter(F.col(column).isNotNull()).groupBy(value.alias("_value")).agg(F.count("*").alias("_rows"))
-    return groups.agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).alias("violations")).withColumns(
-        {"rule": F.lit(f"unique {column}"), "table_name": F.lit(table)}
+def _numbers(model: Mapping[str, DataFrame], rules: list[tuple]) -> DataFrame:
+    """(owner, violations) of the row rules, unique numbers and foreign keys.
+
+    Every table is read once. A row gives an entry per key it has or refers to, under the table that the key is of, and one
+    per row rule it breaks. All entries are counted by owner and key in one shuffle, after partial counts, so a
+    busy key is one row per task: a key that occurs more than once in its own table is not unique, and all that refer to one
+    that doesn't occur there are without parent.
+    """
+    parents = {table: n for n, table in enumerate(model)}
+    links = [rule for rule in rules if rule[2] == "foreign key"]
+    tables = []
+    for table, df in model.items():
+        entries = []
+
+        def entry(group: int, number: Column, role: int, when: Column) -> Column:
+            return F.when(
+                when, F.struct(F.lit(group).alias("owner"), number.cast("bigint").alias("number"), F.lit(role).alias("role"))
+            )
+
+        for place, (of, name, kind, column) in enumerate(rules):
+            if of != table:
+                continue
+            if kind == "unique" and column not in COLLATED:
+                entries.append(entry(parents[table], F.col(column), 0, F.col(column).isNotNull()))
+            elif kind == "foreign key":
+                parent = next(p for t, c, p in FOREIGN_KEYS if (t, c) == (table, column))
+                role = links.index((of, name, kind, column)) + 1
+                entries.append(entry(parents[parent], F.col(column), role, F.col(column).isNotNull()))
+            elif kind == "row":
+                broken = F.coalesce(_row_rules(table, df.columns)[name], F.lit(False))
+                entries.append(entry(len(model) + place, F.lit(None), 0, broken))
+        tables.append(_entries(df, entries))
+    counted = reduce(DataFrame.unionByName, tables).groupBy("owner", "number").agg(
+        F.count_if(F.col("role") == 0).alias("own"),
+        *[F.count_if(F.col("role") == n + 1).alias(f"link{n}") for n in range(len(links))],
     )
+    orphans = [F.sum(F.when(F.col("own") == 0, F.col(f"link{n}"))) for n in range(len(links))]
+    beyond = F.sum(F.when(F.col("own") > 1, F.col("own") - 1))
+    broken = F.sum(F.when(F.col("number").isNull(), F.col("own")))
+    return counted.groupBy("owner").agg(F.array(broken, beyond, *orphans).alias("counts"))
 
 
-def _foreign_key_report(table: str, df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """Rows without parent. Rows are counted per key before the join, so a hot key is one row."""
-    groups = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_rows"))
-    orphans = groups.join(parent.select(column), column, "left_anti")
-    return orphans.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("violations")).withColumns(
-        {"rule": F.lit(f"foreign key {column}"), "table_name": F.lit(table)}
-    )
+def _names(model: Mapping[str, DataFrame], rules: list[tuple]) -> DataFrame:
+    """(place, violations) of the unique names: rows beyond the first of each. Tables with names are read once more."""
+    tables = []
+    for table, df in model.items():
+        own = [
+            (place, column)
+            for place, (of, _, kind, column) in enumerate(rules)
+            if of == table and kind == "unique" and column in COLLATED
+        ]
+        entries = [
+            F.when(F.col(c).isNotNull(), F.struct(F.lit(place).alias("place"), name_key(F.col(c)).alias("name")))
+            for place, c in own
+        ]
+        if entries:
+            tables.append(_entries(df, entries))
+    counted = reduce(DataFrame.unionByName, tables).groupBy("place", "name").agg(F.count("*").alias("own"))
+    return counted.groupBy("place").agg(F.sum(F.col("own") - 1).alias("beyond"))
 
 
-def constraint_report(model: dict[str, DataFrame]) -> DataFrame:
-    """Number of violations of every declared constraint."""
-    reports = []
+def constraint_report(model: Mapping[str, DataFrame]) -> DataFrame:
+    """Number of violations of every declared constraint: rows that break a rule, rows beyond the first of a key or name, and
+    rows without parent. One shuffle counts all keys, one all names; the rest is a row per rule."""
+    model = dict(model)
+    rules = []  # table, rule, kind, column
     for table, df in model.items():
-        reports.append(_row_report(table, df))
-        reports += [_unique_report(table, df, c) for c in UNIQUE[table]]
-    for table, column, parent in FOREIGN_KEYS:
-        if table in model and parent in model:
-            reports.append(_foreign_key_report(table, model[table], column, model[parent]))
-    result = reports[0].select("table_name", "rule", "violations")
-    for report in reports[1:]:
-        result = result.unionByName(report.select("table_name", "rule", "violations"))
-    return result
+        rules += [(table, name, "row", None) for name in _row_rules(table, df.columns)]
+        rules += [(table, f"unique {c}", "unique", c) for c in UNIQUE[table]]
+    links = [(t, f"foreign key {c}", "foreign key", c) for t, c, p in FOREIGN_KEYS if t in model and p in model]
+    rules += links
+    parents = {table: n for n, table in enumerate(model)}
+    listed = []
+    for place, (table, name, kind, column) in enumerate(rules):
+        if kind == "row":
+            listed.append((table, name, place, len(model) + place, 0))
+        elif kind == "unique":
+            listed.append((table, name, place, None if column in COLLATED else parents[table], 1))
+        else:
+            parent = next(p for t, c, p in FOREIGN_KEYS if (t, c) == (table, column))
+            listed.append((table, name, place, parents[parent], 2 + links.index((table, name, kind, column))))
+    spark = next(iter(model.values())).sparkSession
+    known = spark.createDataFrame(listed, "table_name STRING, rule STRING, place INT, owner INT, at INT")
+    # One row per rule, group or name rule on each side.
+    found = known.join(F.broadcast(_numbers(model, rules)), "owner", "left")
+    found = found.join(F.broadcast(_names(model, rules)), "place", "left")
+    violations = F.coalesce(F.col("counts")[F.col("at")], F.col("beyond"), F.lit(0))
+    return found.select("table_name", "rule", violations.cast("bigint").alias("violations"))
 
 
 def constraint_quarantine(table: str, df: DataFrame) -> Split:

@@ -205,7 +205,7 @@ VIEWS = {
     "x_metrics": """
         SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, method, path, count(*) AS requests,
                count(*) FILTER (WHERE status >= 400) AS errors,
-               CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean_ms
+               CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean_ms, quantile_disc(duration_ms, 0.95) AS p95_ms
         FROM x_requests GROUP BY ALL""",
 }
 
@@ -852,6 +852,39 @@ BODIES |= {
 }
 
 
+def _audited(entity: str, key: str, old: str, new: str, fields: str) -> str:
+    """One row per field of a row of ``old`` that ``new`` has otherwise."""
+    parts = [
+        f"""SELECT 'update' AS action, CAST(o.{key} AS BIGINT) AS entity_id, '{f}' AS field,
+                   CAST(o.{f} AS VARCHAR) AS old_value, CAST(n.{f} AS VARCHAR) AS new_value
+            FROM ({old}) o JOIN ({new}) n ON n.{key} = o.{key} WHERE o.{f} IS DISTINCT FROM n.{f}"""
+        for f in fields.split()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+_ITEM_FIELDS = "category_id item_name description price is_available"
+_TWO_DIGITS = "SELECT * REPLACE (CAST(price AS DECIMAL(10,2)) AS price) FROM"
+BODIES |= {
+    "audit_of_order_updates": _audited(
+        "order", "order_id", "SELECT * FROM x_orders", BODIES["apply_order_updates"], "status payment_status"
+    ),
+    "audit_of_item_updates": _audited(
+        "menu_item", "item_id", f"{_TWO_DIGITS} x_menu", f"{_TWO_DIGITS} ({BODIES['update_items']})", _ITEM_FIELDS
+    ),
+    "audit_of_category_changes": _audited(
+        "menu_item", "item_id", "SELECT * FROM x_menu", BODIES["category_cascade"], "is_active is_available"
+    )
+    + " UNION ALL "
+    + _audited(
+        "category", "category_id", "SELECT * FROM x_categories", BODIES["category_changes_applied"], "category_name is_active"
+    ),
+    "request_metrics_daily": """SELECT date_trunc('day', ts) AS window_start, method, count(*) AS requests,
+               count(*) FILTER (WHERE status >= 400) AS errors,
+               CAST(sum(duration_ms) AS DOUBLE) / count(*) AS mean_ms, quantile_disc(duration_ms, 0.95) AS p95_ms
+        FROM x_requests GROUP BY ALL""",
+}
+
 # Queries that give the rows of another one in another way.
 BODIES |= {
     "category_view_stream": BODIES["category_view"],

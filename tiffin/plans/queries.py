@@ -938,6 +938,32 @@ def audit_changes(m, spark, folder):
     return audit.audit_changes(base.audit_rows(spark, folder)).drop("action", "entity_type")
 
 
+def changed_fields(before, after, key, entity, spark):
+    """What the audit rows of a change from ``before`` to ``after`` say, field by field."""
+    rows = audit.capture(before, after, key, entity, F.lit(AS_OF), ONE_USER)
+    return audit.audit_changes(rows).select("action", "entity_id", "field", "old_value", "new_value")
+
+
+@query
+def audit_of_order_updates(m, spark, folder):
+    after = changes.apply_order_updates(m["orders"], order_changes(m, spark, folder)).state
+    kept = m["orders"].drop("updated_at")
+    return changed_fields(kept, after.drop("updated_at"), "order_id", "order", spark)
+
+
+@query
+def audit_of_item_updates(m, spark, folder):
+    after = changes.update_items(m["menu_items"], item_changes(m, spark, folder)).state
+    return changed_fields(m["menu_items"], after, "item_id", "menu_item", spark)
+
+
+@query
+def audit_of_category_changes(m, spark, folder):
+    changed = changes.apply_category_changes(m["categories"], m["menu_items"], category_changes(m, spark, folder))
+    items = changed_fields(m["menu_items"], changed.menu_items, "item_id", "menu_item", spark)
+    return items.unionByName(changed_fields(m["categories"], changed.categories, "category_id", "category", spark))
+
+
 @query
 def cart_activity(m, spark, folder):
     return carts.cart_activity(base.cart_payloads(base.events(spark, folder)), m["users"])
@@ -1050,8 +1076,14 @@ def client_windows(m, spark, folder):
 
 @query
 def request_metrics_batch(m, spark, folder):
-    """Exact figures only; the percentile is an estimate."""
-    return traffic.request_metrics(base.request_log(base.events(spark, folder))).drop("p95_ms")
+    return traffic.request_metrics(base.request_log(base.events(spark, folder)))
+
+
+@query
+def request_metrics_daily(m, spark, folder):
+    """Figures per day and method, merged from the sketches of all routes and quarters of an hour."""
+    sketches = traffic.request_sketches(base.request_log(base.events(spark, folder)))
+    return traffic.request_figures(traffic.rolled_up(sketches, "day", ("method",)))
 
 
 @query
@@ -1084,7 +1116,7 @@ def rate_violations_stream(m, spark, folder):
 @query
 def request_metrics_stream(m, spark, folder):
     run = _run_folder(spark)
-    stream = traffic.request_metrics(base.request_log(base.event_stream(spark, folder, run))).drop("p95_ms")
+    stream = traffic.request_metrics(base.request_log(base.event_stream(spark, folder, run)))
     return drain(stream, run)
 
 
