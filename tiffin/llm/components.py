@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.llm.common import pinned
 
 
+CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
+
+
+@contextmanager
+def _no_constraints(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside carry no constraints. A checkpoint keeps those of its plan, and each round would infer more from
+    them (twice as many a round, until the driver's memory ends). The ends of links are not null, so nothing is lost."""
+    before = spark.conf.get(CONSTRAINTS)
+    spark.conf.set(CONSTRAINTS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(CONSTRAINTS, before)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a, b). Large: every larger neighbour of a vertex moves to the smallest
     neighbour or the vertex itself; small: the vertex and its smaller neighbours move to the smallest of them."""
@@ -39,11 +57,12 @@ def components(links: DataFrame) -> DataFrame:
     of rounds grows with the logarithm of the longest path; every round reads what the last one wrote.
     """
     edges = pinned(links.select("a", "b").filter("a <> b").distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = _star(_star(edges, True), False)
-        last, state = state, _state(edges)
-        if state == last:
-            break
-    tips = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return pinned(tips.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
+    with _no_constraints(links.sparkSession):
+        state = _state(edges)
+        while state[0]:
+            edges = _star(_star(edges, True), False)
+            last, state = state, _state(edges)
+            if state == last:
+                break
+        tips = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        return pinned(tips.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
