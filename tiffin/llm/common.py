@@ -26,6 +26,13 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``pinned``, as Parquet files: later plans know their real size, and read the columns they need."""
+    folder = new_folder(df.sparkSession, "written")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one run, below the shared checkpoint folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,28 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import pinned
-
-
-CONSTRAINTS = "spark.sql.constraintPropagation.enabled"
-
-
-@contextmanager
-def _no_constraints(spark: SparkSession) -> Iterator[None]:
-    """Plans made inside carry no constraints. A checkpoint keeps those of its plan, and each round would infer more from
-    them (twice as many a round, until the driver's memory ends). The ends of links are not null, so nothing is lost."""
-    before = spark.conf.get(CONSTRAINTS)
-    spark.conf.set(CONSTRAINTS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(CONSTRAINTS, before)
+from tiffin.llm.common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,7 +16,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     # The counts go out before the shuffle, and are read back so that a busy vertex can be split in the join.
-    least = pinned(out.groupBy("a").agg(F.min("b").alias("_low")))
+    least = written(out.groupBy("a").agg(F.min("b").alias("_low")))
     least = least.select(F.col("a").alias("_a"), F.least("a", "_low").alias("_low"))
     joined = out.join(least, F.col("a") == F.col("_a"))
     if large:
@@ -43,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.select(F.col("b").alias("a"), F.col("_low").alias("b")).unionByName(
             least.select(F.col("_a").alias("a"), F.col("_low").alias("b"))
         )
-    return pinned(moved.filter("a <> b").distinct())
+    return written(moved.filter("a <> b").distinct())
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -54,15 +36,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in ``links`` (a, b): the smallest id reachable. Other ids are not listed.
 
     Both ends have one orderable type; links with a null end and of an id with itself are left out. The number
-    of rounds grows with the logarithm of the longest path; every round reads what the last one wrote.
+    of rounds grows with the logarithm of the longest path; every round reads what the last one wrote. The rounds are
+    written as files and not as checkpoints, which keep the estimated size of their plan: a join's is the product of
+    its sides', so its digits would double with every star until the driver's memory ends.
     """
-    edges = pinned(links.select("a", "b").filter("a <> b").distinct())
-    with _no_constraints(links.sparkSession):
-        state = _state(edges)
-        while state[0]:
-            edges = _star(_star(edges, True), False)
-            last, state = state, _state(edges)
-            if state == last:
-                break
-        tips = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        return pinned(tips.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
+    edges = written(links.select("a", "b").filter("a <> b").distinct())
+    state = _state(edges)
+    while state[0]:
+        edges = _star(_star(edges, True), False)
+        last, state = state, _state(edges)
+        if state == last:
+            break
+    tips = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return written(tips.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())

@@ -40,14 +40,27 @@ _U64 = np.dtype("<u8")
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _rolled(codes: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial in _K of each run of ``size`` codes, from those of half the length."""
+    if len(codes) < size:
+        return np.zeros(0, np.uint64)
+    out, width, power = codes, 1, _K
+    with np.errstate(over="ignore"):
+        for bit in f"{size:b}"[1:]:
+            out = out[:-width] * power + out[width:]
+            width, power = 2 * width, power * power
+            if bit == "1":
+                out = out[:-1] * _K + codes[width:]
+                width, power = width + 1, power * _K
+    return out
+
+
 def char_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of ``size`` characters of each text (of all, if it has fewer), and the text of each."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     codes = mix(codes + _K)
-    rolled = np.zeros(max(0, len(codes) - size + 1), np.uint64)
-    for k in range(size):
-        rolled = rolled * _K + codes[k : len(codes) - size + 1 + k]
+    rolled = _rolled(codes, size)
     begin = np.cumsum(lengths) - lengths
     counts = np.maximum(lengths - size + 1, 0)
     first = np.cumsum(counts) - counts
@@ -90,20 +103,29 @@ def line_names(lines: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(line.encode(), 42) for line in lines), np.uint64, len(lines))
 
 
-def sketches(lines: list[str], size: int) -> pd.DataFrame:
-    """Number of different shingles of each line, and its parity sketch: each shingle flips one bit."""
-    hashes, owner = char_shingles(lines, size)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
+def char_sets(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles of each text in order, one text after the other, and where each text's begin."""
+    hashes, owner = char_shingles(texts, size)
+    if len(owner) and (np.diff(owner) < 0).any():
+        order = np.argsort(owner, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        hashes[begin:end].sort()
     new = np.ones(len(owner), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
+    return hashes[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def sketches(lines: list[str], size: int) -> pd.DataFrame:
+    """Number of different shingles of each line, and its parity sketch: each shingle flips one bit."""
+    hashes, at = char_sets(lines, size)
+    owner = np.repeat(np.arange(len(lines)), np.diff(at))
     wide = 64 * PARITY_LONGS
     bits = (mix(hashes + np.uint64(1)) % np.uint64(wide)).astype(np.int64)
     flips = (np.bincount(owner * wide + bits, minlength=len(lines) * wide) & 1).astype(np.uint8)
     parity = np.packbits(flips.reshape(len(lines), wide), axis=1, bitorder="little").view("<i8")
-    counts = np.bincount(owner, minlength=len(lines)).astype(np.int64)
-    return pd.DataFrame({"size": counts} | {name: parity[:, n] for n, name in enumerate(PARITY)})
+    return pd.DataFrame({"size": np.diff(at)} | {name: parity[:, n] for n, name in enumerate(PARITY)})
 
 
 def _different(bands: np.ndarray, lines: np.ndarray):
@@ -161,10 +183,8 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
 def alike(left: list[str], right: list[str], size: int, percent: int) -> np.ndarray:
     """Whether the shingle sets of each pair have a Jaccard similarity of ``percent`` or more."""
     place = {line: n for n, line in enumerate(dict.fromkeys(left + right))}
-    hashes, owner = char_shingles(list(place), size)
-    order = np.lexsort((hashes, owner))
-    hashes, bounds = hashes[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
-    sets = [np.unique(hashes[begin:end]) for begin, end in zip(bounds[:-1], bounds[1:])]
+    hashes, at = char_sets(list(place), size)
+    sets = [hashes[begin:end] for begin, end in zip(at[:-1], at[1:])]
     out = np.zeros(len(left), bool)
     for n, (a, b) in enumerate(zip(left, right)):
         x, y = sets[place[a]], sets[place[b]]
