@@ -892,6 +892,19 @@ BODIES |= {
     "connection_stream_keyed": BODIES["connection_stream"],
 }
 
+_CHANGED_ORDERS = f"""(SELECT o.order_id, o.user_id, o.total_amount, o.created_at, a.status
+                       FROM x_orders o JOIN ({BODIES["apply_order_updates"]}) a ON a.order_id = o.order_id)"""
+BODIES |= {
+    "daily_sales_kept": f"""SELECT CAST(created_at AS DATE) AS sale_date, {_SALES} FROM {_CHANGED_ORDERS}
+        WHERE status = 'completed' AND coalesce(user_id NOT IN (SELECT user_id FROM x_gone_users), true) GROUP BY 1""",
+    "top_selling_kept": f"""SELECT m.item_id, m.item_name, CAST(sum(i.quantity) AS BIGINT) AS total_quantity_sold,
+               CAST(sum(i.subtotal) AS DOUBLE) AS total_revenue, count(DISTINCT i.order_id) AS times_ordered
+        FROM x_items i JOIN x_menu m ON m.item_id = i.item_id
+        WHERE NOT EXISTS (SELECT 1 FROM {_CHANGED_ORDERS} o WHERE o.order_id = i.order_id
+                          AND (o.status = 'cancelled' OR o.user_id IN (SELECT user_id FROM x_gone_users)))
+        GROUP BY m.item_id, m.item_name ORDER BY total_quantity_sold DESC, m.item_id LIMIT 10""",
+}
+
 
 def oracle(name: str) -> str:
     """The query text with the mapping views it uses, each view defined once."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.functions import money, text, times
-from tiffin.operators import accounts, catalog, changes, documents, limits, orders, placement, pricing, quality, sales
+from tiffin.operators import accounts, catalog, changes, documents, limits, orders, placement, pricing, quality, rollups, sales
 from tiffin.operators.paging import head, page, page_after
 from tiffin.session import shared_dir, tune
 from tiffin.sources import audit, logs, store
@@ -1244,3 +1244,50 @@ def compacted_changes(m, spark, folder):
     log = spark.read.parquet(f"{run}/log").drop("change_date")
     store.compact(log, "order_id", ["at", "seq"], f"{run}/state", "changes", 1)
     return store.current(spark, f"{run}/state", "changes").drop("at")
+
+
+def kept_totals(m, spark, folder):
+    """Folder of totals started from all orders, after the order changes of each quarter and then the deletions.
+
+    Each quarter's changes go to the orders as the quarters before left them. The last two batches are sent twice.
+    """
+    run = f"{_run_folder(spark)}/totals"
+    none = m["order_items"].limit(0)
+    rollups.start(
+        {
+            "sales": rollups.sales_change(m["orders"].limit(0), m["orders"]),
+            "items": rollups.items_change(none, m["order_items"]),
+        },
+        run,
+        VIEW_BUCKETS,
+    )
+    news = order_changes(m, spark, folder).withColumn("_quarter", F.coalesce(F.quarter("at"), F.lit(4)))
+    before = m["orders"]
+    for quarter in range(1, 5):
+        ids = news.filter(F.col("_quarter") == quarter).select("order_id").distinct()
+        after = changes.apply_order_updates(m["orders"], news.filter(F.col("_quarter") <= quarter).drop("_quarter")).state
+        change = rollups.sales_change(
+            before.join(ids, "order_id", "left_semi"), after.join(ids, "order_id", "left_semi")
+        )
+        for _ in range(2 if quarter == 4 else 1):
+            rollups.add(spark, {"sales": change}, run, quarter - 1, VIEW_BUCKETS)
+        before = after
+    model = {**m, "orders": before}
+    left = changes.propagate_deletes(model, deletions(model).filter("table IN ('users', 'orders')")).model
+    gone = before.join(left["orders"].select("order_id"), "order_id", "left_anti")
+    lines = m["order_items"].join(gone.select("order_id"), "order_id", "left_semi")
+    change = {"sales": rollups.sales_change(gone, gone.limit(0)), "items": rollups.items_change(lines, none)}
+    for _ in range(2):
+        rollups.add(spark, change, run, 4, VIEW_BUCKETS)
+    return run
+
+
+@query
+def daily_sales_kept(m, spark, folder):
+    return rollups.daily_sales(store.current(spark, kept_totals(m, spark, folder), "sales"))
+
+
+@query
+def top_selling_kept(m, spark, folder):
+    totals = store.current(spark, kept_totals(m, spark, folder), "items")
+    return rollups.top_selling(totals, m["menu_items"], 10)
