@@ -3,9 +3,12 @@
 import itertools
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.conftest import prose
 from tests.llm.test_jaccard import Union
-from tiffin.llm.lines import SHINGLE_CHARS, alike, band_names, dedup_lines, line_groups, line_names
+from tiffin.llm.components import components
+from tiffin.llm.lines import _K, _rolled, SHINGLE_CHARS, alike, band_names, dedup_lines, line_groups, line_names
 
 
 def shingles(line, size=SHINGLE_CHARS):
@@ -100,3 +103,20 @@ def test_odd_rows(documents):
 def test_no_rows(documents):
     assert dedup_lines(documents().limit(0)).count() == 0
     assert line_groups(documents((1, "x"))).count() == 0
+
+
+def test_polynomials_from_halves():
+    codes = np.random.default_rng(3).integers(0, 2**63, 40).astype(np.uint64)
+    for size in (1, 2, 3, 7, 8, 13, 40, 41):
+        plain = np.zeros(max(0, len(codes) - size + 1), np.uint64)
+        for k in range(size if len(plain) else 0):
+            plain = plain * _K + codes[k : len(codes) - size + 1 + k]
+        assert (_rolled(codes, size) == plain).all()
+
+
+def test_long_path_is_one_component(spark):
+    """Many rounds: what a plan estimates of its size must not grow with them."""
+    links = spark.range(300).selectExpr("id * 7919 % 301 AS a", "(id + 1) * 7919 % 301 AS b")
+    out = components(links)
+    assert {r.component for r in out.collect()} == {0} and out.count() == 301
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40
