@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.conftest import NOW, rows_of
-from tiffin.operators.limits import client_windows, limit_violations
+from tiffin.operators.limits import client_windows, first_later, limit_violations
 from tiffin.sources.schemas import MESSAGES
 
 
@@ -57,3 +57,9 @@ def test_a_request_at_the_end_opens_the_next_window(make):
     rows = [(NOW + timedelta(minutes=n), "c") for n in range(4)] + [(NOW, "c")]
     by_start = defaultdict(int, found(client_windows(requests(make, rows), "1 minute")))
     assert sorted(by_start.values()) == [1, 1, 1, 2]
+
+
+def test_no_frame_is_gone_through_anew_for_every_row(make):
+    found = first_later(make("client string, at long", ("c", 1), ("c", 5), ("c", 12)), 5)
+    assert rows_of(found, "at", "next") == [(1, 12), (12, None), (5, 12)]
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()

@@ -45,7 +45,9 @@ def first_later(moments: DataFrame, length: int) -> DataFrame:
     there = placed.select(
         "client", "cell", F.col("at").alias("place"), F.col("at").alias("_found"), F.lit(None).cast(asked.schema["_asks"].dataType).alias("_asks")
     )
-    onward = Window.partitionBy("client", "cell").orderBy("place").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the last place backwards, so that the smallest so far is kept along: a frame that ends with the partition is
+    # gone through anew for every row.
+    onward = Window.partitionBy("client", "cell").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     answered = asked.unionByName(there).withColumn("_next", F.min("_found").over(onward)).filter("_asks IS NOT NULL")
     return answered.select(
         "client", F.col("_asks.at").alias("at"), F.col("_asks.head").alias("head"), F.col("_asks._before").alias("before"),
