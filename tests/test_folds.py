@@ -4,6 +4,7 @@ import random
 from datetime import timedelta
 from decimal import Decimal as D
 
+import pandas as pd
 import pytest
 
 from tests.conftest import NOW, rows_of
@@ -298,3 +299,65 @@ def test_waiting_events_of_many_minutes_and_of_one(spark, tmp_path, rows, monkey
     stream = read_events(spark, source, "cart", files_per_trigger=1)
     got = carts.newest_carts(drain(carts.cart_state(stream), str(tmp_path / "out"), "update"))
     assert sorted(map(tuple, got.collect())) == expected_carts(due(events))
+
+
+class Store:
+    """One key's state in memory, which counts the accesses."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return Variable(self, name)
+
+    getMapState = lambda self, name, key, schema: Variable(self, name)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Variable:
+    def __init__(self, store, name):
+        self.store, self.name = store, name
+
+    def __getattr__(self, call):
+        values, place = self.store.values, lambda key: (self.name, key)
+        self.store.calls += 1
+        return {
+            "get": lambda: values.get(place(())),
+            "update": lambda value: values.__setitem__(place(()), value),
+            "clear": lambda: values.pop(place(()), None),
+            "containsKey": lambda key: place(key) in values,
+            "getValue": lambda key: values[place(key)],
+            "updateValue": lambda key, value: values.__setitem__(place(key), value),
+            "removeKey": lambda key: values.pop(place(key)),
+            "keys": lambda: iter([key for name, key in values if name == self.name]),
+        }[call]
+
+
+class Clock:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return int(pd.Timestamp(self.at).value // 1_000_000)
+
+
+@pytest.mark.parametrize("most, calls", [(10_000, 40), (7, 10_000)])
+def test_few_messages_to_the_state_store(monkeypatch, most, calls):
+    monkeypatch.setattr(ordered, "FOLD_ROWS", most)
+    events = [(k, at, 1, *rest) for k, at, _, *rest in cart_events(300, 3)]
+    held, processor, got = Store(), carts.CartProcessor(), {}
+    processor.init(held)
+    for n in range(0, 300, 60):
+        part = pd.DataFrame(events[n : n + 60], columns=["event_id", "ts", "user_id", "action", "item_id", "quantity"])
+        frames = [part.iloc[::-2], part.iloc[::2]] if n % 120 else [part]
+        assert list(processor.handleInputRows((1,), iter(frames), None)) == []
+        until = part["ts"].max() - timedelta(minutes=10)
+        for timer in sorted(t for t in held.timers if t <= Clock(until).getCurrentWatermarkInMs()):
+            held.timers.discard(timer)
+            for rows in processor.handleExpiredTimer((1,), Clock(until), None):
+                got |= dict(zip(rows["item_id"], rows["quantity"]))
+    assert sorted((1, i, q) for i, q in got.items() if q) == expected_carts(due(events))
+    assert held.calls <= calls

@@ -108,41 +108,41 @@ class CartProcessor(OrderedProcessor):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.cart = handle.getMapState("cart", "item_id bigint", "quantity int")
+        self.cart = handle.getValueState("cart", "lines array<struct<item_id: bigint, quantity: int>>")
 
-    def fold(self, key, events: pd.DataFrame) -> pd.DataFrame | None:
-        before = {item[0]: quantity[0] for item, quantity in self.cart.iterator()}
+    def fold(self, key, events: list) -> pd.DataFrame | None:
+        lines = self.cart.get()
+        before = {item: quantity for item, quantity in lines[0]} if lines else {}
         after = dict(before)
-        for event in events.itertuples(index=False):
+        for event in events:
             if event.action == "clear":
                 after.clear()
                 continue
             # As in the fold: without item, or a set without quantity, an event changes nothing.
-            if pd.isna(event.item_id) or (event.action == "set" and pd.isna(event.quantity)):
+            if event.item_id is None or (event.action == "set" and event.quantity is None):
                 continue
             if event.action not in ("add", "set", "remove"):
                 continue
-            item = int(event.item_id)
+            item = event.item_id
             if event.action == "add":
                 after[item] = after.get(item, 0) + 1
             elif event.action == "remove" or event.quantity <= 0:
                 after.pop(item, None)
             elif item in after:
-                after[item] = int(event.quantity)
+                after[item] = event.quantity
         changed = {i: after.get(i, 0) for i in before.keys() | after.keys() if before.get(i) != after.get(i)}
-        for item, quantity in changed.items():
-            if quantity:
-                self.cart.updateValue((item,), (quantity,))
-            else:
-                self.cart.removeKey((item,))
         if not changed:
             return None
+        if after:
+            self.cart.update((list(after.items()),))
+        else:
+            self.cart.clear()
         return pd.DataFrame(
             {
                 "user_id": key[0],
                 "item_id": list(changed),
                 "quantity": list(changed.values()),
-                "at": events["ts"].iloc[-1],
+                "at": pd.Timestamp(events[-1].ts, unit="us"),
             }
         )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,28 +94,36 @@ class ConnectionProcessor(OrderedProcessor):
 
     def init(self, handle) -> None:
         super().init(handle)
-        self.opened = handle.getValueState("opened", "ts timestamp")
+        self.opened = handle.getValueState("opened", "ts bigint")
 
-    def fold(self, key, events: pd.DataFrame) -> pd.DataFrame | None:
-        start = pd.Timestamp(self.opened.get()[0]).tz_localize(None) if self.opened.exists() else None
+    def fold(self, key, events: list) -> pd.DataFrame | None:
+        before = self.opened.get()
+        start = before[0] if before else None
         rows = []
-        for event in events.itertuples(index=False):
+        for event in events:
             if start is not None:
                 if event.action == "disconnect":
                     # Whole milliseconds of both ends, as the batch twin counts them.
-                    length = event.ts.value // 1_000_000 - start.value // 1_000_000
-                    rows.append((key[0], start, event.ts, length, "closed"))
+                    rows.append((key[0], start, event.ts, event.ts // 1000 - start // 1000, "closed"))
                 else:
                     rows.append((key[0], start, None, None, "superseded"))
             start = event.ts if event.action == "connect" else None
-        if start is None:
+        if start is not None:
+            self.opened.update((start,))
+        elif before:
             self.opened.clear()
-        else:
-            self.opened.update((start.to_pydatetime(),))
         if not rows:
             return None
-        frame = pd.DataFrame(rows, columns=["user_id", "started_at", "ended_at", "duration_ms", "state"])
-        return frame.astype({"ended_at": "datetime64[ns]", "duration_ms": "Int64"})
+        users, started, ended, lengths, states = zip(*rows)
+        return pd.DataFrame(
+            {
+                "user_id": users,
+                "started_at": np.array(started, "datetime64[us]").astype("datetime64[ns]"),
+                "ended_at": np.array(ended, "datetime64[us]").astype("datetime64[ns]"),
+                "duration_ms": pd.array(lengths, "Int64"),
+                "state": states,
+            }
+        )
 
 
 def connection_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
