@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tiffin.operators import pricing
 from tiffin.operators.quality import check_order_requests, split
-from tiffin.session import pin
+from tiffin.session import kept, pin
 from tiffin.sources import store
 
 
@@ -47,9 +47,10 @@ def placed_orders(
     ``requests``: request_id, user_id, items (item_id, quantity), payment_method,
     special_instructions, order_type, scheduled_at (text), ts.
     """
-    checked = split(check_order_requests(requests))
+    # Orders, lines, rejects and messages all read the checked requests and the priced lines: each is computed once.
+    checked = split(kept(check_order_requests(requests)))
     numbered = pricing.with_order_ids(
-        pricing.price_orders(checked.valid, menu_items), last_order_id, last_line_id
+        pricing.price_orders(checked.valid, menu_items, kept), last_order_id, last_line_id
     )
     orders = pin(numbered.orders)
     refused = checked.rejected.select("request_id", "user_id", F.col("first_error").alias("reason"))
