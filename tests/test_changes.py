@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import NOW, rows_of
 from tiffin.operators import changes, pricing, quality
+from tiffin.session import kept
 from tiffin.sources.schemas import MESSAGES
 
 GONE = 'Item "%s" is no longer available. Please remove it from your cart.'
@@ -60,6 +61,16 @@ def test_order_ids_follow_arrival(spark, seed):
     assert sorted(r.order_item_id for r in done.lines.collect()) == list(range(7, 87))
 
 
+def test_kept_lines_are_priced_once(spark, seed):
+    batch = requests(spark, (1, [(1, 2), (1, 1)]), (2, [(77, 1)]), (3, []))
+    priced = pricing.price_orders(batch, seed["menu_items"], kept)
+    plain = pricing.price_orders(batch, seed["menu_items"])
+    for now, before in zip(priced, plain):
+        assert rows_of(now) == rows_of(before)
+        plan = now._jdf.queryExecution().toString()
+        assert "Generate" not in plan and "item_name" not in plan  # what was kept is read, no line is looked up again
+
+
 def item_changes(make, *rows):
     return make(
         "item_id BIGINT, category_id INT, item_name STRING, description STRING, price DECIMAL(10,2), "
