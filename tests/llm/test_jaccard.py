@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.conftest import prose
-from tiffin.llm import jaccard
+from tiffin.llm import cells, jaccard
 from tiffin.llm.common import without_ids
 from tiffin.llm.components import components
 
@@ -82,6 +82,27 @@ def test_links_inside_a_component(documents, rng):
     assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
 
 
+@pytest.mark.parametrize("rows", [1_024, 30])
+def test_near_copies_make_few_pairs(documents, rng, monkeypatch, rows):
+    """The rows of a join of near copies don't grow with their square, in one tile or several."""
+    base, own, made = prose(rng, 80), jaccard.pinned, []
+    texts = [edited(rng, base, 1) for _ in range(120)]
+
+    def counted(df):
+        out = own(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "pinned", counted)
+    monkeypatch.setattr(cells, "TILE_ROWS", rows)
+    out = {r.doc_id: r.n_links for r in jaccard.linked_groups(documents(*enumerate(texts)), 3, 80).collect()}
+    sets = [shingle_set(t, 3) for t in texts]
+    want = [sum(100 * len(a & b) >= 80 * len(a | b) for b in sets) - 1 for a in sets]
+    assert out == dict(enumerate(want)) and sum(want) > 120 * 60
+    assert max(made) < 4 * 120
+
+
 def test_on_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
