@@ -7,6 +7,8 @@ import numpy as np
 
 from tests.llm.conftest import prose
 from tests.llm.test_jaccard import Union
+from tiffin.llm import cells
+from tiffin.llm import lines as lines_module
 from tiffin.llm.components import components
 from tiffin.llm.lines import _K, _rolled, SHINGLE_CHARS, alike, band_names, dedup_lines, line_groups, line_names
 
@@ -87,6 +89,34 @@ def test_all_links_of_a_crowded_band(documents, rng):
     assert got == {n: union.find(n) for n in list(union)}
 
 
+def test_a_crowded_band_makes_few_pairs(spark, documents, rng, monkeypatch):
+    """Lines of one template, apart after the centres: the pairs that become rows don't grow with their square."""
+    text, many = "".join(rng.choices("abcdefghij ", k=120)), 300
+    lines = []
+    for _ in range(many // 2):
+        tail = "".join(rng.choices("klmnopqrst", k=22))
+        lines += [text + tail, text + tail[:8] + "".join(rng.choices("klmnopqrst", k=14))]
+    own, made = lines_module.pinned, []
+
+    def counted(df):
+        out = own(df)
+        if out.columns == ["a", "b"]:
+            made.append(out.count())
+        return out
+
+    found = []
+    for pairs, rows in ((10**6, 1_024), (16, 1_024), (0, 40)):
+        monkeypatch.setattr(lines_module, "PAIRS", pairs)
+        monkeypatch.setattr(cells, "TILE_ROWS", rows)
+        monkeypatch.setattr(lines_module, "pinned", counted)
+        made.clear()
+        found.append(sorted(map(tuple, line_groups(documents(*enumerate(lines))).collect())))
+        assert pairs > 16 or max(made) < 4 * many
+    assert len(found[0]) > 100
+    # A group has the same lines, whatever its links.
+    assert found[0] == found[1] == found[2]
+
+
 def test_odd_rows(documents):
     long = "z" * 100_000
     rows = [(3, "a line here\n\nb\nA"), (1, "b\n \na line here"), (2, None), (4, ""), (5, "b"), (5, "b"), (None, "A"), (6, long), (7, long + "z")]

@@ -8,7 +8,8 @@ shingle sets are links; one line per component of links stays.
 Chunks of text send their band names to ranges in packed form, which find the bands that several lines share. All
 lines of those bands are compared: in CENTRES rounds each with one line of its band, then all pairs of a band that
 are still in different components. Set sizes and parity sketches rule out most pairs that are
-no links before their texts are read; they never rule out a link.
+no links before their texts are read; they never rule out a link. A band that would still have more than PAIRS pairs a
+line is compared in cells of bounded size, which give back no more links than lines.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiffin.llm.cells import Overlaps, in_cells
 from tiffin.llm.common import maybe_in, pinned, small_batches
 from tiffin.llm.components import components
 from tiffin.llm.jaccard import Packer, Unpacker
@@ -34,6 +36,10 @@ PARITY_LONGS = 8
 PARITY = [f"parity{n}" for n in range(PARITY_LONGS)]
 #: Rounds that compare the lines of a band with one of them, before all pairs that are left.
 CENTRES = 1
+#: Pairs a line up to which those of a band are made as rows.
+PAIRS = 16
+#: Lines of a cell that are compared with all its lines at once.
+STEP = 64
 #: Bytes of text for each range of band names that is paired together.
 RANGE_BYTES = 32_000_000
 _U64 = np.dtype("<u8")
@@ -209,6 +215,35 @@ def shared_bands(docs: DataFrame) -> DataFrame:
     return sent.groupBy("range").applyInPandas(_shared, "band long, line long").distinct()
 
 
+def _cell_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (a, b) between lines of a cell that join all components its links could join.
+
+    Some lines at a time are compared with all that are in other components. Links make components grow; the lines of
+    the largest one need no turn, since the others have theirs.
+    """
+    ids, label = rows["id"].to_numpy(np.int64), np.unique(rows["label"].to_numpy(np.int64), return_inverse=True)[1]
+    tile, across = rows["_tile"].to_numpy(), rows["_low"].iloc[0] != rows["_high"].iloc[0]
+    overlaps = Overlaps(*char_sets(rows["line"].tolist(), SHINGLE_CHARS))
+    open_, a, b = np.ones(len(ids), bool), [], []
+    while True:
+        turn = np.flatnonzero(open_ & (label != np.bincount(label).argmax()))[:STEP]
+        if not len(turn):
+            return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        others = np.flatnonzero(open_)
+        link = overlaps.alike(turn, others, percent)
+        if across:
+            link &= tile[turn][:, None] != tile[others]
+        for n, linked in zip(turn.tolist(), link):
+            near = others[linked]
+            parts, first = np.unique(label[near], return_index=True)
+            for part, other in zip(parts.tolist(), near[first].tolist()):
+                if part != label[n]:
+                    a.append(min(ids[n], ids[other]))
+                    b.append(max(ids[n], ids[other]))
+                    label[label == part] = label[n]
+        open_[turn] = False
+
+
 def line_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """(id, component) of the lines of ``docs`` (text) that have a link to a different line."""
     shared = pinned(shared_bands(docs))
@@ -233,32 +268,41 @@ def line_groups(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     def similar(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series(alike(left.tolist(), right.tolist(), SHINGLE_CHARS, percent))
 
+    def cell_links(rows: pd.DataFrame) -> pd.DataFrame:
+        return _cell_links(rows, percent)
+
     def verified(pairs: DataFrame) -> DataFrame:
         left = lines.select(F.col("id").alias("a"), F.col("line").alias("_left"))
         right = lines.select(F.col("id").alias("b"), F.col("line").alias("_right"))
-        return pinned(pairs.join(left, "a").join(right, "b").filter(similar("_left", "_right")).select("a", "b"))
+        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        pairs = pinned(pairs).join(left, "a").join(right, "b")
+        return pinned(pairs.filter(similar("_left", "_right")).select("a", "b"))
 
     apart = (F.col("x.label") != F.col("y.label")) & same & possible
     found, labelled = None, rows.withColumn("label", F.col("id"))
-    for turn in range(CENTRES + 1):
-        if turn < CENTRES:
-            # Centres are written first, and read back so that a band of many lines can be split in the join.
-            place = F.xxhash64(F.lit(turn), "id")
-            centre = labelled.groupBy("band").agg(F.min(F.struct(place, "id", "label", "size", *PARITY)).alias("_c"))
-            pairs = labelled.alias("x").join(pinned(centre).select("band", "_c.*").alias("y"), apart)
-        else:
-            pairs = labelled.alias("x").join(labelled.alias("y"), apart & (F.col("x.id") < F.col("y.id")))
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        more = verified(pinned(pairs.distinct()))
+    for turn in range(CENTRES):
+        # Centres are written first, and read back so that a band of many lines can be split in the join.
+        place = F.xxhash64(F.lit(turn), "id")
+        centre = labelled.groupBy("band").agg(F.min(F.struct(place, "id", "label", "size", *PARITY)).alias("_c"))
+        more = verified(labelled.alias("x").join(pinned(centre).select("band", "_c.*").alias("y"), apart))
         if found is not None and more.isEmpty():
             continue
         found = more if found is None else found.unionByName(more)
         groups = components(found)
-        if turn < CENTRES:
-            label = groups.select(F.col("id").alias("_id"), "component")
-            labelled = rows.join(label, F.col("id") == F.col("_id"), "left")
-            labelled = pinned(labelled.withColumn("label", F.coalesce("component", "id")).drop("_id", "component"))
-    return groups
+        label = groups.select(F.col("id").alias("_id"), "component")
+        labelled = rows.join(label, F.col("id") == F.col("_id"), "left")
+        labelled = pinned(labelled.withColumn("label", F.coalesce("component", "id")).drop("_id", "component"))
+
+    parts = labelled.groupBy("band", "label").agg(F.count("*").alias("_n"))
+    parts = parts.groupBy("band").agg(F.sum("_n").alias("_n"), F.sum(F.col("_n") * F.col("_n")).alias("_same"))
+    # Twice the pairs of lines in different components.
+    busy = pinned(parts.filter(F.col("_n") * F.col("_n") - F.col("_same") > 2 * PAIRS * F.col("_n")).select("band"))
+    crowded = labelled.select("band", "id", "label").join(busy, "band", "left_semi").join(lines.select("id", "line"), "id")
+    cells = in_cells(pinned(crowded), "band", "id", "line").groupBy("band", "_low", "_high")
+    few = pinned(labelled.join(busy, "band", "left_anti"))
+    more = verified(few.alias("x").join(few.alias("y"), apart & (F.col("x.id") < F.col("y.id"))))
+    more = more.unionByName(pinned(cells.applyInPandas(cell_links, "a long, b long")))
+    return groups if more.isEmpty() else components(found.unionByName(more))
 
 
 def dedup_lines(docs: DataFrame, percent: int = THRESHOLD_PERCENT, with_text: bool = False) -> DataFrame:
