@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tiffin.operators import rollups, sales
-from tiffin.sources import store
+from tiffin.plans import queries
+from tiffin.sources import base_tables, store
 
 ORDERS = "order_id BIGINT, user_id BIGINT, status STRING, created_at TIMESTAMP_NTZ, total_amount DECIMAL(12,2)"
 LINES = "order_id BIGINT, item_id BIGINT, quantity INT, subtotal DECIMAL(12,2)"
@@ -105,3 +106,35 @@ def test_totals_have_to_be_started(spark, make, tmp_path):
     rows = make(ORDERS)
     with pytest.raises(ValueError, match="no totals"):
         rollups.add(spark, {"sales": rollups.sales_change(rows, rows)}, str(tmp_path / "t"), 0)
+
+
+def test_a_batch_sent_twice_is_made_once(spark, tmp_path, monkeypatch):
+    """The kept totals read each batch's change from files; the newest changes decide and cancelled orders are gone."""
+    day = datetime(2024, 1, 5)
+    tables = {
+        "customer": [(n, f"Customer#{n}", 1, 1.0, "A") for n in (1, 2)],
+        "part": [(1, "dish", "Brand#11", "type", 2, 3.0)],
+        "orders": [(n, 1 + n % 2, "F", float(n), day, "1-URGENT") for n in range(1, 9)],
+        "lineitem": [(n, 1, 1, 1, 2.0, 10.0, 0.0, 0.0, "N", "O", day) for n in range(1, 9)],
+        # Orders 3 * user_id + k: the first is cancelled in spring, the second and third in the last quarter.
+        "events": [
+            (1, datetime(2024, 2, 1), 0, "view", 1.0, '{"k": 3}'),
+            (2, datetime(2024, 5, 1), 0, "view", 1.0, '{"k": 1}'),
+            (3, datetime(2024, 11, 1), -3, "view", 1.0, '{"k": 11}'),
+            (4, None, 0, "view", 1.0, '{"k": 6}'),
+        ],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, base_tables.BASE[name]).write.parquet(str(tmp_path / f"{name}.parquet"))
+    own, plans = rollups.add, []
+
+    def add(spark, changes, *rest):
+        plans.extend(rows._jdf.queryExecution().optimizedPlan().toString() for rows in changes.values())
+        return own(spark, changes, *rest)
+
+    monkeypatch.setattr(rollups, "add", add)
+    model = base_tables.model_from_base(spark, str(tmp_path))
+    shown = queries.daily_sales_kept(model, spark, str(tmp_path)).collect()
+    # Cancelled: 1 and 6 by k % 5 == 1, 2 by k % 5 == 1 of 11.
+    assert [(r.total_orders, r.unique_customers, r.total_revenue) for r in shown] == [(5, 2, Decimal("27.00"))]
+    assert len(plans) == 9 and not any("Join" in plan or "Aggregate" in plan for plan in plans)

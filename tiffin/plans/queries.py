@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tiffin.functions import money, text, times
 from tiffin.operators import accounts, catalog, changes, documents, limits, orders, placement, pricing, quality, rollups, sales
 from tiffin.operators.paging import head, page, page_after
-from tiffin.session import shared_dir, tune
+from tiffin.session import kept, shared_dir, tune
 from tiffin.sources import audit, logs, store
 from tiffin.sources import base_tables as base
 from tiffin.sources.events import drain, write_by_room
@@ -1261,22 +1261,26 @@ def kept_totals(m, spark, folder):
         run,
         VIEW_BUCKETS,
     )
-    news = order_changes(m, spark, folder).withColumn("_quarter", F.coalesce(F.quarter("at"), F.lit(4)))
-    before = m["orders"]
+    # What several batches read is written once: the changes, the orders that they hit, each batch's own.
+    news = kept(order_changes(m, spark, folder).withColumn("_quarter", F.coalesce(F.quarter("at"), F.lit(4))))
+    orders = m["orders"].select("order_id", "user_id", "status", "payment_status", "created_at", "total_amount")
+
+    def as_of(orders, quarter):
+        return changes.apply_order_updates(orders, news.filter(F.col("_quarter") <= quarter).drop("_quarter")).state
+
+    hit = kept(orders.join(news.select("order_id").distinct(), "order_id", "left_semi"))
     for quarter in range(1, 5):
         ids = news.filter(F.col("_quarter") == quarter).select("order_id").distinct()
-        after = changes.apply_order_updates(m["orders"], news.filter(F.col("_quarter") <= quarter).drop("_quarter")).state
-        change = rollups.sales_change(
-            before.join(ids, "order_id", "left_semi"), after.join(ids, "order_id", "left_semi")
-        )
+        own = kept(hit.join(ids, "order_id", "left_semi"))
+        change = kept(rollups.sales_change(as_of(own, quarter - 1), as_of(own, quarter)))
         for _ in range(2 if quarter == 4 else 1):
             rollups.add(spark, {"sales": change}, run, quarter - 1, VIEW_BUCKETS)
-        before = after
-    model = {**m, "orders": before}
+    model = {**m, "orders": kept(as_of(orders, 4))}
     left = changes.propagate_deletes(model, deletions(model).filter("table IN ('users', 'orders')")).model
-    gone = before.join(left["orders"].select("order_id"), "order_id", "left_anti")
+    gone = kept(model["orders"].join(left["orders"].select("order_id"), "order_id", "left_anti"))
     lines = m["order_items"].join(gone.select("order_id"), "order_id", "left_semi")
     change = {"sales": rollups.sales_change(gone, gone.limit(0)), "items": rollups.items_change(lines, none)}
+    change = {name: kept(rows) for name, rows in change.items()}
     for _ in range(2):
         rollups.add(spark, change, run, 4, VIEW_BUCKETS)
     return run
