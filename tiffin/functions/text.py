@@ -57,6 +57,12 @@ def name_key(text: Column) -> Column:
     return F.collate(text, domains.NAME_COLLATION)
 
 
+def plain_name_key(text: Column) -> Column:
+    """``name_key`` of a text of printable ASCII as an ordinary string, which Spark hashes and compares by its bytes;
+    NULL for any other text."""
+    return F.when(~text.rlike("[^ -~]"), F.lower(F.rtrim(text)))
+
+
 def display_name(full_name: Column, username: Column, user_id: Column) -> Column:
     return F.coalesce(
         present(full_name), present(username), F.concat(F.lit("User #"), user_id.cast("string"))

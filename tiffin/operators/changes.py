@@ -12,11 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiffin.functions import domains
-from tiffin.functions.text import name_key, trimmed
+from tiffin.functions.text import trimmed
 from tiffin.operators.clashes import first_come
 from tiffin.operators.sequences import number_rows
 from tiffin.session import pin
-from tiffin.sources.sizes import small
 from tiffin.sources.store import newest_rows
 
 
@@ -30,15 +29,6 @@ def last_sent(value: Column, seq: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), seq))
 
 
-def _texts(df: DataFrame, column: str) -> DataFrame:
-    return df.select(name_key(F.col(column)).alias("_text"))
-
-
-def _without_texts(df: DataFrame, column: str, texts: DataFrame) -> DataFrame:
-    """Rows whose text in ``column`` is not listed; a missing text never clashes."""
-    return df.withColumn("_text", name_key(F.col(column))).join(texts, "_text", "left_anti").drop("_text")
-
-
 def insert_rows(
     current: DataFrame, new: DataFrame, key: str, unique: list[str], order: list[str]
 ) -> Changed:
@@ -48,13 +38,8 @@ def insert_rows(
     earlier row of the batch. Names compare without case, accents and trailing
     spaces. ``order`` must be unique per row.
     """
-    candidates = new = pin(new)
-    for column in unique:
-        # A batch is small next to the stored rows, which then need no shuffle.
-        asked = small(_texts(new, column).distinct())
-        taken = _texts(current, column).join(asked, "_text", "left_semi")
-        candidates = _without_texts(candidates, column, taken)
-    accepted = first_come(candidates, unique, order) if unique else new
+    new = pin(new)
+    accepted = pin(first_come(new, unique, order, current)) if unique else new
     rejected = new.join(accepted.select(*order), order, "left_anti")
     last = current.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
     numbered = number_rows(accepted, [F.col(c) for c in order], key, int(last))
