@@ -7,9 +7,10 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from tests.llm.conftest import prose
-from tiffin.llm.language import accepted, fit, identify, predict, viterbi
+from tiffin.llm.language import accepted, fit, identify, predict, viterbi, words_of
 from tiffin.llm.queries import LLM_QUERIES
 
 
@@ -103,6 +104,11 @@ def test_letters_of_far_planes(documents, rng):
     assert {r.doc_id: r.predicted.lang_pred == "und" for r in out} == {1: False, 2: True}
 
 
+def test_tables_of_letters_are_not_sent():
+    words_of(["a"])
+    assert len(cloudpickle.dumps(words_of)) < 100_000
+
+
 def test_nothing_of_the_package_is_broadcast(spark, documents, rng, monkeypatch):
     sent, own = [], type(spark.sparkContext).broadcast
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or own(self, value))
