@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tiffin.operators import pricing
 from tiffin.operators.quality import check_order_requests, split
-from tiffin.session import kept, pin
+from tiffin.session import Scratch, kept
 from tiffin.sources import store
 
 
@@ -40,21 +40,26 @@ def new_order_messages(orders: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def placed_orders(
-    requests: DataFrame, menu_items: DataFrame, users: DataFrame, last_order_id: int, last_line_id: int
+    requests: DataFrame,
+    menu_items: DataFrame,
+    users: DataFrame,
+    last_order_id: int,
+    last_line_id: int,
+    keep: pricing.Keep = kept,
 ) -> Placed:
     """What a batch of order requests comes to. Every request is an order or a reject.
 
     ``requests``: request_id, user_id, items (item_id, quantity), payment_method,
-    special_instructions, order_type, scheduled_at (text), ts.
+    special_instructions, order_type, scheduled_at (text), ts. ``keep`` stores what several steps read.
     """
     # Orders, lines, rejects and messages all read the checked requests and the priced lines: each is computed once.
-    checked = split(kept(check_order_requests(requests)))
-    numbered = pricing.with_order_ids(
-        pricing.price_orders(checked.valid, menu_items, kept), last_order_id, last_line_id
-    )
-    orders = pin(numbered.orders)
+    checked = split(keep(check_order_requests(requests)))
+    priced = pricing.price_orders(checked.valid, menu_items, keep)
     refused = checked.rejected.select("request_id", "user_id", F.col("first_error").alias("reason"))
-    return Placed(orders, numbered.lines, refused.unionByName(numbered.rejects), new_order_messages(orders, users))
+    # From here on, nothing but the rejects would still read the checked requests.
+    rejects = keep(refused.unionByName(priced.rejects))
+    numbered = pricing.with_order_ids(priced, last_order_id, last_line_id, keep)
+    return Placed(numbered.orders, numbered.lines, rejects, new_order_messages(numbered.orders, users))
 
 
 def place_orders(
@@ -69,9 +74,11 @@ def place_orders(
     """Publish a batch of order requests as one version: readers see all four tables of it or none.
 
     The batch id is the version, so a batch that is sent again replaces itself; the last
-    ids are those before the batch.
+    ids are those before the batch. What is kept on the way goes as soon as no table reads it, all of it at the end.
     """
-    placed = placed_orders(requests, menu_items, users, last_order_id, last_line_id)
-    store.publish(placed._asdict(), folder, batch_id)
     spark = requests.sparkSession
+    with Scratch(spark) as scratch:
+        placed = placed_orders(requests, menu_items, users, last_order_id, last_line_id, scratch)
+        scratch.drop_unread(*placed)
+        store.publish(placed._asdict(), folder, batch_id)
     return {name: store.current(spark, folder, name, batch_id) for name in TABLES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,33 +13,53 @@ from tiffin.session import pin
 MAX_GROUP_ROWS = 5_000_000
 
 
-def even_slices(df: DataFrame, order: list) -> DataFrame:
+def even_slices(df: DataFrame, order: list, keep: Callable[[DataFrame], DataFrame] = pin) -> DataFrame:
     """Adds ``_slice``: consecutive, evenly filled pieces of the (total) order.
 
-    The pieces come from a sampled range sort, so they are pinned: a recomputed
+    The pieces come from a sampled range sort, so they are pinned, or written by ``keep``: a recomputed
     sample could cut elsewhere.
     """
-    return pin(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
+    return keep(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))
 
 
-def number_rows(df: DataFrame, order: list, column: str, after: int = 0) -> DataFrame:
+def number_rows(
+    df: DataFrame,
+    order: list,
+    column: str,
+    after: int = 0,
+    keep: Callable[[DataFrame], DataFrame] = pin,
+    sums: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Consecutive numbers from ``after + 1`` in the given (total) order.
 
-    Only the row count of each slice meets in one task.
+    ``sums`` names columns and, for each, a new one with its sum over all rows before.
+    Only the row count and the sums of each slice meet in one task.
     """
-    sliced = even_slices(df, order)
+    sums = sums or {}
+    sliced = even_slices(df, order, keep)
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_slice").orderBy(*order)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+
+    def so_far(of: str, window) -> Column:
+        return F.coalesce(F.sum(of).over(window), F.lit(0))
+
     offsets = (
         sliced.groupBy("_slice")
-        .agg(F.count("*").alias("_rows"))
-        .select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .agg(F.count("*").alias("_rows"), *[F.sum(of).alias(name) for of, name in sums.items()])
+        .select(
+            "_slice",
+            so_far("_rows", before).alias("_offset"),
+            *[so_far(name, before).alias(f"_offset{name}") for name in sums.values()],
+        )
     )
-    inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    numbers = {column: F.lit(after) + F.col("_offset") + F.row_number().over(inside)}
+    numbers |= {name: F.col(f"_offset{name}") + so_far(of, earlier) for of, name in sums.items()}
     # One offset row per shuffle partition: the broadcast is bounded by that number.
     return (
         sliced.join(F.broadcast(offsets), "_slice")
-        .withColumn(column, (F.lit(after) + F.col("_offset") + inside).cast("bigint"))
-        .drop("_slice", "_offset")
+        .withColumns({name: number.cast("bigint") for name, number in numbers.items()})
+        .drop("_slice", "_offset", *[f"_offset{name}" for name in sums.values()])
     )
 
 
